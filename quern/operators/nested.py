@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import ship_package
+
 ROWS = "bundle_id long, prediction_index long, doc_id long, choice_index long, span_index long, body string"
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 13]] = True
@@ -269,6 +271,7 @@ def flatten_bundles(bundles: DataFrame, *, id_col: str = "bundle_id", payload_co
     ``body`` is the object's own JSON text if ``bodies``, for typed reading with
     ``from_json`` downstream.
     """
+    ship_package(bundles.sparkSession)
     source = bundles.select(F.col(id_col).cast("bigint").alias("bundle_id"), F.col(payload_col).alias("payload"))
     return source.mapInArrow(_flatten(bodies), ROWS)
 

@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.session import ship_package
+
 #: Field name to the kind of series: a loss is positive, a count runs evenly and is not negative.
 LOSS_FIELDS = {"train_cross_entropy": "loss", "c4_en_validation_cross_entropy": "loss", "step": "count"}
 #: Readings on each side that a prediction rests on; half of them is the longest spike.
@@ -197,6 +199,7 @@ def find_spikes(
     segment: int = 20_000,
 ) -> DataFrame:
     """(row_id, field_name, kind) of implausible readings; kind is limit, stuck or spike."""
+    ship_package(readings.sparkSession)
     origin = F.col(source) if isinstance(source, str) else source
     rows = readings.select(
         origin.cast("string").alias("source"), F.col(id_col).cast("bigint").alias("row_id"),

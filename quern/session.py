@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,3 +59,21 @@ def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per Spark application.
+
+    Python workers import the package by name; a cluster that does not have it
+    installed gets it as a zip through Spark's own file server.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_quern_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="quern-ship-")) / "quern.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, Path("quern") / source.relative_to(root))
+    context.addPyFile(str(path))
+    context._quern_shipped = True
