@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm.leakage import find_leaks
-from quern.llm.mixing import mix_documents, mix_shares
+from quern.llm.mixing import mix_documents, mix_shares, source_name
+from quern.llm.reading_level import demanding_documents, fit_reading_level, reading_levels
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,4 +38,22 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_shares(_read(spark, d, "documents"), _read(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_tasks, p6_near, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return demanding_documents(_read(spark, d, "documents"), _read(spark, d, "level_labels"))
+
+
+def p8_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Language, expected level and level distribution of every document."""
+    documents = _read(spark, d, "documents")
+    return reading_levels(documents, fit_reading_level(documents, _read(spark, d, "level_labels")))
+
+
+def p8_profile(spark: SparkSession, d: str) -> DataFrame:
+    """English documents per source and nearest level."""
+    documents = _read(spark, d, "documents")
+    levels = p8_levels(spark, d).where("language = 'en'").select("doc_id", F.round("level").cast("int").alias("nearest_level"))
+    named = documents.select("doc_id", source_name(F.col("source")).alias("source"))
+    return levels.join(named, "doc_id").groupBy("source", "nearest_level").agg(F.count(F.lit(1)).alias("documents"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_tasks, p6_near, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
