@@ -136,7 +136,7 @@ def parse_records(
         lines.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("raw_line"))
         .join(findings.groupBy("line_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons")), "line_id")
     )
-    text = {c: F.element_at("fields", at[c] + 1) for c in columns}
+    text = {c: F.get("fields", F.lit(at[c])) for c in columns}
     typed = {"step": whole_number, "tokens": whole_number, "seed": whole_number, "compute": finite_double, "throughput/total_tokens": finite_double}
     typed |= {c: finite_double for c in columns if c.endswith("CrossEntropyLoss")}
     valid = (

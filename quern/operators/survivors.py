@@ -40,7 +40,7 @@ def filled(column: str, dtype: str) -> Column:
     """Whether a field has a value: not NULL, NaN or blank. Never NULL."""
     c = F.col(column)
     if dtype in ("double", "float"):
-        return F.coalesce(~F.isnan(c), F.lit(False))
+        return c.isNotNull() & ~F.isnan(c)
     if dtype == "string":
         return F.coalesce(strip_blanks(c) != "", F.lit(False))
     return c.isNotNull()

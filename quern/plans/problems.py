@@ -84,3 +84,116 @@ def p5_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_invalid_values, p2_found, p2_values, p3_found, p3_kinds, p4_found, p4_merged, p5_found, p5_predictions, p5_choices, p5_spans)}
+
+
+# -- the same answers in DuckDB's SQL --------------------------------------------------
+
+_FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
+_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+
+
+def _cell(k: int) -> str:
+    raw = f"rtrim(regexp_extract(raw_line, '(?s)^(?:{_FIELD},){{{k}}}({_FIELD})', 1), chr(13) || chr(10))"
+    inner = f"CASE WHEN starts_with({raw}, '\"') THEN replace(substring({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
+    return f"trim({inner}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def _whole(v: str) -> str:
+    """The value as a whole DECIMAL, NULL if it is none."""
+    number = f"TRY_CAST(ltrim({v}, '+') AS DECIMAL(38,12))"
+    return f"CASE WHEN regexp_full_match({v}, '{_NUMBER}') AND {number} = trunc({number}) AND abs({number}) <= 9223372036854775807 THEN {number} END"
+
+
+P1_SQL = f"""
+WITH shaped AS (
+  SELECT line_id, raw_line, regexp_full_match(raw_line, '(?s){_FIELD}(,{_FIELD})*(\r\n|\r|\n)?') AS sound,
+         1 + length(regexp_replace(regexp_replace(raw_line, '(?s)"(?:[^"]|"")*"', 'Q', 'g'), '[^,]', '', 'g')) AS n_fields
+  FROM scaling_lines),
+cells AS (
+  SELECT line_id, {_cell(4)} AS step, {_cell(5)} AS tokens, {_cell(6)} AS compute, {_cell(14)} AS seed
+  FROM shaped WHERE sound AND n_fields = 15)
+SELECT line_id, 'quoting' AS reason FROM shaped WHERE NOT sound
+UNION ALL SELECT line_id, 'column_count' FROM shaped WHERE sound AND n_fields <> 15
+UNION ALL SELECT line_id, 'step' FROM cells WHERE coalesce({_whole('step')}, -1) < 0
+UNION ALL SELECT line_id, 'tokens' FROM cells WHERE tokens <> '' AND coalesce({_whole('tokens')}, -1) < 0
+UNION ALL SELECT line_id, 'compute' FROM cells WHERE compute <> '' AND NOT coalesce(regexp_full_match(compute, '{_NUMBER}') AND isfinite(TRY_CAST(compute AS DOUBLE)) AND TRY_CAST(compute AS DOUBLE) >= 0, FALSE)
+UNION ALL SELECT line_id, 'seed' FROM cells WHERE seed <> '' AND coalesce({_whole('seed')}, -1) NOT IN (SELECT seed_value FROM seeds UNION ALL SELECT 6198)"""
+
+_P2_FIELDS = ("primary_score", "acc_raw", "acc_per_token", "acc_per_char", "acc_uncond", "no_answer")
+_P2_SIDES = """
+t AS (SELECT recipe, params, seed_value, step, task, primary_score, acc_raw, acc_per_token, acc_per_char, acc_uncond, no_answer FROM tasks
+      QUALIFY row_number() OVER (PARTITION BY recipe, params, seed_value, step, task ORDER BY loaded_at DESC) = 1),
+o AS (SELECT r.recipe, upper(trim(x.params)) AS params, s.seed_value, CAST(TRY_CAST(trim(x.step) AS DOUBLE) AS BIGINT) AS step, lower(trim(x.task)) AS task,
+             x.primary_metric AS primary_score, acc_raw, acc_per_token, acc_per_char, acc_uncond, no_answer, x.loaded_at
+      FROM olmes x LEFT JOIN recipes r ON lower(trim(x.recipe_name)) = lower(r.recipe_name) LEFT JOIN seeds s ON lower(trim(x.seed)) = s.seed
+      QUALIFY row_number() OVER (PARTITION BY r.recipe, upper(trim(x.params)), s.seed_value, CAST(TRY_CAST(trim(x.step) AS DOUBLE) AS BIGINT), lower(trim(x.task)) ORDER BY x.loaded_at DESC) = 1)"""
+_KEYS = "recipe, params, seed_value, step, task"
+_SAME = " AND ".join(f"t.{k} = o.{k}" for k in _KEYS.split(", "))
+
+
+def _value(side: str, f: str) -> str:
+    return f"CASE WHEN isnan({side}.{f}) THEN NULL ELSE {side}.{f} END"
+
+
+def _apart(f: str) -> str:
+    a, b = _value("t", f), _value("o", f)
+    return f"(({a}) IS NULL) <> (({b}) IS NULL) OR abs(({a}) - ({b})) > 1e-9"
+
+
+P2_SQL = f"""WITH {_P2_SIDES}
+SELECT {_KEYS}, 'missing_in_olmes' AS finding FROM t WHERE NOT EXISTS (SELECT 1 FROM o WHERE {_SAME})
+UNION ALL SELECT {_KEYS}, 'missing_in_tasks' FROM o WHERE NOT EXISTS (SELECT 1 FROM t WHERE {_SAME})
+""" + "\n".join(f"UNION ALL SELECT {', '.join('t.' + k for k in _KEYS.split(', '))}, '{f}' FROM t JOIN o ON {_SAME} WHERE {_apart(f)}" for f in _P2_FIELDS)
+P2_VALUES_SQL = f"WITH {_P2_SIDES}\n" + "\nUNION ALL ".join(
+    f"SELECT {', '.join('t.' + k for k in _KEYS.split(', '))}, '{f}' AS field, {_value('t', f)} AS left_value, {_value('o', f)} AS right_value FROM t JOIN o ON {_SAME} WHERE {_apart(f)}" for f in _P2_FIELDS
+)
+
+_P4_FIELDS = ("chinchilla", "tokens", "compute", "c4_en_validation_cross_entropy", "train_cross_entropy", "throughput_total_tokens", "acc_raw", "acc_per_char", "primary_metric")
+_P4_ROWS = r"""
+g AS (SELECT source_group, recipe, regexp_replace(lower(source_group), '[^a-z0-9]', '', 'g') AS s FROM source_groups),
+letters AS (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM g),
+spellings AS (
+  SELECT s AS spelling, recipe FROM g
+  UNION SELECT left(s, i - 1) || substring(s, i + 1), recipe FROM letters WHERE substring(s, i, 1) BETWEEN 'a' AND 'z'
+  UNION SELECT left(s, i) || substring(s, i), recipe FROM letters WHERE substring(s, i, 1) BETWEEN 'a' AND 'z'),
+rows AS (
+  SELECT e.*, p.recipe, f.precedence, upper(trim(params)) AS k_params, CAST(CAST(trim(e.seed) AS DOUBLE) AS BIGINT) AS k_seed, CAST(CAST(trim(e.step) AS DOUBLE) AS BIGINT) AS k_step, lower(trim(e.task)) AS k_task
+  FROM evaluations e JOIN spellings p ON regexp_replace(lower(e.source_group), '[^a-z0-9]', '', 'g') = p.spelling
+  LEFT JOIN source_files f ON regexp_extract(lower(trim(e.source_file)), '([^/]*)$', 1) = f.source_file WHERE p.recipe IS NOT NULL),
+cells AS (SELECT *, MIN(eval_id) OVER w AS group_id, COUNT(*) OVER w AS n FROM rows WINDOW w AS (PARTITION BY recipe, k_params, k_seed, k_step, k_task))"""
+
+
+def _has(f: str) -> str:
+    return "trim(chinchilla) <> ''" if f == "chinchilla" else f"{f} IS NOT NULL AND NOT isnan({f})"
+
+
+P4_SQL = f"WITH {_P4_ROWS}\n" + "\nUNION ALL ".join(
+    f"(SELECT group_id, '{f}' AS field_name, eval_id FROM cells WHERE n > 1 AND {_has(f)} QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY precedence DESC NULLS LAST, loaded_at DESC, eval_id) = 1)" for f in _P4_FIELDS
+)
+
+
+def _as_list(x: str) -> str:
+    plain = "CASE json_type({0}) WHEN 'ARRAY' THEN {0} WHEN 'OBJECT' THEN json_array({0}) END"
+    text = f"TRY_CAST({x} ->> '$' AS JSON)"
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' THEN {plain.format(text)} ELSE {plain.format(x)} END"
+
+
+def _unnested(source: str, keep: str, x: str, place: str) -> str:
+    return (
+        f"SELECT {keep}, {place}, item FROM (SELECT {keep}, unnest(range(0, CAST(json_array_length(l) AS BIGINT))) AS {place}, unnest(json_extract(l, '$[*]')) AS item "
+        f"FROM (SELECT {keep}, {_as_list(x)} AS l FROM {source}) WHERE l IS NOT NULL) WHERE json_type(item) = 'OBJECT'"
+    )
+
+
+P5_SQL = f"""
+WITH b AS (SELECT bundle_id, CAST(payload AS JSON) AS j FROM prediction_bundles WHERE json_valid(payload)),
+p AS ({_unnested("(SELECT bundle_id, json_extract(j, '$.predictions') AS x FROM b WHERE json_type(j) = 'OBJECT')", "bundle_id", "x", "p_at")}),
+q AS (SELECT bundle_id, CAST(TRY_CAST(item ->> '$.doc_id' AS DOUBLE) AS BIGINT) AS doc_id, json_extract(item, '$.model_output') AS x FROM p),
+c AS ({_unnested("q", "bundle_id, doc_id", "x", "choice_index")}),
+z AS (SELECT bundle_id, doc_id, choice_index, json_extract(item, '$.spans') AS x FROM c),
+s AS ({_unnested("z", "bundle_id, doc_id, choice_index", "x", "span_index")})
+SELECT bundle_id, doc_id, CAST(-1 AS BIGINT) AS choice_index, CAST(-1 AS BIGINT) AS span_index FROM q
+UNION ALL SELECT bundle_id, doc_id, choice_index, -1 FROM c
+UNION ALL SELECT bundle_id, doc_id, choice_index, span_index FROM s"""
+
+ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
