@@ -37,43 +37,47 @@ from quern.session import ship_package
 
 #: Field name to the kind of series: a loss is positive, a count runs evenly and is not negative.
 LOSS_FIELDS = {"train_cross_entropy": "loss", "c4_en_validation_cross_entropy": "loss", "step": "count"}
-#: Readings on each side that a prediction rests on; half of them is the longest spike.
+#: Readings on each side that a prediction rests on.
 REACH = 5
+#: Longest spike, in readings in a row.
+LONGEST = 4
+#: Part of a spike's deviation that its first and last step must make up.
+STEP_SHARE = 0.7
 _MAD = 1.4826
 FINDING = "row_id long, field_name string, kind string"
 _KINDS = np.array(["", "limit", "stuck", "spike"], object)
 
 
-def _courses(x: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Forward, backward and interpolated prediction of every reading (NaN where there is none)."""
-    n = len(x)
-    where = np.flatnonzero(good)
-    values = x[where]
-    place = np.arange(n)
-    before = np.searchsorted(where, place, "left")  # good readings before each
-    after = np.searchsorted(where, place, "right")
-    back = np.arange(REACH)
-
-    def side(index: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        fits = (index >= 0) & (index < len(where))
-        safe = np.where(fits, index, 0)
-        v = np.where(fits, values[safe], np.nan) if len(where) else np.full(index.shape, np.nan)
-        t = np.where(fits, where[safe], np.nan) if len(where) else np.full(index.shape, np.nan)
+def _sides(y: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(level, centre, slope) fitted to the readings before and after each one, as two 3 x n arrays.
+
+    The level is a median, the slope the median of pairwise slopes (Theil-Sen); a side
+    with one reading borrows the slope of the other.
+    """
+    n = len(y)
+    pad = np.full(REACH, np.nan)
+    window = np.lib.stride_tricks.sliding_window_view
+
+    def fit(v: np.ndarray, at: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
-            count = fits.sum(axis=1)
-            level, centre = _median(v), _median(t)
-            # slope: median of the pairwise slopes (Theil-Sen)
-            slopes = np.stack([(v[:, i] - v[:, j]) / (t[:, i] - t[:, j]) for i in range(REACH) for j in range(i)], axis=1)
-            slope = np.where(count >= 4, _median(slopes), 0.0)
-        return level, centre, np.nan_to_num(slope)
-
-    left, left_at, left_slope = side(before[:, None] - 1 - back)
-    right, right_at, right_slope = side(after[:, None] + back)
-    forward = left + left_slope * (place - left_at)
-    backward = right + right_slope * (place - right_at)
+            slopes = np.stack([(v[:, i] - v[:, j]) / (at[:, i] - at[:, j]) for i in range(REACH) for j in range(i)], axis=1)
+        return np.stack([_median(v), _median(at), _median(slopes)])
+
+    left = fit(window(np.concatenate([pad, y]), REACH)[:n], window(np.concatenate([pad, t]), REACH)[:n])
+    right = fit(window(np.concatenate([y, pad]), REACH)[1 : n + 1], window(np.concatenate([t, pad]), REACH)[1 : n + 1])
+    for own, other in ((left, right), (right, left)):
+        own[2] = np.nan_to_num(np.where(np.isnan(own[2]), other[2], own[2]))
+    return left, right
+
+
+def _leaves(y: np.ndarray, t: np.ndarray, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Deviations of readings ``at`` from the interpolated, forward and backward course."""
+    when = t[at]
+    forward = left[0] + left[2] * (when - left[1])
+    backward = right[0] + right[2] * (when - right[1])
     with np.errstate(all="ignore"):
-        share = (place - left_at) / (right_at - left_at)
-    return forward, backward, left + (right - left) * share
+        between = left[0] + (right[0] - left[0]) * (when - left[1]) / (right[1] - left[1])
+    return y[at] - between, y[at] - forward, y[at] - backward
 
 
 def _median(a: np.ndarray) -> np.ndarray:
@@ -85,6 +89,20 @@ def _median(a: np.ndarray) -> np.ndarray:
     return np.where(count > 0, (lo + hi) / 2, np.nan)
 
 
+def _edges(y: np.ndarray, t: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether readings lo..hi depart from and return to the course in one step each.
+
+    The step, less the course's own slope, must make up most of the deviation.
+    """
+    before, after = np.maximum(lo - 1, 0), np.minimum(hi + 1, len(y) - 1)
+    out, _, _ = _leaves(y, t, left[:, lo], right[:, hi], lo)
+    back, _, _ = _leaves(y, t, left[:, lo], right[:, hi], hi)
+    leave = y[lo] - y[before] - left[2, lo] * (t[lo] - t[before])
+    enter = y[hi] - y[after] + right[2, hi] * (t[after] - t[hi])
+    with np.errstate(invalid="ignore"):
+        return leave * np.sign(out) >= STEP_SHARE * np.abs(out), enter * np.sign(back) >= STEP_SHARE * np.abs(back)
+
+
 def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.0, rounds: int = 12) -> np.ndarray:
     """Codes of one series in time order: 0 fine, 1 limit, 2 stuck, 3 spike."""
     n = len(x)
@@ -102,29 +120,45 @@ def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.
     good = code == 0
     if good.sum() < 6:
         return code
-    y = x
+    where = np.flatnonzero(good)
     if kind == "count":  # deviation from an even count; a restart is a shift of level
-        steps = np.diff(x[good]) / np.diff(np.flatnonzero(good))
-        y = x - np.median(steps) * np.arange(n)
-    y = np.where(bad, 0.0, y)
+        steps = np.diff(x[where]) / np.diff(where)
+        x = x - np.median(steps) * np.arange(n)
+    floor = 1e-9 * max(1.0, float(np.median(np.abs(x[where]))))
     for _ in range(rounds):
-        forward, backward, between = _courses(y, good)
-        known = good & ~np.isnan(forward) & ~np.isnan(backward)
-        if not known.any():
+        y, t = x[where], where.astype(float)
+        left, right = _sides(y, t)
+        every = np.arange(len(y))
+        off, _, _ = _leaves(y, t, left, right, every)
+        if np.isnan(off).all():
             break
-        scatter = _MAD * np.median(np.abs(y - between)[known])
-        floor = 1e-9 * max(1.0, float(np.median(np.abs(x[good]))))
+        scatter = _MAD * np.nanmedian(np.abs(off))
         if kind == "count":
-            # an even count has no scatter: half an increment of the count is off it
-            scatter, floor = min(scatter, 0.0), 0.25
-        a, b, c = y - between, y - forward, y - backward
-        up = (a > limit * scatter + floor) & (b > edge * scatter + floor) & (c > edge * scatter + floor)
-        down = (a < -limit * scatter - floor) & (b < -edge * scatter - floor) & (c < -edge * scatter - floor)
-        new = known & (up | down)
+            # an even count has no scatter: a quarter is off it
+            scatter, floor = 0.0, 0.25
+        new = np.zeros(len(y), bool)
+        for size in range(1, LONGEST + 1):
+            # a spike of ``size`` readings is judged by what lies before and after all of it
+            # (at least as many readings as it has itself)
+            begin = every[size : len(y) - 2 * size + 1]
+            # it leaves and returns at once: a gradual bump has no such edges
+            rise, fall = _edges(y, t, left, right, begin, begin + size - 1)
+            up, down = rise & fall, rise & fall
+            for k in range(size):
+                a, b, c = _leaves(y, t, left[:, begin], right[:, begin + size - 1], begin + k)
+                with np.errstate(invalid="ignore"):
+                    up = up & (a > limit * scatter + floor) & (b > edge * scatter + floor) & (c > edge * scatter + floor)
+                    down = down & (a < -limit * scatter - floor) & (b < -edge * scatter - floor) & (c < -edge * scatter - floor)
+            for lo in np.flatnonzero(up | down).tolist():
+                new[lo : lo + size] = True
+            if new.any():
+                break
         if not new.any():
             break
-        code[new] = 3
-        good = good & ~new
+        code[where[new]] = 3
+        where = where[~new]
+        if len(where) < 6:
+            break
     return code
 
 
