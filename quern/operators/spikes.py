@@ -149,7 +149,7 @@ def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.
                 with np.errstate(invalid="ignore"):
                     up = up & (a > limit * scatter + floor) & (b > edge * scatter + floor) & (c > edge * scatter + floor)
                     down = down & (a < -limit * scatter - floor) & (b < -edge * scatter - floor) & (c < -edge * scatter - floor)
-            for lo in np.flatnonzero(up | down).tolist():
+            for lo in begin[up | down].tolist():
                 new[lo : lo + size] = True
             if new.any():
                 break
