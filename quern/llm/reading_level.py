@@ -43,6 +43,7 @@ FUNCTION_WORDS = {
     "es": "el la los las de del un una y es no que en por para con se su sus al lo como más pero o este esta estos estas fue son ha han hay ser está después antes sin cada muy sobre entre cuando también nos",
 }
 LANGUAGES = tuple(FUNCTION_WORDS)
+N_FEATURES = 2 * LEVELS + 3
 _CHUNK_CHARS = 1 << 19
 _CACHE_WORDS = 1 << 19
 _STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
@@ -200,7 +201,7 @@ def fit_sentences(texts: list[str], targets: np.ndarray, *, l2: float = 2e-6, gr
 
 def document_features(p: np.ndarray, s: Sentences, n: int) -> np.ndarray:
     """Aggregate of the sentence distributions of each of ``n`` documents (zeros without words)."""
-    out = np.zeros((n, 2 * LEVELS + 4), np.float32)
+    out = np.zeros((n, N_FEATURES), np.float32)
     if not len(s.first):
         return out
     weight = s.size.astype(np.float64)
@@ -214,7 +215,7 @@ def document_features(p: np.ndarray, s: Sentences, n: int) -> np.ndarray:
     average = np.add.reduceat(level * weight, cut)[:, None] / total
     spread = np.sqrt(np.maximum(np.add.reduceat(level**2 * weight, cut)[:, None] / total - average**2, 0))
     hard = np.add.reduceat((level >= 3.5) * weight, cut)[:, None] / total
-    out[docs] = np.concatenate([mean, logs / 4, average, spread, hard, np.log1p(total) / 10], axis=1)
+    out[docs] = np.concatenate([mean, logs / 4, average, spread, hard], axis=1)
     return out
 
 
@@ -255,7 +256,7 @@ def _fit_cumulative(x: np.ndarray, above: np.ndarray, weight: np.ndarray, l2: fl
 def fit_levels(texts: list[str], targets: np.ndarray, raters: np.ndarray, *, folds: int = 3, l2: float = 1.0, **sentence_options) -> LevelModel:
     """Fit both models. ``targets``: label distribution per document; ``raters``: labels per document."""
     texts = [t.lower() for t in texts]
-    features = np.zeros((len(texts), 2 * LEVELS + 4))
+    features = np.zeros((len(texts), N_FEATURES))
     # equal texts share a fold, or calibration would see trained sentences
     order = {t: k for k, t in enumerate(dict.fromkeys(texts))}
     fold = np.array([order[t] % folds for t in texts])
