@@ -86,3 +86,11 @@ def present(value: Column) -> Column:
 def is_finite(value: Column) -> Column:
     """True for a DOUBLE that is neither NULL, NaN nor infinite; never NULL."""
     return F.coalesce(~F.isnan(value) & (F.abs(value) < F.lit(float("inf"))), F.lit(False))
+
+
+def micros(column: str, kind: str) -> Column:
+    """Microseconds of a time column of type ``kind`` (``timestamp_ntz``, ``timestamp`` or text), whatever the session's zone."""
+    c = F.col(column)
+    if kind == "timestamp":
+        return F.unix_micros(c)
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), c.try_cast("timestamp_ntz"))

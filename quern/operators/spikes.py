@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.numbers import micros
 from quern.session import ship_package
 
 #: Field name to the kind of series: a loss is positive, a count runs evenly and is not negative.
@@ -234,10 +235,11 @@ def find_spikes(
 ) -> DataFrame:
     """(row_id, field_name, kind) of implausible readings; kind is limit, stuck or spike."""
     ship_package(readings.sparkSession)
+    types = dict(readings.dtypes)
     origin = F.col(source) if isinstance(source, str) else source
     rows = readings.select(
         origin.cast("string").alias("source"), F.col(id_col).cast("bigint").alias("row_id"),
-        F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"), F.unix_micros(F.col(arrival_col).cast("timestamp")).alias("arrived"),
+        micros(time_col, types[time_col]).alias("t"), micros(arrival_col, types[arrival_col]).alias("arrived"),
         *[F.col(f).cast("double").alias(f"v_{k}") for k, f in enumerate(fields)],
     ).where("source IS NOT NULL AND row_id IS NOT NULL AND t IS NOT NULL")
     kept = ["source", "t", *[f"v_{k}" for k in range(len(fields))]]

@@ -29,7 +29,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.numbers import strip_blanks, whole_number
+from quern.functions.numbers import micros, strip_blanks, whole_number
 from quern.session import checked_broadcast
 
 EVALUATION_FIELDS = ("chinchilla", "tokens", "compute", "c4_en_validation_cross_entropy", "train_cross_entropy", "throughput_total_tokens", "acc_raw", "acc_per_char", "primary_metric")
@@ -139,7 +139,7 @@ def evaluation_cells(evaluations: DataFrame, groups: DataFrame, files: DataFrame
         whole_number(F.col("seed")).alias("seed"),
         whole_number(F.col("step")).alias("step"),
         F.lower(strip_blanks(F.col("task"))).alias("task"),
-        F.unix_micros(F.col("loaded_at").cast("timestamp")).alias("at"),
+        micros("loaded_at", types["loaded_at"]).alias("at"),
         sum((F.when(filled(f, types[f]), F.lit(1 << k)).otherwise(0) for k, f in enumerate(EVALUATION_FIELDS)), F.lit(0)).cast("bigint").alias("mask"),
         F.struct(*[F.col(f) for f in EVALUATION_FIELDS]).alias("values"),
     )
