@@ -46,11 +46,11 @@ class ParsedRecords:
 def record_fields(line: Column) -> Column:
     """``struct(sound, fields)`` of one comma-separated record.
 
-    ``sound`` is false when a quoted field is not closed, has text after its
+    A NULL record counts as an empty one. ``sound`` is false when a quoted field is not closed, has text after its
     closing quote, or a bare quote stands in an unquoted field. ``fields`` holds
     the unquoted values and is meaningful only if ``sound``.
     """
-    pieces = F.split(line, '"', -1)
+    pieces = F.split(F.coalesce(line, F.lit("")), '"', -1)
     last = F.size(pieces) - 1
 
     def unsound(piece: Column, i: Column) -> Column:
@@ -77,7 +77,7 @@ def record_fields(line: Column) -> Column:
         return F.when(field.startswith('"'), inner).otherwise(field)
 
     fields = F.transform(F.split(F.array_join(shielded, '"'), ",", -1), bare)
-    return F.struct(F.coalesce(sound, F.lit(True)).alias("sound"), F.coalesce(fields, F.array().cast("array<string>")).alias("fields"))
+    return F.struct(sound.alias("sound"), fields.alias("fields"))
 
 
 def parse_records(

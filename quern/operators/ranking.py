@@ -213,3 +213,20 @@ def loss_observations(evaluations: DataFrame, losses: DataFrame, loss: str) -> D
         *keys, "task", "score", "compute", "loss", "loss_compute", (matched & _is_finite(F.col("score")) & _is_finite(F.col("loss"))).alias("available"),
         (matched & ~F.col("compute").eqNullSafe(F.col("loss_compute"))).alias("compute_conflict"),
     )
+
+
+def score_measurements(evaluations: DataFrame, accuracies: DataFrame, n_recipes: int, n_seeds: int, ddof: int = 0) -> dict[str, DataFrame]:
+    """Raw seed scores, recipe summaries, and noise and spread with accuracies, of complete cells.
+
+    Cells that are not complete stay in ``noise_spread`` with their reason and no values.
+    """
+    cells = score_cells(evaluations, n_recipes, n_seeds).select(*CELL, "compute", "available", "reason")
+    usable = evaluations.join(cells.where("available").select(*CELL), list(CELL), "left_semi")
+    noise = noise_and_spread(usable, ddof)
+    scored = accuracies.where("available").select(*CELL, "decision_accuracy", "aggregate_decision_accuracy")
+    joined = cells.join(noise, list(CELL), "left").join(scored, list(CELL), "left")
+    return {
+        "recipe_scores": usable.select(*CELL, "compute", "seed", "recipe", "score"),
+        "score_summaries": recipe_summaries(usable, ddof),
+        "noise_spread": joined.select(*CELL, "compute", "available", "reason", F.lit(n_seeds).alias("seed_count"), F.lit(ddof).alias("ddof"), "noise", "spread", "decision_accuracy", "aggregate_decision_accuracy"),
+    }

@@ -335,3 +335,31 @@ def test_published_and_runs(spark):
     both = preprocess.run_checkpoints(spark.createDataFrame([("4M", "C4", "s", 1, 2.0)], "params string, data string, seed string, step int, ppl double"), spark.createDataFrame([("4M", "C4", "s", 2, 0.5)], "params string, data string, seed string, step int, acc double"))
     assert sorted((r.step, r.in_left, r.in_right) for r in both.collect()) == [(1, True, False), (2, False, True)]
     assert verify.consolidated({"u": a, "w": a}).count() == 6 and verify.preserved({"u": a}, verify.consolidated({"u": a})).count() == 0
+
+
+def test_score_measurements(spark):
+    df = evaluations(spark, [("1B", 10, 100, {"a": {"x": 2.0, "y": 1.0}}), ("4M", 5, 20, {"a": {"x": 2.0}})])
+    tables = ranking.score_measurements(df, ranking.decision_accuracies(df, "1B", 10, 2, 1), 2, 1)
+    assert tables["recipe_scores"].count() == 2 and tables["score_summaries"].count() == 2
+    got = {r.params: r for r in tables["noise_spread"].collect()}
+    assert (got["1B"].noise, got["1B"].spread, got["1B"].decision_accuracy) == (0.0, 0.5, 1.0)
+    assert (got["4M"].available, got["4M"].reason, got["4M"].noise) == (False, "missing recipes", None)
+
+
+def test_details(spark):
+    import json
+
+    from quern.operators import details
+
+    task = json.dumps({"task_name": "boolq", "task_hash": "t", "model_hash": "m", "num_instances": 2, "metrics": {"acc_raw": 0.5, "primary_score": 0.5}, "task_config": {"primary_metric": "acc_raw"}, "processing_time": 1.5})
+    line = lambda doc, **more: json.dumps({"doc_id": doc, "native_id": doc, "label": 0, "task_hash": "t", "model_hash": "m", "metrics": {"acc_raw": doc}, "model_output": [{"sum_logits": -1, "num_tokens": 2, "is_greedy": False}, {"sum_logits": "x"}]} | more)
+    schema = "recipe string, params string, seed_value bigint, step bigint, task string, metrics string, line_no bigint, prediction string"
+    good = [("c4", "4M", 2, 1, "boolq", task, k, line(k)) for k in (0, 1)]
+    df = spark.createDataFrame(good, schema)
+    t = details.task_rows(df).first()
+    assert (t.num_instances, t.n_lines, t.primary_metric, t.acc_raw, t.acc_uncond) == (2, 2, "acc_raw", 0.5, None)
+    assert sorted((r.doc_id, r.acc_raw, r.n_choices) for r in details.instance_rows(df).collect()) == [(0, 0.0, 2), (1, 1.0, 2)]
+    assert sorted((r.doc_id, r.choice_index, r.sum_logits, r.is_greedy) for r in details.choice_rows(df).where("doc_id = 0").collect()) == [(0, 0, -1.0, False), (0, 1, None, None)]
+    assert details.detail_faults(df).count() == 0
+    bad = spark.createDataFrame([*good, ("c4", "4M", 2, 1, "boolq", task, 2, line(1, task_hash="other")), ("c4", "4M", 2, 1, "piqa", task, None, None)], schema)
+    assert sorted((r.task, r.fault, r.n) for r in details.detail_faults(bad).collect()) == [("boolq", "count", 1), ("boolq", "doc_id", 2), ("boolq", "hash", 1), ("piqa", "count", 2), ("piqa", "metrics", 1)]
