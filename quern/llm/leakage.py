@@ -1,9 +1,8 @@
 """Evaluation texts inside a training corpus: pigeonhole edit matching.
 
 A test item leaks if a document holds ``min_words`` consecutive words of one of
-its texts with at most ``max_edits`` words inserted, deleted or replaced. Each
-item text is cut into disjoint pieces, short enough that every stretch of
-``min_words`` words holds at least ``max_edits + 1`` whole pieces; by the
+its texts with at most ``max_edits`` words inserted, deleted or replaced. Every
+stretch of ``min_words`` words of an item is split into ``max_edits + 1`` pieces; by the
 pigeonhole principle one of them stands unchanged in a leaking document. Exact
 piece hits are found by hashing every run of that many words of a batch of documents at
 once; each hit is then verified on the words themselves with Myers' bit-parallel
@@ -40,8 +39,8 @@ CHUNK_CHARS = 1 << 19
 
 
 def piece_length(min_words: int, max_edits: int) -> int:
-    """Words per piece so that any ``min_words`` words hold ``max_edits + 1`` whole pieces."""
-    length = (min_words + 1) // (max_edits + 2)
+    """Words per piece when ``min_words`` words are split into ``max_edits + 1`` pieces."""
+    length = min_words // (max_edits + 1)
     if length < 1:
         raise ValueError("too many edits for so few words")
     return length
@@ -99,10 +98,11 @@ class ItemIndex:
         hashes, where, place = [], [], []
         for k, words in enumerate(self.texts):
             value, _, _ = hash_words(" ".join(words))
-            grams = gram_hashes(value, self.length)[:: self.length]
+            # the pieces of all stretches: they overlap, so each run is kept once
+            grams = gram_hashes(value, self.length)
             hashes.append(grams)
             where.append(np.full(len(grams), k))
-            place.append(np.arange(len(grams)) * self.length)
+            place.append(np.arange(len(grams)))
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
         self.hashes = flat[order]

@@ -23,6 +23,7 @@ texts are read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -316,12 +317,12 @@ class Scorer:
         return self.model.distribution(document_features(p, s, n)), language, words
 
 
-_READY: dict[int, Scorer] = {}
+_READY: dict[str, Scorer] = {}
 
 SCORED = "doc_id long, language string, level double, " + ", ".join(f"p{k} double" for k in range(1, LEVELS + 1)) + ", n_words long"
 
 
-def _score(shared, key: int):
+def _score(shared, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _READY:
             _READY.clear()
@@ -378,7 +379,7 @@ def reading_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(_score(shared, id(shared)), SCORED)
+    return rows.mapInArrow(_score(shared, uuid.uuid4().hex), SCORED)
 
 
 def demanding_documents(documents: DataFrame, labels: DataFrame, *, at_least: int = 4, **options) -> DataFrame:
