@@ -7,7 +7,7 @@ bad ones form a dictionary with a reason, and the dictionary is joined back to
 the records. A hot value (a seed that a third of all rows share) is spread over
 ``salts`` join keys.
 
-Defined results: a NULL record and an empty record have no 15 fields
+Defined results: rows without an id are one row to the valid and rejected outputs; a NULL record and an empty record have no 15 fields
 (``column_count``); a record written twice is judged twice; extra columns of the
 input are ignored; an empty table gives empty outputs. Ties cannot arise.
 """
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import finite_double, strip_blanks, whole_number
+from quern.session import checked_broadcast
 
 #: Column order of the scaling-law CSV files.
 SCALING_COLUMNS = (
@@ -113,35 +114,38 @@ def parse_records(
         .select("line_id", "salt", "cell.name", "cell.value")
         .repartition("name", "value", "salt")
     )
-    known = seeds.select(F.col("seed_value").cast("bigint").alias("whole")).where("whole IS NOT NULL")
+    known = seeds.select(F.col("seed_value").cast("bigint").alias("known")).where("known IS NOT NULL")
     if extra_seeds:
-        known = known.union(seeds.sparkSession.createDataFrame([(s,) for s in extra_seeds], "whole bigint"))
-    known = known.agg(F.collect_set("whole").alias("known"))
-    whole, amount, blank = whole_number(F.col("value")), finite_double(F.col("value")), F.col("value") == ""
-    good = (
-        F.when(F.col("name") == "shape", F.lit(False))
-        .when(F.col("name") == "compute", blank | F.coalesce(amount >= 0, F.lit(False)))
-        .when(F.col("name") == "seed", blank | F.coalesce(F.array_contains("known", whole), F.lit(False)))
-        .otherwise((blank & (F.col("name") == "tokens")) | F.coalesce(whole >= 0, F.lit(False)))
-    )
+        known = known.union(seeds.sparkSession.createDataFrame([(s,) for s in extra_seeds], "known bigint"))
     # The count keeps line_id in the plan, so that the dictionary and the join
     # back read one and the same exchange.
     distinct = cells.groupBy("name", "value", "salt").agg(F.count("line_id").alias("records"))
-    # one row: the list of admissible seeds
-    invalid = distinct.crossJoin(F.broadcast(known)).where(~good & (F.col("records") >= 0)).select("name", "value", "salt", "records")
+    whole = F.when(F.col("name") != "compute", whole_number(F.col("value")))
+    amount = F.when(F.col("name") == "compute", finite_double(F.col("value")))
+    cast = distinct.select("name", "value", "salt", "records", whole.alias("whole"), amount.alias("amount"))
+    judged_values = cast.join(checked_broadcast(known.distinct()), (F.col("name") == "seed") & (F.col("whole") == F.col("known")), "left")
+    blank = F.col("value") == ""
+    good = (
+        F.when(F.col("name") == "shape", F.lit(False))
+        .when(F.col("name") == "compute", blank | F.coalesce(F.col("amount") >= 0, F.lit(False)))
+        .when(F.col("name") == "seed", blank | F.col("known").isNotNull())
+        .otherwise((blank & (F.col("name") == "tokens")) | F.coalesce(F.col("whole") >= 0, F.lit(False)))
+    )
+    invalid = judged_values.where(~good & (F.col("records") >= 0)).select("name", "value", "salt", "records")
     reason = F.when(F.col("name") == "shape", F.col("value")).otherwise(F.col("name"))
     findings = cells.join(invalid, ["name", "value", "salt"]).where("records >= 0").select("line_id", reason.alias("reason"))
 
     rejected = (
         lines.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("raw_line"))
-        .join(findings.groupBy("line_id").agg(F.sort_array(F.collect_set("reason")).alias("reasons")), "line_id")
+        .join(findings.groupBy(F.col("line_id").alias("f_id")).agg(F.sort_array(F.collect_set("reason")).alias("reasons")), F.col("line_id").eqNullSafe(F.col("f_id")))
+        .drop("f_id")
     )
     text = {c: F.get("fields", F.lit(at[c])) for c in columns}
     typed = {"step": whole_number, "tokens": whole_number, "seed": whole_number, "compute": finite_double, "throughput/total_tokens": finite_double}
     typed |= {c: finite_double for c in columns if c.endswith("CrossEntropyLoss")}
     valid = (
         shaped.where(F.col("shape").isNull())
-        .join(findings.select("line_id").distinct(), "line_id", "left_anti")
+        .join(findings.select(F.col("line_id").alias("f_id")).distinct(), F.col("line_id").eqNullSafe(F.col("f_id")), "left_anti")
         .select("line_id", *[typed.get(c, strip_blanks)(text[c]).alias(_plain(c)) for c in columns])
     )
     invalid_values = invalid.groupBy("name", "value").agg(F.sum("records").alias("records"))

@@ -269,10 +269,10 @@ def q_filter_aggs(spark, d):
     )
 
 
-@query("SELECT recipe, params, seed_value, step, list_sort(list_filter([CASE WHEN COUNT(DISTINCT tokens) > 1 THEN 'tokens' END, CASE WHEN COUNT(DISTINCT model_hash) > 1 THEN 'model_hash' END], lambda x: x IS NOT NULL)) AS fields FROM tasks GROUP BY 1, 2, 3, 4 HAVING COUNT(DISTINCT tokens) > 1 OR COUNT(DISTINCT model_hash) > 1")
+@query("SELECT recipe, params, seed_value, step, concat_ws(',', CASE WHEN COUNT(DISTINCT model_hash) > 1 THEN 'model_hash' END, CASE WHEN COUNT(DISTINCT tokens) > 1 THEN 'tokens' END) AS fields FROM tasks GROUP BY 1, 2, 3, 4 HAVING COUNT(DISTINCT tokens) > 1 OR COUNT(DISTINCT model_hash) > 1")
 def q_conflicting_fields(spark, d):
     found = validate.conflicts(table(spark, d, "tasks"), ["recipe", "params", "seed_value", "step"], ["tokens", "model_hash"])
-    return found.withColumn("fields", F.sort_array("fields"))
+    return found.withColumn("fields", F.array_join(F.sort_array("fields"), ","))
 
 
 @query(f"""WITH {EVALUATIONS_SQL} SELECT params, step, metric, recipe, seed, COUNT(DISTINCT task) AS n_tasks, round(CASE WHEN COUNT(score) = 3 THEN AVG(score) END, 6) AS score FROM evals GROUP BY 1, 2, 3, 4, 5""")
@@ -552,11 +552,11 @@ def q_text_slice(spark, d):
     return table(spark, d, "documents").select("doc_id", text_slice(F.col("text"), F.lit(5), F.lit(25)).alias("part"))
 
 
-@query("SELECT item_id, 'Question: ' || question || chr(10) || 'Answer:' AS prompt, list_transform(choices, lambda c: ' ' || c) AS continuations, CAST(CASE WHEN answer_index BETWEEN 0 AND 4 THEN answer_index END AS INTEGER) AS gold FROM eval_items")
+@query("SELECT item_id, 'Question: ' || question || chr(10) || 'Answer:' AS prompt, array_to_string(list_transform(choices, lambda c: ' ' || c), '|') AS continuations, CAST(CASE WHEN answer_index BETWEEN 0 AND 4 THEN answer_index END AS INTEGER) AS gold FROM eval_items")
 def q_prompt_build(spark, d):
     t = table(spark, d, "eval_items")
     letter = F.substring(F.lit("ABCDE"), F.col("answer_index") + 1, F.lit(1))
-    return t.select("item_id", query_text(F.col("question")).alias("prompt"), continuations(F.col("choices")).alias("continuations"), answer_index(letter).alias("gold"))
+    return t.select("item_id", query_text(F.col("question")).alias("prompt"), F.array_join(continuations(F.col("choices")), "|").alias("continuations"), answer_index(letter).alias("gold"))
 
 
 @query(f"""WITH {SCHEDULE_SQL}, k AS (SELECT DISTINCT params, step FROM tasks)
@@ -658,10 +658,11 @@ def q_loss_observations(spark, d):
 
 
 @query(f"""WITH {_LONG_SQL}, w AS (SELECT *, params || '/' || CAST(step AS VARCHAR) AS row_id FROM longer WHERE available AND approach = 'per_seed'), c AS (SELECT 'small_scale' AS claim_id, * FROM w WHERE compute_ratio BETWEEN 0.0 AND 0.5 AND metric = 'qty' UNION ALL SELECT 'counts', * FROM w WHERE metric IN ('lines'))
-  SELECT claim_id, task, list_sort(list(row_id)) AS row_ids, arg_min(row_id, (-acc, row_id)) AS best_row FROM c GROUP BY 1, 2""")
+  SELECT claim_id, task, array_to_string(list_sort(list(row_id)), ',') AS row_ids, arg_min(row_id, (-acc, row_id)) AS best_row FROM c GROUP BY 1, 2""")
 def q_claim_evidence(spark, d):
     rows = diagnostics.by_approach(_accuracies(spark, d)).where("approach = 'per_seed'").withColumn("row_id", F.concat_ws("/", "params", F.col("step").cast("string")))
-    return diagnostics.claim_evidence(rows, "row_id", {"small_scale": {"compute_ratio": (0.0, 0.5), "metric": "qty"}, "counts": {"metric": ["lines"]}})
+    found = diagnostics.claim_evidence(rows, "row_id", {"small_scale": {"compute_ratio": (0.0, 0.5), "metric": "qty"}, "counts": {"metric": ["lines"]}})
+    return found.withColumn("row_ids", F.array_join("row_ids", ","))
 
 
 @query("SELECT doc_id, CASE WHEN n_chars = length(text) THEN NULL ELSE n_chars END AS wrong_size FROM documents WHERE n_chars IS DISTINCT FROM length(text)")

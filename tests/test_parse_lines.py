@@ -64,7 +64,9 @@ def test_findings(spark, seeds):
 
 def test_repeated_rows_clashing_columns_and_null_ids(spark, seeds):
     df = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (None, "a", "x")], "line_id bigint, raw_line string, name string").withColumn("value", F.lit(1)).withColumn("salt", F.lit(2)).withColumn("reason", F.lit("y"))
-    assert sorted((r.line_id or 0, r.reason) for r in parse_records(df, seeds).findings.collect()) == [(0, "column_count"), (1, "column_count"), (1, "column_count")]
+    result = parse_records(df, seeds)
+    assert sorted((r.line_id or 0, r.reason) for r in result.findings.collect()) == [(0, "column_count"), (1, "column_count"), (1, "column_count")]
+    assert result.valid.count() == 0 and result.rejected.count() == 3
 
 
 def test_empty_tables(spark, seeds):
