@@ -134,6 +134,10 @@ def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.
         if np.isnan(off).all():
             break
         scatter = _MAD * np.nanmedian(np.abs(off))
+        # The course's bend inflates this. Second differences are free of it, but
+        # blind to slow noise, so they may lower the scatter by a quarter at most.
+        bend_free = _MAD * np.median(np.abs(y[1:-1] - (y[:-2] + y[2:]) / 2)) / np.sqrt(1.5)
+        scatter = min(scatter, max(bend_free, 0.75 * scatter))
         if kind == "count":
             # an even count has no scatter: a quarter is off it
             scatter, floor = 0.0, 0.25
