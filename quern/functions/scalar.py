@@ -230,17 +230,21 @@ def first_smallest(values: Column) -> Column:
 # -- prompts -----------------------------------------------------------------------
 
 
-def query_text(question: Column, question_prefix: str = "Question: ", answer_prefix: str = "Answer:") -> Column:
+# The parts of a prompt.
+QUESTION_PREFIX, ANSWER_PREFIX, CONTINUATION_PREFIX, SHOT_SEPARATOR = "Question: ", "Answer:", " ", "\n\n"
+
+
+def query_text(question: Column, question_prefix: str = QUESTION_PREFIX, answer_prefix: str = ANSWER_PREFIX) -> Column:
     return F.concat(F.lit(question_prefix), question, F.lit("\n" + answer_prefix))
 
 
-def few_shot_prefix(shots: Sequence[tuple[str, str]], continuation_prefix: str = " ", separator: str = "\n\n") -> str:
+def few_shot_prefix(shots: Sequence[tuple[str, str]], continuation_prefix: str = CONTINUATION_PREFIX, separator: str = SHOT_SEPARATOR) -> str:
     """Text of worked (question, answer) examples before a query."""
-    texts = [f"Question: {q}\nAnswer:{continuation_prefix}{a}" for q, a in shots]
+    texts = [f"{QUESTION_PREFIX}{q}\n{ANSWER_PREFIX}{continuation_prefix}{a}" for q, a in shots]
     return separator.join(texts) + separator if texts else ""
 
 
-def continuations(choices: Column, continuation_prefix: str = " ") -> Column:
+def continuations(choices: Column, continuation_prefix: str = CONTINUATION_PREFIX) -> Column:
     return F.transform(choices, lambda c: F.concat(F.lit(continuation_prefix), c))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 CHECKPOINT = ("recipe", "params", "seed_value", "step")
 TASK = (*CHECKPOINT, "task")
+# Members of a task document and of a prediction line.
 _TASK_SHAPE = "task_name string, task_hash string, model_hash string, model_config string, task_config string, compute_config string, processing_time string, current_date string, num_instances string, metrics map<string,string>, task_idx string"
 _LINE_SHAPE = "doc_id string, native_id string, label string, task_hash string, model_hash string, metrics map<string,string>, model_output array<struct<sum_logits:string,num_tokens:string,num_tokens_all:string,is_greedy:string,sum_logits_uncond:string,logits_per_token:string,logits_per_char:string,logits_per_byte:string,num_chars:string>>"
 _INT = ("num_tokens", "num_tokens_all", "num_chars")

@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 from quern.functions.numbers import finite_double, strip_blanks, whole_number
 from quern.session import checked_broadcast
 
-#: Column order of the scaling-law CSV files.
+#: Column order of the scaling-law CSV files.
 SCALING_COLUMNS = (
     "group", "model", "task", "chinchilla", "step", "tokens", "compute", "metrics",
     "eval/c4_en-validation/CrossEntropyLoss", "eval/dolma_common-crawl-validation/CrossEntropyLoss",
     "eval/pile-validation/CrossEntropyLoss", "eval/wikitext_103-validation/CrossEntropyLoss",
     "train/CrossEntropyLoss", "throughput/total_tokens", "seed",
 )
-#: Seed of retired runs that is still a valid value in the raw files.
+#: Fixed value: seed of retired runs that is still a valid value in the raw files.
 LEGACY_SEED = 6198
 _COMMA, _MARK = "\u0001b", "\u0001"
 

@@ -269,9 +269,9 @@ def q_filter_aggs(spark, d):
     )
 
 
-@query("SELECT recipe, params, seed_value, step, concat_ws(',', CASE WHEN COUNT(DISTINCT model_hash) > 1 THEN 'model_hash' END, CASE WHEN COUNT(DISTINCT tokens) > 1 THEN 'tokens' END) AS fields FROM tasks GROUP BY 1, 2, 3, 4 HAVING COUNT(DISTINCT tokens) > 1 OR COUNT(DISTINCT model_hash) > 1")
+@query("SELECT recipe, params, seed_value, step, concat_ws(',', CASE WHEN COUNT(DISTINCT num_instances) > 1 THEN 'num_instances' END, CASE WHEN COUNT(DISTINCT run_date) > 1 THEN 'run_date' END) AS fields FROM tasks GROUP BY 1, 2, 3, 4 HAVING COUNT(DISTINCT num_instances) > 1 OR COUNT(DISTINCT run_date) > 1")
 def q_conflicting_fields(spark, d):
-    found = validate.conflicts(table(spark, d, "tasks"), ["recipe", "params", "seed_value", "step"], ["tokens", "model_hash"])
+    found = validate.conflicts(table(spark, d, "tasks"), ["recipe", "params", "seed_value", "step"], ["num_instances", "run_date"])
     return found.withColumn("fields", F.array_join(F.sort_array("fields"), ","))
 
 
@@ -612,12 +612,10 @@ def q_scaling_resolution(spark, d):
 
     lines, groups = table(spark, d, "scaling_lines"), table(spark, d, "source_groups")
     files = table(spark, d, "source_files")
-    mapping = {r["source_group"]: r["recipe"] for r in groups.where("recipe IS NOT NULL").limit(1000).collect()}
-    retired = [r["source_group"] for r in groups.where("recipe IS NULL").limit(1000).collect()]
     rows = lines.join(files, "source_file").select(record_fields(F.col("raw_line")).alias("r"), F.col("precedence").alias("source_priority"), "source_file", F.col("line_no").alias("source_row")).where("r.sound AND size(r.fields) = 15")
     raw = rows.select("source_priority", "source_file", "source_row", *[F.get("r.fields", F.lit(k)).alias(c) for k, c in enumerate(SCALING_COLUMNS)])
-    usable = scaling_rows(raw, retired, 6198).where(whole_number(F.col("step")).isNotNull() & whole_number(F.col("seed")).isNotNull())
-    evaluations, _ = resolve_scaling(usable, mapping)
+    usable = scaling_rows(raw, groups, 6198).where(whole_number(F.col("step")).isNotNull() & whole_number(F.col("seed")).isNotNull())
+    evaluations, _ = resolve_scaling(usable, groups)
     return evaluations.select("recipe", "params", "seed_value", "step", "task", "source_file", "tokens", "compute", "metrics_fault", "acc_raw", "primary_metric")
 
 

@@ -319,9 +319,10 @@ def test_scaling_resolution(spark):
 
     schema = "source_priority int, source_file string, source_row bigint, " + ", ".join(f"`{c}` string" for c in columns)
     raw = spark.createDataFrame([row(0, loss="3.5"), row(1, metrics="{'acc_raw': 0.7}"), row(0, task="piqa", loss="3.6"), row(0, seed="6198"), row(0, seed=""), row(0, group="old"), row(0, group=None)], schema)
-    usable = preprocess.scaling_rows(raw, ["old"], 6198)
+    groups = spark.createDataFrame([("g", "c4"), ("old", None)], "source_group string, recipe string")
+    usable = preprocess.scaling_rows(raw, groups, 6198)
     assert usable.count() == 3 and validate.violations(usable, preprocess.scaling_rules(["g"])).count() == 0
-    evaluations, checkpoints = preprocess.resolve_scaling(usable, {"g": "c4"})
+    evaluations, checkpoints = preprocess.resolve_scaling(usable, groups)
     assert {r.task: (r.source_file, r.acc_raw, r.primary_metric) for r in evaluations.collect()} == {"boolq": ("f1", 0.7, 0.7), "piqa": ("f0", 0.5, None)}
     c = checkpoints.first()
     assert (c.source_file, c.c4_en_validation_cross_entropy, c.conflicting_fields, c.tokens) == ("f0", 3.5, ["c4_en_validation_cross_entropy"], 6553600)
