@@ -42,9 +42,14 @@ def score_cells(evaluations: DataFrame, n_recipes: int, n_seeds: int, by: Sequen
     ``means`` holds (recipe, seed mean) by recipe, ``seeds`` one array of scores
     per seed, both in recipe order.
     """
-    per_seed = evaluations.groupBy(*by, "seed").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("recipe").alias("n_recipes"), F.count_if(_is_finite(F.col("score"))).alias("n_finite"),
-        F.min("compute").alias("low"), F.max("compute").alias("high"), F.sort_array(F.collect_list(F.struct("recipe", "score"))).alias("scores"),
+    # One row per recipe first, combined map-side: repeated rows of a hot cell never
+    # meet in an array, which holds at most as many entries as there are recipes.
+    per_recipe = evaluations.groupBy(*by, "seed", "recipe").agg(
+        F.count(F.lit(1)).alias("k"), F.count_if(_is_finite(F.col("score"))).alias("k_finite"), F.min("score").alias("score"), F.min("compute").alias("low"), F.max("compute").alias("high"),
+    )
+    per_seed = per_recipe.groupBy(*by, "seed").agg(
+        F.sum("k").alias("n"), F.count(F.lit(1)).alias("n_recipes"), F.sum("k_finite").alias("n_finite"),
+        F.min("low").alias("low"), F.max("high").alias("high"), F.sort_array(F.collect_list(F.struct("recipe", "score"))).alias("scores"),
     )
     full = (F.col("n") == n_recipes) & (F.col("n_recipes") == n_recipes)
     cells = per_seed.groupBy(*by).agg(
