@@ -61,17 +61,20 @@ class StructuralIndex:
         self.raw = b"\n".join(texts) + b"\n"
         self.starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
         b = self.b = np.frombuffer(self.raw, np.uint8)
-        at = np.arange(len(b), dtype=np.int64)
         # a quote is escaped by an odd run of backslashes before it
         quotes = np.flatnonzero(b == _QUOTE)
-        if (b == _SLASH).any():
-            solid = np.maximum.accumulate(np.where(b != _SLASH, at, -1))
-            before = np.where(quotes > 0, solid[np.maximum(quotes - 1, 0)], -1)
-            quotes = quotes[(quotes - 1 - before) % 2 == 0]
+        slashes = np.flatnonzero(b == _SLASH)
+        if len(slashes):
+            heads = slashes[np.concatenate([[True], np.diff(slashes) > 1])]  # first of each run
+            behind = np.searchsorted(slashes, quotes) - 1
+            touched = (behind >= 0) & (slashes[np.maximum(behind, 0)] == quotes - 1)
+            run = quotes - heads[np.maximum(np.searchsorted(heads, quotes) - 1, 0)]
+            quotes = quotes[~touched | (run % 2 == 0)]
+        self.slashes = slashes
         self.open_quote, self.close_quote = quotes[0::2], quotes[1::2]
         bits = np.zeros(len(b), np.int8)
         bits[quotes] = 1
-        outside = (np.cumsum(bits, dtype=np.int64) & 1) == 0
+        outside = (np.cumsum(bits, dtype=np.int32) & 1) == 0
         kind = _TOKEN[b]
         self.pos = np.flatnonzero((kind > 0) & outside)
         self.kind = kind[self.pos]
@@ -133,8 +136,8 @@ class StructuralIndex:
         same[same] = (self.b[span] == np.frombuffer(name, np.uint8)).all(axis=1)
         long = np.flatnonzero(hi - lo > len(name))
         if len(long):
-            slashes = np.cumsum(self.b == _SLASH)
-            for k in long[(slashes[hi[long] - 1] - slashes[lo[long] - 1]) > 0]:  # a key written with escapes
+            escaped = np.searchsorted(self.slashes, hi[long]) > np.searchsorted(self.slashes, lo[long])
+            for k in long[escaped]:  # a key written with escapes
                 same[k] = json.loads(self.raw[lo[k] - 1 : hi[k] + 1]) == name.decode()
         row, at, token = row[same], at[same], token[same]
         last = np.ones(len(row), bool)

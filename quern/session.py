@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import zipfile
@@ -10,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.files import FileSystem
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -41,15 +44,18 @@ def stable_checkpoint(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="quern-checkpoint-")
-        context.setCheckpointDir(folder)
+        folder = _shared_folder(spark)
+        if folder is None and context.master != "local" and not context.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The folder named in ``spark.checkpoint.dir``, if any."""
+    return spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY) or None
+
+
 def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Mark ``df`` for broadcast when it has at most ``max_rows`` rows.
 
@@ -65,15 +71,23 @@ def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once per Spark application.
 
     Python workers import the package by name; a cluster that does not have it
-    installed gets it as a zip through Spark's own file server.
+    installed gets it as a zip, from the shared checkpoint folder where one is set, else
+    through Spark's own file server.
     """
     context = spark.sparkContext
     if getattr(context, "_quern_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    path = Path(tempfile.mkdtemp(prefix="quern-ship-")) / "quern.zip"
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, Path("quern") / source.relative_to(root))
-    context.addPyFile(str(path))
+    folder = _shared_folder(spark)
+    if folder is None:
+        path = str(Path(tempfile.mkdtemp(prefix="quern-ship-")) / "quern.zip")
+        Path(path).write_bytes(data.getvalue())
+    else:
+        path = f"{folder.rstrip('/')}/{context.applicationId}/quern.zip"
+        FileSystem(spark).write_bytes(path, data.getvalue())
+    context.addPyFile(path)
     context._quern_shipped = True

@@ -42,9 +42,12 @@ class FileSystem:
         return s.getLen(), s.getModificationTime()
 
     def write_text(self, path: str, text: str) -> None:
+        self.write_bytes(path, text.encode())
+
+    def write_bytes(self, path: str, data: bytes) -> None:
         fs, at = self._at(path)
         out = fs.create(at, True)
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(data))
         out.close()
 
     def read_text(self, path: str) -> str:
