@@ -38,7 +38,9 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 @query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_returnflag = 'R'")
 def q_scan_project_filter(spark, d):
     """Projection and filter that reach the Parquet scan."""
-    return table(spark, d, "lineitem").where((F.col("l_shipdate") >= F.lit("1998-01-01").cast("timestamp")) & (F.col("l_returnflag") == "R")).select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity"))
+    t = table(spark, d, "lineitem")
+    since = F.lit("1998-01-01").cast(dict(t.dtypes)["l_shipdate"])  # a cast of the column would keep the filter out of the scan
+    return t.where((F.col("l_shipdate") >= since) & (F.col("l_returnflag") == "R")).select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(copy_no AS BIGINT) AS copy_no FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS copy_no FROM lineitem) WHERE copy_no > 1")

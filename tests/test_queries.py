@@ -28,3 +28,10 @@ def test_runs(spark, name):
     df = QUERIES[name](spark, str(FOLDER))
     assert len(set(df.columns)) == len(df.columns)
     assert df.count() >= 0
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = QUERIES["q_scan_project_filter"](spark, str(FOLDER))._jdf.queryExecution().executedPlan().toString()
+    scan = plan[plan.index("FileScan") :]
+    assert "GreaterThanOrEqual(l_shipdate" in scan[scan.index("PushedFilters") :]
+    assert scan.startswith("FileScan parquet [") and scan[: scan.index("]")].count(",") == 4  # five columns
