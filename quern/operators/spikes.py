@@ -14,8 +14,10 @@ separated first.
 Scale: a source may hold a third of all rows. Long series are cut at
 approximate quantiles of time into segments of about ``segment`` readings, and
 each segment is judged with its two neighbours as context, so no task
-ever holds more than three segments. Scatter is that of the segment and its
-neighbours; series below ``segment`` readings are judged whole.
+ever holds more than three segments. The usual scatter and the even count are
+figures of the whole (source, field) at every length: a first pass over the
+segments forms the residuals, their exact medians over the series are handed to
+each segment. Shorter series are judged whole, from the same residuals.
 
 Defined results: NULL readings are skipped, NaN and infinite ones are limit
 findings; deliveries of one row_id count once (the latest arrival); rows with
@@ -30,7 +32,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import micros
@@ -45,6 +47,8 @@ LONGEST = 4
 #: Part of a spike's deviation that its first and last step must make up.
 STEP_SHARE = 0.7
 _MAD = 1.4826
+#: Medians over a whole series that its parts are judged by.
+FIGURES = ("off", "bend", "level", "step")
 FINDING = "row_id long, field_name string, kind string"
 _KINDS = np.array(["", "limit", "stuck", "spike"], object)
 
@@ -104,43 +108,53 @@ def _edges(y: np.ndarray, t: np.ndarray, left: np.ndarray, right: np.ndarray, lo
         return leave * np.sign(out) >= STEP_SHARE * np.abs(out), enter * np.sign(back) >= STEP_SHARE * np.abs(back)
 
 
-def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.0, rounds: int = 12) -> np.ndarray:
-    """Codes of one series in time order: 0 fine, 1 limit, 2 stuck, 3 spike."""
-    n = len(x)
-    code = np.zeros(n, np.int8)
-    if n == 0:
-        return code
-    same = np.zeros(n, bool)
+def _separated(x: np.ndarray, kind: str) -> np.ndarray:
+    """Codes of the stuck and impossible readings; 0 for those that follow a course."""
+    code = np.zeros(len(x), np.int8)
+    same = np.zeros(len(x), bool)
     same[1:] = x[1:] == x[:-1]
     edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
     for lo, hi in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
         if hi - lo >= 2:  # three equal readings: two repeats
             code[lo:hi] = 2
-    bad = ~np.isfinite(x) | (x <= 0 if kind == "loss" else x < 0)
-    code[bad] = 1
-    good = code == 0
-    if good.sum() < 6:
+    code[~np.isfinite(x) | (x <= 0 if kind == "loss" else x < 0)] = 1
+    return code
+
+
+def _residuals(x: np.ndarray, where: np.ndarray, kind: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """(places, values) whose medians over a series are its figures, from the readings ``where``."""
+    y, t = x[where], where.astype(float)
+    if kind == "count":
+        return {"step": (where[1:], np.diff(y) / np.diff(where))}
+    off, _, _ = _leaves(y, t, *_sides(y, t), np.arange(len(y)))
+    return {"off": (where, np.abs(off)), "bend": (where[1:-1], np.abs(y[1:-1] - (y[:-2] + y[2:]) / 2)), "level": (where, np.abs(y))}
+
+
+def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.0, rounds: int = 12, figures: Mapping[str, float] | None = None) -> np.ndarray:
+    """Codes of one series in time order: 0 fine, 1 limit, 2 stuck, 3 spike.
+
+    ``figures`` are the medians of the residuals over the whole series where ``x`` is a part of it.
+    """
+    n = len(x)
+    code = _separated(x, kind)
+    where = np.flatnonzero(code == 0)
+    if len(where) < 6:
         return code
-    where = np.flatnonzero(good)
+    if figures is None:
+        figures = {name: float(np.nanmedian(v)) for name, (_, v) in _residuals(x, where, kind).items()}
     if kind == "count":  # deviation from an even count; a restart is a shift of level
-        steps = np.diff(x[where]) / np.diff(where)
-        x = x - np.median(steps) * np.arange(n)
-    floor = 1e-9 * max(1.0, float(np.median(np.abs(x[where]))))
+        x = x - figures["step"] * np.arange(n)
+        # an even count has no scatter: a quarter is off it
+        scatter, floor = 0.0, 0.25
+    else:
+        scatter, floor = _MAD * figures["off"], 1e-9 * max(1.0, figures["level"])
+        # The course's bend inflates this. Second differences are free of it, but
+        # blind to slow noise, so they may lower the scatter by a quarter at most.
+        scatter = min(scatter, max(_MAD * figures["bend"] / np.sqrt(1.5), 0.75 * scatter))
     for _ in range(rounds):
         y, t = x[where], where.astype(float)
         left, right = _sides(y, t)
         every = np.arange(len(y))
-        off, _, _ = _leaves(y, t, left, right, every)
-        if np.isnan(off).all():
-            break
-        scatter = _MAD * np.nanmedian(np.abs(off))
-        # The course's bend inflates this. Second differences are free of it, but
-        # blind to slow noise, so they may lower the scatter by a quarter at most.
-        bend_free = _MAD * np.median(np.abs(y[1:-1] - (y[:-2] + y[2:]) / 2)) / np.sqrt(1.5)
-        scatter = min(scatter, max(bend_free, 0.75 * scatter))
-        if kind == "count":
-            # an even count has no scatter: a quarter is off it
-            scatter, floor = 0.0, 0.25
         new = np.zeros(len(y), bool)
         for size in range(1, LONGEST + 1):
             # a spike of ``size`` readings is judged by what lies before and after all of it
@@ -167,33 +181,60 @@ def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.
     return code
 
 
-def _series_runner(kinds: Mapping[str, str], limit: float):
+def _findings(kinds: Mapping[str, str], limit: float):
+    def judged(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        ids, fields, codes = [], [], []
+        row_id, own, value = (table.column(c).to_numpy() for c in ("row_id", "own", "value"))
+        first = pa.array(bounds[:-1])
+        names, figures = table.column("field").take(first).to_pylist(), table.column("figures").take(first).to_pylist()
+        for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            code = judge_series(value[lo:hi], kinds[names[k]], limit, figures=figures[k])
+            hit = np.flatnonzero((code > 0) & own[lo:hi])
+            if len(hit):
+                ids.append(row_id[lo:hi][hit])
+                codes.append(code[hit])
+                fields += [names[k]] * len(hit)
+        flat = np.concatenate(codes) if codes else np.zeros(0, np.int8)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64()), pa.array(fields, pa.string()), pa.array(_KINDS[flat].tolist(), pa.string())],
+            names=["row_id", "field_name", "kind"],
+        )
+
+    return judged
+
+
+def _measured(kinds: Mapping[str, str]):
+    def residuals(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        sources, fields, figures, values = [], [], [], []
+        own, value = (table.column(c).to_numpy() for c in ("own", "value"))
+        first = pa.array(bounds[:-1])
+        origins, names = table.column("source").take(first).to_pylist(), table.column("field").take(first).to_pylist()
+        for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            x, kind = value[lo:hi], kinds[names[k]]
+            where = np.flatnonzero(_separated(x, kind) == 0)
+            if len(where) < 2:
+                continue
+            for figure, (at, v) in _residuals(x, where, kind).items():
+                v = v[own[lo:hi][at] & ~np.isnan(v)]
+                sources += [origins[k]] * len(v)
+                fields += [names[k]] * len(v)
+                figures += [figure] * len(v)
+                values.append(v)
+        flat = np.concatenate(values) if values else np.zeros(0)
+        return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(fields, pa.string()), pa.array(figures, pa.string()), pa.array(flat, pa.float64())], names=["source", "field", "figure", "value"])
+
+    return residuals
+
+
+def _series_runner(work):
     """mapInArrow function over partitions sorted by series; a series may span batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def judged(columns: list[np.ndarray], bounds: np.ndarray, names: list[str]) -> pa.RecordBatch:
-            ids, fields, codes = [], [], []
-            row_id, own, value = columns
-            for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-                code = judge_series(value[lo:hi], kinds[names[k]], limit)
-                hit = np.flatnonzero((code > 0) & own[lo:hi])
-                if len(hit):
-                    ids.append(row_id[lo:hi][hit])
-                    codes.append(code[hit])
-                    fields += [names[k]] * len(hit)
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.int8)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64()), pa.array(fields, pa.string()), pa.array(_KINDS[flat].tolist(), pa.string())],
-                names=["row_id", "field_name", "kind"],
-            )
-
         held: list[pa.RecordBatch] = []
 
-        def flush(table: pa.Table, changes: np.ndarray) -> pa.RecordBatch:
-            columns = [table.column(c).to_numpy() for c in ("row_id", "own", "value")]
-            bounds = np.concatenate([[0], changes, [table.num_rows]]).astype(np.int64)
-            names = table.column("field").take(pa.array(bounds[:-1])).to_pylist()
-            return judged(columns, bounds, names)
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            return work(table, np.concatenate([[0], _changes(table), [table.num_rows]]).astype(np.int64))
 
         last = None
         for batch in batches:
@@ -204,23 +245,34 @@ def _series_runner(kinds: Mapping[str, str], limit: float):
             first_is_new = last is not None and series[0] != last
             last = series[-1]
             if first_is_new:
-                table = pa.Table.from_batches(held)
-                yield flush(table, _changes(table))
+                yield flush()
                 held = []
             if len(cuts):
                 held.append(batch.slice(0, int(cuts[-1])))
-                table = pa.Table.from_batches(held)
-                yield flush(table, _changes(table))
+                yield flush()
                 held = [batch.slice(int(cuts[-1]))]
             else:
                 held.append(batch)
         if held:
-            table = pa.Table.from_batches(held)
-            yield flush(table, _changes(table))
+            yield flush()
 
     return run
 
 
+def exact_medians(rows: DataFrame, key: list[str], value: str, accuracy: int = 10_000) -> DataFrame:
+    """key, median: exact for groups of any size.
+
+    A quantile sketch (rank error at most 1 / accuracy) bounds the middle; only distinct
+    values between its bounds are ordered, the ones below count at the lower bound.
+    """
+    share = [0.5 - 3 / accuracy, 0.5 + 3 / accuracy]
+    bounds = rows.groupBy(*key).agg(F.count(value).alias("n"), F.percentile_approx(value, share, accuracy).alias("b"))
+    middle = rows.join(bounds, key).where(F.col(value) <= F.col("b")[1]).groupBy(*key, "n", F.greatest(F.col(value), F.col("b")[0]).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    seen = middle.withColumn("upto", F.sum("c").over(Window.partitionBy(*key).orderBy("v")))
+    at = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - k) / 2), F.col("v"))) for k in (1, 0)]
+    return seen.groupBy(*key).agg(((at[0] + at[1]) / 2).alias("median"))
+
+
 def _changes(table: pa.Table) -> np.ndarray:
     series = table.column("series").to_numpy()
     return np.flatnonzero(series[1:] != series[:-1]) + 1
@@ -253,23 +305,34 @@ def find_spikes(
         .select("row_id", "source", "t", "c.field", "c.value")
         .where("value IS NOT NULL")
     )
-    # Only series beyond one segment get cut points: at most one per ``segment`` readings.
+    # Only series beyond one segment get cut points: at most one per ``segment`` readings, so their frames are small enough to broadcast.
     grid = 4096
     counted = long.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > segment)
-    heavy = long.join(counted, ["source", "field"], "left_semi")
+    heavy = long.join(F.broadcast(counted), ["source", "field"], "left_semi")
     marks = F.percentile_approx("t", [k / grid for k in range(1, grid)], 20_000)
     step = F.greatest(F.lit(1), F.floor(F.lit(grid) / F.ceil(F.col("n") / segment))).cast("int")
     cuts = (
         heavy.groupBy("source", "field").agg(marks.alias("marks"), F.count(F.lit(1)).alias("n"))
         .select(F.col("source").alias("c_source"), F.col("field").alias("c_field"), F.array_distinct(F.filter("marks", lambda m, i: (i + 1) % step == 0)).alias("cuts"))
     )
-    placed = long.join(cuts, (F.col("source") == F.col("c_source")) & (F.col("field") == F.col("c_field")), "left")
+    here = (F.col("source") == F.col("c_source")) & (F.col("field") == F.col("c_field"))
+    kinds = dict(fields)
+    # The figures of a long series: residuals by segment, medians over all of it.
+    measured = _in_segments(long.join(F.broadcast(cuts), here), "source").mapInArrow(_series_runner(_measured(kinds)), "source string, field string, figure string, value double")
+    medians = exact_medians(measured, ["source", "field", "figure"], "value")
+    figures = medians.groupBy(F.col("source").alias("c_source"), F.col("field").alias("c_field")).agg(F.struct(*[F.max(F.when(F.col("figure") == f, F.col("median"))).alias(f) for f in FIGURES]).alias("figures"))
+    guides = cuts.join(figures, ["c_source", "c_field"], "left")
+    return _in_segments(long.join(F.broadcast(guides), here, "left"), "figures").mapInArrow(_series_runner(_findings(kinds, limit)), FINDING)
+
+
+def _in_segments(placed: DataFrame, kept: str) -> DataFrame:
+    """Every segment with its neighbours, ordered by series and time; rows without cuts are one segment."""
     home = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda m: m <= F.col("t"))))
     targets = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1), lambda s: (s >= 0) & (s <= F.size("cuts"))))
     spread = (
         placed.withColumn("home", home)
         .withColumn("at", F.explode(targets))
-        .select(F.xxhash64("source", "field", "at").alias("series"), "source", "field", "at", "t", "row_id", "value", (F.col("at") == F.col("home")).alias("own"))
+        .select(F.xxhash64("source", "field", "at").alias("series"), "source", "field", "at", "t", "row_id", "value", (F.col("at") == F.col("home")).alias("own"), *[kept] * (kept != "source"))
     )
     ordered = spread.repartition("source", "field", "at").sortWithinPartitions("series", "source", "field", "at", "t", "row_id")
-    return ordered.select("series", "field", "row_id", "own", "value").mapInArrow(_series_runner(dict(fields), limit), FINDING)
+    return ordered.select("series", "field", "row_id", "own", "value", kept)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators.spikes import find_spikes, judge_series
+from quern.operators.spikes import exact_medians, find_spikes, judge_series
 
 
 def course(n=200, seed=0, scatter=0.01):
@@ -108,3 +108,27 @@ def test_latest_delivery_counts_and_nulls_are_skipped(spark):
     df = spark.createDataFrame([*rows, late, *bare], SCHEMA)
     assert sorted(map(tuple, find_spikes(df).collect())) == [(60, "train_cross_entropy", "spike"), (100, "train_cross_entropy", "spike")]
     assert find_spikes(df.limit(0)).count() == 0
+
+
+def test_changing_noise_is_judged_by_the_whole_run(spark):
+    """Noisy early, quiet late: segments take the run's scatter and even count, not their own."""
+    n = 4000
+    draw = np.random.default_rng(7)
+    x = 5 + draw.normal(0, 1, n) * np.where(np.arange(n) < 1200, 0.04, 0.01)
+    x[[300, 700]] += 0.5  # far beyond the run's scatter, not beyond ten times that of the noisy part
+    x[[2500, 3300]] += 0.12  # within the run's, beyond ten times that of the quiet part
+    steps = np.cumsum(np.where(np.arange(n) < 1200, 7, 25))
+    rows = [(k, "run-0", int(steps[k]), float(x[k]), None, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=k), None) for k in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = sorted(map(tuple, find_spikes(df).collect()))
+    assert {(300, "train_cross_entropy", "spike"), (700, "train_cross_entropy", "spike")} <= set(whole)
+    assert not {2500, 3300} & {r[0] for r in whole}
+    assert sorted(map(tuple, find_spikes(df, segment=300).collect())) == whole
+
+
+def test_exact_medians(spark):
+    draw = np.random.default_rng(1)
+    groups = {"odd": draw.normal(size=5001), "even": draw.normal(size=5000), "ties": draw.integers(0, 3, 900).astype(float), "one": np.array([2.5]), "two": np.array([1.0, 2.0])}
+    df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
+    for accuracy in (50, 10_000):
+        assert {r.k: r.median for r in exact_medians(df, ["k"], "v", accuracy).collect()} == {k: float(np.median(v)) for k, v in groups.items()}
