@@ -130,7 +130,7 @@ def _residuals(x: np.ndarray, where: np.ndarray, kind: str) -> dict[str, tuple[n
     return {"off": (where, np.abs(off)), "bend": (where[1:-1], np.abs(y[1:-1] - (y[:-2] + y[2:]) / 2)), "level": (where, np.abs(y))}
 
 
-def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.0, rounds: int = 12, figures: Mapping[str, float] | None = None) -> np.ndarray:
+def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.0, figures: Mapping[str, float] | None = None) -> np.ndarray:
     """Codes of one series in time order: 0 fine, 1 limit, 2 stuck, 3 spike.
 
     ``figures`` are the medians of the residuals over the whole series where ``x`` is a part of it.
@@ -151,7 +151,7 @@ def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.
         # The course's bend inflates this. Second differences are free of it, but
         # blind to slow noise, so they may lower the scatter by a quarter at most.
         scatter = min(scatter, max(_MAD * figures["bend"] / np.sqrt(1.5), 0.75 * scatter))
-    for _ in range(rounds):
+    while len(where) >= 6:  # every round takes readings out, so it ends
         y, t = x[where], where.astype(float)
         left, right = _sides(y, t)
         every = np.arange(len(y))
@@ -176,8 +176,6 @@ def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.
             break
         code[where[new]] = 3
         where = where[~new]
-        if len(where) < 6:
-            break
     return code
 
 

@@ -132,3 +132,10 @@ def test_exact_medians(spark):
     df = spark.createDataFrame([(k, float(v)) for k, vs in groups.items() for v in vs], "k string, v double")
     for accuracy in (50, 10_000):
         assert {r.k: r.median for r in exact_medians(df, ["k"], "v", accuracy).collect()} == {k: float(np.median(v)) for k, v in groups.items()}
+
+
+def test_rounds_go_on_until_nothing_is_found():
+    """Readings that hide one another are peeled off one a round, sixteen rounds here."""
+    x = 2.5 + np.random.default_rng(0).normal(0, 0.01, 400)
+    x[200:216] += 0.5 * 4.0 ** np.arange(16)
+    assert flagged(x) == {"spike": set(range(200, 216))}
