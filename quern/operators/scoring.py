@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -35,12 +36,41 @@ def bits_index(bits: Column) -> Column:
     return first_smallest(bits)
 
 
+def octets_of(log_likelihood: Column, bits: Column) -> Column:
+    """Bytes of a continuation, from its log likelihood and its published bits per byte; NULL where they give none."""
+    octets = F.round(F.try_divide(-log_likelihood, bits * math.log(2)))
+    return F.when((octets >= 1) & (octets < 2**53), octets.cast("bigint"))
+
+
+def published_items(choices: DataFrame, key: list[str]) -> DataFrame:
+    """Items of a ``choice_table``: ``predicted_<rule>`` and ``published_per_byte``, as places in the published list.
+
+    Bytes are not published and follow from logits_per_byte (bits). Both per-byte
+    predictions are NULL unless every choice of the item has it; a NaN counts as none.
+    """
+    bits = F.when(F.abs("logits_per_byte") < math.inf, F.col("logits_per_byte"))
+    shaped = choices.select(
+        *key, "choice_index", F.col("sum_logits").alias("log_likelihood"), F.col("num_tokens").alias("tokens"), F.col("num_chars").alias("chars"),
+        octets_of(F.col("sum_logits"), bits).alias("octets"), F.col("sum_logits_uncond").alias("unconditional"), bits.alias("bits"),
+    )
+    items = nested_items(shaped, key, fields=(*CHOICE, "bits"))
+    whole = {f: ~F.exists(F.col(f"choices.{f}"), lambda v: v.isNull()) for f in ("octets", "bits")}
+    items = predicted_indexes(items).withColumn("published_per_byte", F.when(whole["bits"], bits_index(F.col("choices.bits"))))
+    items = items.withColumn("predicted_per_byte", F.when(whole["octets"], F.col("predicted_per_byte")))
+    # a null element is no choice but keeps its place
+    return items.withColumns({c: F.get("choices", F.col(c))["i"].cast("int") for c in (*[f"predicted_{r}" for r in RULES], "published_per_byte")})
+
+
 def compare_items(ours: DataFrame, published: DataFrame, key: str) -> DataFrame:
     """Per rule: agreement and both accuracies over items on both sides.
 
     ``ours`` has predicted_<rule> and gold_index, ``published`` published_<rule> and label.
     """
-    joined = ours.join(published, key)
+    return compare_joined(ours.join(published, key), key)
+
+
+def compare_joined(joined: DataFrame, key: str) -> DataFrame:
+    """``compare_items`` of rows that hold both sides."""
     rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"predicted_{r}").alias("o"), F.col(f"published_{r}").alias("p")) for r in RULES]))
     flat = joined.select(key, "gold_index", "label", rows.alias("x"))
     apart = F.when(F.col("x.o") != F.col("x.p"), F.struct(F.col(key), F.col("x.o").alias("ours"), F.col("x.p").alias("published")))

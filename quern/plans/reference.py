@@ -13,7 +13,7 @@ from quern.functions.scalar import answer_index, by_policy, continuations, direc
 from quern.operators import aggregates as agg
 from quern.operators import diagnostics, ranking, relational, runs, schedule, validate, verify
 from quern.operators.preprocess import PRIMARY_METRIC, parse_literal_metrics, schedule_ratios
-from quern.operators.scoring import compare_items, nested_items, predicted_indexes
+from quern.operators.scoring import compare_joined, published_items
 from quern.plans import views
 from quern.plans.views import EVALUATIONS_SQL, PAIRS_SQL, RECIPES, SEEDS, TARGET_SIZE, TARGET_STEP, table
 
@@ -627,24 +627,24 @@ def q_choice_predictions(spark, d):
     from quern.operators.nested import choice_table, flatten_bundles
 
     choices = choice_table(flatten_bundles(table(spark, d, "prediction_bundles"), bodies=True))
-    shaped = choices.select("bundle_id", "prediction_index", "choice_index", F.col("sum_logits").alias("log_likelihood"), F.col("num_tokens").alias("tokens"), F.col("num_chars").alias("chars"), F.col("num_chars").alias("octets"), F.col("sum_logits_uncond").alias("unconditional"))
-    items = predicted_indexes(nested_items(shaped, ["bundle_id", "prediction_index"]))
-    return items.drop("choices")
+    return published_items(choices, ["bundle_id", "prediction_index"]).drop("choices", "published_per_byte")
 
 
 @query()
 def q_rule_agreement(spark, d):
-    """Agreement of computed and published predictions per decision rule."""
-    from quern.functions.scalar import RULES
+    """Agreement of computed and published predictions per decision rule; the published label is the gold answer.
+
+    The published per-byte prediction is the smallest logits_per_byte. Ours divides by bytes that
+    follow from the same figure, so it tests the whole bytes behind it, not an own count of them.
+    """
     from quern.operators.nested import choice_table, flatten_bundles, prediction_table
 
     rows = flatten_bundles(table(spark, d, "prediction_bundles"), bodies=True)
-    shaped = choice_table(rows).select("bundle_id", "prediction_index", "choice_index", F.col("sum_logits").alias("log_likelihood"), F.col("num_tokens").alias("tokens"), F.col("num_chars").alias("chars"), F.col("num_chars").alias("octets"), F.col("sum_logits_uncond").alias("unconditional"))
-    key = F.concat_ws("/", "bundle_id", "prediction_index").alias("item")
-    ours = predicted_indexes(nested_items(shaped, ["bundle_id", "prediction_index"])).withColumn("gold_index", F.lit(None).cast("bigint"))
-    names = {"raw": "predicted_index_raw", "per_token": "predicted_index_per_token", "per_char": "predicted_index_per_char", "per_byte": "predicted_index_per_byte", "pmi": "predicted_index_uncond"}
-    published = prediction_table(rows).select(key, "label", *[F.get_json_object("metrics", f"$.{names[r]}").try_cast("int").alias(f"published_{r}") for r in RULES])
-    return compare_items(ours.select(key, "gold_index", *[f"predicted_{r}" for r in RULES]), published, "item").drop("first_mismatch")
+    place = ["bundle_id", "prediction_index"]
+    names = {"raw": "predicted_index_raw", "per_token": "predicted_index_per_token", "per_char": "predicted_index_per_char", "pmi": "predicted_index_uncond"}
+    published = prediction_table(rows).select(*place, "label", F.col("label").alias("gold_index"), *[F.get_json_object("metrics", f"$.{n}").try_cast("int").alias(f"published_{r}") for r, n in names.items()])
+    joined = published_items(choice_table(rows), place).join(published, place).withColumn("item", F.concat_ws("/", *place))
+    return compare_joined(joined, "item").drop("first_mismatch")
 
 
 @query("""SELECT a.recipe, a.params, a.seed, a.step, task, score, loss, loss IS NOT NULL AND NOT isnan(loss) AND isfinite(loss) AND score IS NOT NULL AND isfinite(score) AS available FROM

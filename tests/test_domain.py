@@ -1,3 +1,4 @@
+import json
 import math
 
 import numpy as np
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import scalar
 from quern.operators import aggregates, diagnostics, preprocess, ranking, relational, runs, schedule, scoring, validate, verify
+from quern.plans import reference
 
 NAN, INF = float("nan"), float("inf")
 
@@ -364,3 +366,26 @@ def test_details(spark):
     assert details.detail_faults(df).count() == 0
     bad = spark.createDataFrame([*good, ("c4", "4M", 2, 1, "boolq", task, 2, line(1, task_hash="other")), ("c4", "4M", 2, 1, "piqa", task, None, None)], schema)
     assert sorted((r.task, r.fault, r.n) for r in details.detail_faults(bad).collect()) == [("boolq", "count", 1), ("boolq", "doc_id", 2), ("boolq", "hash", 1), ("piqa", "count", 2), ("piqa", "metrics", 1)]
+
+
+def test_rule_agreement_has_bytes_and_gold_answers(spark, tmp_path):
+    """Bytes come from the published bits; predictions are places in the published list."""
+
+    def choice(bits, octets, chars):
+        return {"sum_logits": -bits * octets * math.log(2) if bits else -9.0, "num_tokens": 2, "num_chars": chars, "logits_per_byte": bits}
+
+    def prediction(label, choices, raw):
+        return {"doc_id": label, "label": label, "metrics": {"predicted_index_raw": raw}, "model_output": choices}
+
+    predictions = [
+        prediction(1, [choice(2.0, 10, 10), choice(1.0, 30, 10)], 0),  # per character the first, per byte the second
+        prediction(0, [None, choice(2.0, 10, 10), choice(1.5, 10, 10)], 2),
+        prediction(0, [choice(1.0, 4, 4), choice(None, 4, 4)], 0),
+    ]
+    spark.createDataFrame([(1, json.dumps({"predictions": predictions}))], "bundle_id bigint, payload string").write.parquet(str(tmp_path / "prediction_bundles.parquet"))
+    chosen = {r.prediction_index: (r.predicted_raw, r.predicted_per_char, r.predicted_per_byte) for r in reference.q_choice_predictions(spark, str(tmp_path)).collect()}
+    assert chosen == {0: (0, 0, 1), 1: (2, 2, 2), 2: (0, 0, None)}
+    got = {r.rule: (r["items"], r.agreement, r.accuracy_ours, r.accuracy_published) for r in reference.q_rule_agreement(spark, str(tmp_path)).collect()}
+    assert got["per_byte"] == (3, 1.0, 0.5, 0.5)
+    assert got["raw"] == (3, 1.0, pytest.approx(1 / 3), pytest.approx(1 / 3))
+    assert got["per_char"] == (3, None, pytest.approx(1 / 3), None)
