@@ -203,15 +203,34 @@ def scaling_rows(raw: DataFrame, groups: DataFrame, legacy_seed: int) -> DataFra
     return kept.join(checked_broadcast(retired), "group", "left_anti").select(raw.columns)
 
 
-def scaling_rules(groups: Sequence[str]) -> list[Rule]:
+def scaling_rules(groups: Sequence[str], seeds: Sequence[int] | None = None) -> list[Rule]:
+    """Rules of a row in scope; ``groups`` and ``seeds`` are the known ones (any whole seed without ``seeds``)."""
     step, seed = whole_number(F.col("step")), whole_number(F.col("seed"))
     optional = lambda c, read: F.coalesce(strip_blanks(F.col(c)) != "", F.lit(False)) & read(F.col(c)).isNull()
     return [
-        outside_domain("group", groups), outside_domain("model", SIZES), Rule("task", ~tidy(F.col("task")), F.col("task")), Rule("step", step.isNull() | (step < 0), F.col("step")), Rule("seed", seed.isNull(), F.col("seed")),
+        outside_domain("group", groups), outside_domain("model", SIZES), Rule("task", ~tidy(F.col("task")), F.col("task")), Rule("step", step.isNull() | (step < 0), F.col("step")), Rule("seed", seed.isNull() if seeds is None else seed.isNull() | ~seed.isin(*seeds), F.col("seed")),
         Rule("tokens", optional("tokens", whole_number), F.col("tokens")), Rule("compute", optional("compute", finite_double), F.col("compute")),
+        *[Rule(m, optional(f"`{r}`", finite_double), F.col(f"`{r}`")) for m, r in LOSS_COLUMNS.items()],
     ]
 
 
+def _with_recipe(raw: DataFrame, groups: DataFrame) -> DataFrame:
+    names = groups.where("recipe IS NOT NULL").groupBy(F.col("source_group").alias("group")).agg(F.min("recipe").alias("recipe"))
+    return raw.join(checked_broadcast(names), "group")
+
+
+def scaling_duplicates(raw: DataFrame, groups: DataFrame) -> DataFrame:
+    """Cells with several rows in one file: its last row (the one that is kept), and in ``value`` the cell and its number of rows.
+
+    ``kind`` tells whether the rows agree: ``duplicate`` or ``unequal duplicate`` (other metrics or losses).
+    """
+    key = ["recipe", F.col("model").alias("params"), whole_number(F.col("seed")).alias("seed_value"), whole_number(F.col("step")).alias("step"), "task"]
+    content = F.struct("metrics", *[F.col(f"`{r}`") for r in LOSS_COLUMNS.values()])
+    cells = _with_recipe(raw, groups).groupBy("source_priority", "source_file", *key).agg(F.max("source_row").alias("source_row"), F.count(F.lit(1)).alias("n"), F.min(content).alias("least"), F.max(content).alias("most")).where("n > 1")
+    cell = F.concat_ws("/", "recipe", "params", "seed_value", "step", "task")
+    return cells.select("source_file", "source_row", F.when(F.col("least").eqNullSafe(F.col("most")), "duplicate").otherwise("unequal duplicate").alias("kind"), F.concat(cell, F.lit(" x "), F.col("n").cast("string")).alias("value"))
+
+
 def resolve_scaling(raw: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(evaluations, checkpoint losses) of raw scaling rows that passed their rules.
 
@@ -220,9 +239,8 @@ def resolve_scaling(raw: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataF
     row). A checkpoint's losses come from the best file that has any: files with loss
     data first, then priority. Tokens and compute are those of the schedule.
     """
-    names = groups.where("recipe IS NOT NULL").groupBy(F.col("source_group").alias("group")).agg(F.min("recipe").alias("recipe"))
     losses = LOSS_COLUMNS
-    rows = raw.join(checked_broadcast(names), "group").select(
+    rows = _with_recipe(raw, groups).select(
         "recipe", F.col("model").alias("params"), whole_number(F.col("seed")).alias("seed_value"), whole_number(F.col("step")).alias("step"), "task",
         "source_priority", "source_file", "source_row", F.col("metrics"), *[finite_double(F.col(f"`{r}`")).alias(m) for m, r in losses.items()],
     )

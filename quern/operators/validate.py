@@ -46,7 +46,13 @@ def violations(df: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ()) -
         hit, shown = F.coalesce(rule.broken, F.lit(False)), rule.value if rule.value is not None else F.lit(None).cast("string")
         entry = F.struct(F.lit(k).alias("rule_no"), F.lit(rule.kind).alias("kind"), shown.cast("string").alias("value"))
         case = F.when(hit, entry) if case is None else case.when(hit, entry)
-    return df.select(*keep, case.alias("_v")).where("_v IS NOT NULL").select(*keep, "_v.kind", "_v.value", "_v.rule_no")
+    # exploded, so that the long case is one expression and not one for each of its fields
+    return df.select(*keep, F.explode(F.array(case)).alias("_v")).where("_v IS NOT NULL").select(*keep, "_v.kind", "_v.value", "_v.rule_no")
+
+
+def sound_rows(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """The rows that ``violations`` does not report."""
+    return df.where(~F.greatest(*[F.coalesce(r.broken, F.lit(False)) for r in rules], F.lit(False)))
 
 
 def first_violation(df: DataFrame, rules: Sequence[Rule], ordinal: Sequence[str]) -> DataFrame:

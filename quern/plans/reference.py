@@ -606,21 +606,52 @@ def q_literal_dict_udf(spark, d):
     return parsed.select("line_id", "m.fault", "m.correct_choice", "m.acc_raw", "m.acc_per_char")
 
 
-@query()
-def q_scaling_resolution(spark, d):
-    """Evaluations of the raw scaling files after precedence, with schedule columns."""
+def _scaling(spark, d):
+    """(rows in scope, rules, groups) of the raw scaling files."""
     from quern.operators.parse_lines import SCALING_COLUMNS, record_fields
-    from quern.operators.preprocess import resolve_scaling, scaling_rows
+    from quern.operators.preprocess import scaling_rows, scaling_rules
 
     lines, groups = table(spark, d, "scaling_lines"), table(spark, d, "source_groups")
     files = table(spark, d, "source_files")
-    rows = lines.join(files, "source_file").select(record_fields(F.col("raw_line")).alias("r"), F.col("precedence").alias("source_priority"), "source_file", F.col("line_no").alias("source_row")).where("r.sound AND size(r.fields) = 15")
+    # exploded, so that filters on fields are not pushed into the splitting and repeat it
+    rows = lines.join(files, "source_file").select(F.explode(F.array(record_fields(F.col("raw_line")))).alias("r"), F.col("precedence").alias("source_priority"), "source_file", F.col("line_no").alias("source_row")).where("r.sound AND size(r.fields) = 15")
     raw = rows.select("source_priority", "source_file", "source_row", *[F.get("r.fields", F.lit(k)).alias(c) for k, c in enumerate(SCALING_COLUMNS)])
-    usable = scaling_rows(raw, groups, 6198).where(whole_number(F.col("step")).isNotNull() & whole_number(F.col("seed")).isNotNull())
-    evaluations, _ = resolve_scaling(usable, groups)
+    # both lookup tables are fixed
+    known = [r[0] for r in groups.where("recipe IS NOT NULL").select("source_group").distinct().collect()]
+    seeds = [r[0] for r in table(spark, d, "seeds").select("seed_value").distinct().collect()]
+    return scaling_rows(raw, groups, 6198), scaling_rules(known, seeds), groups
+
+
+@query()
+def q_scaling_resolution(spark, d):
+    """Evaluations of the raw scaling files that pass the rules, after precedence, with schedule columns."""
+    from quern.operators.preprocess import resolve_scaling
+
+    rows, rules, groups = _scaling(spark, d)
+    evaluations, _ = resolve_scaling(validate.sound_rows(rows, rules), groups)
     return evaluations.select("recipe", "params", "seed_value", "step", "task", "source_file", "tokens", "compute", "metrics_fault", "acc_raw", "primary_metric")
 
 
+@query()
+def q_scaling_checkpoints(spark, d):
+    """Losses of each checkpoint in the raw scaling files, from its best file."""
+    from quern.operators.preprocess import LOSS_COLUMNS, resolve_scaling
+
+    rows, rules, groups = _scaling(spark, d)
+    _, checkpoints = resolve_scaling(validate.sound_rows(rows, rules), groups)
+    return checkpoints.select("recipe", "params", "seed_value", "step", "source_file", "tokens", "compute", "conflicting_fields", *LOSS_COLUMNS)
+
+
+@query()
+def q_scaling_faults(spark, d):
+    """Raw scaling rows in scope that break a rule (the first they break), and cells repeated within a file."""
+    from quern.operators.preprocess import scaling_duplicates
+
+    rows, rules, groups = _scaling(spark, d)
+    broken = validate.violations(rows, rules, ["source_file", "source_row"]).drop("rule_no").select("source_file", "source_row", "kind", "value")
+    return broken.unionByName(scaling_duplicates(validate.sound_rows(rows, rules), groups))
+
+
 @query()
 def q_choice_predictions(spark, d):
     """Predicted choice of each prediction under every decision rule."""

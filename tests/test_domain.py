@@ -389,3 +389,26 @@ def test_rule_agreement_has_bytes_and_gold_answers(spark, tmp_path):
     assert got["per_byte"] == (3, 1.0, 0.5, 0.5)
     assert got["raw"] == (3, 1.0, pytest.approx(1 / 3), pytest.approx(1 / 3))
     assert got["per_char"] == (3, None, pytest.approx(1 / 3), None)
+
+
+def test_scaling_faults_are_reported_not_passed(spark, tmp_path):
+    def line(group="g", model="4M", task="boolq", step="100", tokens="", compute="", metrics="{'acc_raw': 0.5}", loss="3.5", seed="2"):
+        return ",".join([group, model, task, "5xC", step, tokens, compute, f'"{metrics}"', loss, "", "", "", "", "", seed])
+
+    bad = {"group": "unknown", "step": "-1", "seed": "77", "tokens": "many", "compute": "inf", "loss": "high"}
+    lines = [line(), line(metrics="{'acc_raw': 0.7}"), line(task="piqa"), line(task="piqa"), line(seed="6198"), *[line(task="csqa", **{k: v}) for k, v in bad.items()]]
+    tables = {
+        "scaling_lines": ([(k, "f", k, text) for k, text in enumerate(lines)], "line_id bigint, source_file string, line_no bigint, raw_line string"),
+        "source_groups": ([("g", "c4"), ("old", None)], "source_group string, recipe string"),
+        "source_files": ([("f", 1)], "source_file string, precedence int"),
+        "seeds": ([(2, "s2")], "seed_value bigint, seed string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    d = str(tmp_path)
+    assert {(r.task, r.acc_raw) for r in reference.q_scaling_resolution(spark, d).collect()} == {("boolq", 0.7), ("piqa", 0.5)}
+    got = {(r.source_row, r.kind, r.value) for r in reference.q_scaling_faults(spark, d).collect()}
+    twice = {(1, "unequal duplicate", "c4/4M/2/100/boolq x 2"), (3, "duplicate", "c4/4M/2/100/piqa x 2")}
+    kinds = ["group", "step", "seed", "tokens", "compute", "c4_en_validation_cross_entropy"]
+    assert got == twice | {(5 + k, kind, value) for k, (kind, value) in enumerate(zip(kinds, bad.values(), strict=True))}
+    assert [(r.step, r.c4_en_validation_cross_entropy, r.conflicting_fields) for r in reference.q_scaling_checkpoints(spark, d).collect()] == [(100, 3.5, [])]
