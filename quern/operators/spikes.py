@@ -1,7 +1,7 @@
 """Implausible spikes in measurements, judged per source by its own course.
 
 Readings are turned into one long series per (source, field). Each series gets a
-robust local-linear autoregression in both directions: a reading is predicted
+robust local-linear regression on time in both directions: a reading is predicted
 from the readings before it, from those after it, and by interpolation between
 both. A reading is an additive outlier if it leaves all three predictions to the
 same side, the interpolated one by more than ``limit`` times the series' usual
