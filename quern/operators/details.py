@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.numbers import whole_number
+
 CHECKPOINT = ("recipe", "params", "seed_value", "step")
 TASK = (*CHECKPOINT, "task")
 # Members of a task document and of a prediction line.
@@ -30,7 +32,7 @@ def task_rows(lines: DataFrame, metrics: tuple[str, ...] = ("acc_raw", "acc_per_
     t = one.withColumn("t", F.from_json("text", _TASK_SHAPE))
     return t.select(
         *TASK, "t.task_name", "t.task_hash", "t.model_hash", "t.model_config", "t.task_config", "t.compute_config", _finite(F.col("t.processing_time")).alias("processing_time"), F.col("t.current_date").alias("current_date"),
-        F.col("t.num_instances").try_cast("bigint").alias("num_instances"), F.get_json_object("t.task_config", "$.primary_metric").alias("primary_metric"), "n_lines",
+        whole_number(F.col("t.num_instances")).alias("num_instances"), F.get_json_object("t.task_config", "$.primary_metric").alias("primary_metric"), "n_lines",
         *[_finite(F.try_element_at("t.metrics", F.lit(m))).alias(m) for m in metrics],
     )
 
@@ -42,15 +44,15 @@ def _parsed(lines: DataFrame) -> DataFrame:
 def instance_rows(lines: DataFrame, metrics: tuple[str, ...] = ("acc_raw", "acc_per_token", "acc_per_char", "acc_per_byte", "acc_uncond", "correct_choice", "predicted_index_raw")) -> DataFrame:
     """One row per prediction line."""
     return _parsed(lines).select(
-        *TASK, "line_no", F.col("p.doc_id").try_cast("bigint").alias("doc_id"), F.col("p.native_id").alias("native_id"), F.col("p.label").try_cast("bigint").alias("label"), F.col("p.task_hash").alias("task_hash"), F.col("p.model_hash").alias("model_hash"),
+        *TASK, "line_no", whole_number(F.col("p.doc_id")).alias("doc_id"), F.col("p.native_id").alias("native_id"), whole_number(F.col("p.label")).alias("label"), F.col("p.task_hash").alias("task_hash"), F.col("p.model_hash").alias("model_hash"),
         F.coalesce(F.array_size("p.model_output"), F.lit(0)).alias("n_choices"), *[_finite(F.try_element_at("p.metrics", F.lit(m))).alias(m) for m in metrics],
     )
 
 
 def choice_rows(lines: DataFrame) -> DataFrame:
     """One row per choice, with its 0-based index; predictions without choices give none."""
-    c = _parsed(lines).select(*TASK, F.col("p.doc_id").try_cast("bigint").alias("doc_id"), F.posexplode("p.model_output").alias("choice_index", "c"))
-    return c.select(*TASK, "doc_id", "choice_index", *[_finite(F.col(f"c.{f}")).alias(f) for f in _FLOAT], *[F.col(f"c.{f}").try_cast("bigint").alias(f) for f in _INT], F.col("c.is_greedy").try_cast("boolean").alias("is_greedy"))
+    c = _parsed(lines).select(*TASK, whole_number(F.col("p.doc_id")).alias("doc_id"), F.posexplode("p.model_output").alias("choice_index", "c"))
+    return c.select(*TASK, "doc_id", "choice_index", *[_finite(F.col(f"c.{f}")).alias(f) for f in _FLOAT], *[whole_number(F.col(f"c.{f}")).alias(f) for f in _INT], F.col("c.is_greedy").try_cast("boolean").alias("is_greedy"))
 
 
 def detail_faults(lines: DataFrame) -> DataFrame:

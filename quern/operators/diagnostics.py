@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,6 +105,13 @@ def select_evidence(rows: DataFrame, *, equal: Mapping[str, Sequence[object]] |
     return rows
 
 
+class Between(NamedTuple):
+    """Values from ``low`` to ``high``, both included; a plain list names single values."""
+
+    low: float
+    high: float
+
+
 def claim_evidence(rows: DataFrame, row_id: str, claims: Mapping[str, Mapping[str, object]]) -> DataFrame:
     """(claim_id, task, row_ids, best_row): the rows behind each claim and the best of them.
 
@@ -118,7 +126,7 @@ def claim_evidence(rows: DataFrame, row_id: str, claims: Mapping[str, Mapping[st
 def _meets(scope: Mapping[str, object]) -> Column:
     out = F.lit(True)
     for column, wanted in scope.items():
-        if isinstance(wanted, list | tuple) and len(wanted) == 2 and all(isinstance(v, float) for v in wanted):
+        if isinstance(wanted, Between):
             out = out & F.col(column).between(*wanted)
         elif isinstance(wanted, list | tuple):
             out = out & F.col(column).isin(*wanted)

@@ -89,19 +89,28 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_invalid_values, p2_fou
 # -- the same answers in DuckDB's SQL --------------------------------------------------
 
 _FIELD = r'(?:"(?:[^"]|"")*"|[^",]*)'
-_NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+NUMBER = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 
-def _cell(k: int) -> str:
+def field_pattern(n: int) -> str:
+    """``n`` comma-separated fields."""
+    return f"{_FIELD}(,{_FIELD}){{{n - 1}}}"
+
+
+def bare_field(k: int) -> str:
+    """Field ``k`` of a sound record without its quotes."""
     raw = f"rtrim(regexp_extract(raw_line, '(?s)^(?:{_FIELD},){{{k}}}({_FIELD})', 1), chr(13) || chr(10))"
-    inner = f"CASE WHEN starts_with({raw}, '\"') THEN replace(substring({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
-    return f"trim({inner}, ' ' || chr(9) || chr(10) || chr(13))"
+    return f"CASE WHEN starts_with({raw}, '\"') THEN replace(substring({raw}, 2, length({raw}) - 2), '\"\"', '\"') ELSE {raw} END"
+
+
+def _cell(k: int) -> str:
+    return f"trim({bare_field(k)}, ' ' || chr(9) || chr(10) || chr(13))"
 
 
-def _whole(v: str) -> str:
+def whole_sql(v: str) -> str:
     """The value as a whole DECIMAL, NULL if it is none."""
     number = f"TRY_CAST(ltrim({v}, '+') AS DECIMAL(38,12))"
-    return f"CASE WHEN regexp_full_match({v}, '{_NUMBER}') AND {number} = trunc({number}) AND abs({number}) <= 9223372036854775807 THEN {number} END"
+    return f"CASE WHEN regexp_full_match({v}, '{NUMBER}') AND {number} = trunc({number}) AND abs({number}) <= 9223372036854775807 THEN {number} END"
 
 
 P1_SQL = f"""
@@ -114,10 +123,10 @@ cells AS (
   FROM shaped WHERE sound AND n_fields = 15)
 SELECT line_id, 'quoting' AS reason FROM shaped WHERE NOT sound
 UNION ALL SELECT line_id, 'column_count' FROM shaped WHERE sound AND n_fields <> 15
-UNION ALL SELECT line_id, 'step' FROM cells WHERE coalesce({_whole('step')}, -1) < 0
-UNION ALL SELECT line_id, 'tokens' FROM cells WHERE tokens <> '' AND coalesce({_whole('tokens')}, -1) < 0
-UNION ALL SELECT line_id, 'compute' FROM cells WHERE compute <> '' AND NOT coalesce(regexp_full_match(compute, '{_NUMBER}') AND isfinite(TRY_CAST(compute AS DOUBLE)) AND TRY_CAST(compute AS DOUBLE) >= 0, FALSE)
-UNION ALL SELECT line_id, 'seed' FROM cells WHERE seed <> '' AND coalesce({_whole('seed')}, -1) NOT IN (SELECT seed_value FROM seeds UNION ALL SELECT 6198)"""
+UNION ALL SELECT line_id, 'step' FROM cells WHERE coalesce({whole_sql('step')}, -1) < 0
+UNION ALL SELECT line_id, 'tokens' FROM cells WHERE tokens <> '' AND coalesce({whole_sql('tokens')}, -1) < 0
+UNION ALL SELECT line_id, 'compute' FROM cells WHERE compute <> '' AND NOT coalesce(regexp_full_match(compute, '{NUMBER}') AND isfinite(TRY_CAST(compute AS DOUBLE)) AND TRY_CAST(compute AS DOUBLE) >= 0, FALSE)
+UNION ALL SELECT line_id, 'seed' FROM cells WHERE seed <> '' AND coalesce({whole_sql('seed')}, -1) NOT IN (SELECT seed_value FROM seeds UNION ALL SELECT 6198)"""
 
 _P2_FIELDS = ("primary_score", "acc_raw", "acc_per_token", "acc_per_char", "acc_uncond", "no_answer")
 _P2_SIDES = """

@@ -14,7 +14,7 @@ from quern.operators import aggregates as agg
 from quern.operators import diagnostics, ranking, relational, runs, schedule, validate, verify
 from quern.operators.preprocess import PRIMARY_METRIC, parse_literal_metrics, schedule_ratios
 from quern.operators.scoring import compare_joined, published_items
-from quern.plans import views
+from quern.plans import scaling_sql, views
 from quern.plans.views import EVALUATIONS_SQL, PAIRS_SQL, RECIPES, SEEDS, TARGET_SIZE, TARGET_STEP, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -536,6 +536,23 @@ def q_regex_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(key != "", key).alias("size"))
 
 
+@query("""SELECT recipe, params, seed_value, step, task, loaded_at, strftime(loaded_at, '%Y-%m-%d %H:%M:%S') AS run_datetime_rnp, 'try_' || task AS exp_name_rnp, replace(recipe, '-', '_') AS data_rnp, params AS params_rnp,
+  CASE WHEN seed_value % 3 = 0 THEN CAST(step AS VARCHAR) WHEN params LIKE '%M' THEN 'main_branch' END AS checkpoint_rnp, seed_value AS epochs_rnp, step % 90 + 1 AS total_tok_rnp, CASE WHEN seed_value % 3 = 0 THEN 'finetune' ELSE 'dpo' END AS method_rnp,
+  '1.0E-' || CAST(step % 3 + 5 AS VARCHAR) AS lr, CAST(step AS VARCHAR) AS steps, task[1:3] AS note FROM tasks""")
+def q_run_names(spark, d):
+    """Parts of run names written from every task row, in both forms of time and of the model part."""
+    t = table(spark, d, "tasks")
+    key = ["recipe", "params", "seed_value", "step", "task", "loaded_at"]
+    stamp = F.when(F.col("seed_value") % 2 == 0, F.date_format("loaded_at", "yyMMdd-HHmmss")).otherwise(F.date_format("loaded_at", "yyyy_MM_dd-HH_mm_ss"))
+    data, tokens = F.replace("recipe", F.lit("-"), F.lit("_")), F.concat((F.col("step") % 90 + 1).cast("string"), F.lit("Mtx"), F.col("seed_value").cast("string"))
+    tuned = F.concat(F.lit("_DD-base_Ft_DD-"), data, F.lit("-"), F.col("params"), F.lit("-"), F.col("step").cast("string"), F.lit("-0_finetune_"), tokens)
+    plain = F.concat(F.lit("_DD-"), data, F.lit("-"), F.col("params"), F.lit("_main_branch_"), tokens, F.lit("_DPO"))
+    options = F.concat(F.lit("_--learning_rate=1e-0"), (F.col("step") % 3 + 5).cast("string"), F.lit("_--steps="), F.col("step").cast("string"), F.lit(".0_--note="), F.substring("task", 1, 3))
+    name = F.concat(stamp, F.lit("_try_"), F.col("task"), F.when(F.col("seed_value") % 3 == 0, tuned).otherwise(plain), options)
+    rows = runs.with_name_parts(t.select(*key, name.alias("run_name")))
+    return rows.select(*key, *[c for c in rows.columns if c.endswith("_rnp") and c != "options_rnp"], *[F.col("options_rnp")[o].alias(o) for o in ("lr", "steps", "note")])
+
+
 @query("SELECT p_partkey, list_contains(string_split(p_type, ' '), 'STEEL') AS STEEL_tag, list_contains(string_split(p_type, ' '), 'BRASS') AS BRASS_tag FROM part")
 def q_tag_onehot(spark, d):
     p = table(spark, d, "part").select("p_partkey", F.replace("p_type", F.lit(" "), F.lit(", ")).alias("tags"))
@@ -622,34 +639,34 @@ def _scaling(spark, d):
     return scaling_rows(raw, groups, 6198), scaling_rules(known, seeds), groups
 
 
-@query()
+@query(scaling_sql.RESOLUTION_SQL)
 def q_scaling_resolution(spark, d):
     """Evaluations of the raw scaling files that pass the rules, after precedence, with schedule columns."""
     from quern.operators.preprocess import resolve_scaling
 
     rows, rules, groups = _scaling(spark, d)
     evaluations, _ = resolve_scaling(validate.sound_rows(rows, rules), groups)
-    return evaluations.select("recipe", "params", "seed_value", "step", "task", "source_file", "tokens", "compute", "metrics_fault", "acc_raw", "primary_metric")
+    return evaluations.select("recipe", "params", "seed_value", "step", "task", "source_file", "tokens", "compute", F.col("metrics_fault").isNotNull().alias("metrics_faulty"), "acc_raw", "logits_per_byte_corr", "primary_metric")
 
 
-@query()
+@query(scaling_sql.CHECKPOINTS_SQL)
 def q_scaling_checkpoints(spark, d):
     """Losses of each checkpoint in the raw scaling files, from its best file."""
     from quern.operators.preprocess import LOSS_COLUMNS, resolve_scaling
 
     rows, rules, groups = _scaling(spark, d)
     _, checkpoints = resolve_scaling(validate.sound_rows(rows, rules), groups)
-    return checkpoints.select("recipe", "params", "seed_value", "step", "source_file", "tokens", "compute", "conflicting_fields", *LOSS_COLUMNS)
+    return checkpoints.select("recipe", "params", "seed_value", "step", "source_file", "tokens", "compute", "chinchilla", *LOSS_COLUMNS)
 
 
-@query()
+@query(scaling_sql.FAULTS_SQL)
 def q_scaling_faults(spark, d):
-    """Raw scaling rows in scope that break a rule (the first they break), and cells repeated within a file."""
-    from quern.operators.preprocess import scaling_duplicates
+    """Raw scaling rows in scope that break a rule (the first they break), cells repeated within a file, conflicting checkpoints."""
+    from quern.operators.preprocess import scaling_conflicts
 
     rows, rules, groups = _scaling(spark, d)
     broken = validate.violations(rows, rules, ["source_file", "source_row"]).drop("rule_no").select("source_file", "source_row", "kind", "value")
-    return broken.unionByName(scaling_duplicates(validate.sound_rows(rows, rules), groups))
+    return broken.unionByName(scaling_conflicts(validate.sound_rows(rows, rules), groups))
 
 
 @query()
@@ -692,7 +709,7 @@ def q_loss_observations(spark, d):
   SELECT claim_id, task, array_to_string(list_sort(list(row_id)), ',') AS row_ids, arg_min(row_id, (-acc, row_id)) AS best_row FROM c GROUP BY 1, 2""")
 def q_claim_evidence(spark, d):
     rows = diagnostics.by_approach(_accuracies(spark, d)).where("approach = 'per_seed'").withColumn("row_id", F.concat_ws("/", "params", F.col("step").cast("string")))
-    found = diagnostics.claim_evidence(rows, "row_id", {"small_scale": {"compute_ratio": (0.0, 0.5), "metric": "qty"}, "counts": {"metric": ["lines"]}})
+    found = diagnostics.claim_evidence(rows, "row_id", {"small_scale": {"compute_ratio": diagnostics.Between(0.0, 0.5), "metric": "qty"}, "counts": {"metric": ["lines"]}})
     return found.withColumn("row_ids", F.array_join("row_ids", ","))
 
 

@@ -140,7 +140,7 @@ def test_errors_and_losses(spark):
 
 def test_claims(spark):
     rows = spark.createDataFrame([(0, "t", "acc", 0.1, 0.5, True), (1, "t", "acc", 0.2, 0.9, True), (2, "t", "acc", 0.9, 0.9, True), (3, "u", "acc", 0.1, 0.1, False)], "row_id int, task string, metric string, compute_ratio double, decision_accuracy double, available boolean")
-    got = {(r.claim_id, r.task): (r.row_ids, r.best_row) for r in diagnostics.claim_evidence(rows, "row_id", {"small": {"compute_ratio": (0.0, 0.5)}, "all": {"metric": ["acc"]}}).collect()}
+    got = {(r.claim_id, r.task): (r.row_ids, r.best_row) for r in diagnostics.claim_evidence(rows, "row_id", {"small": {"compute_ratio": diagnostics.Between(0.0, 0.5)}, "all": {"metric": ["acc"]}}).collect()}
     assert got == {("small", "t"): ([0, 1], 1), ("all", "t"): ([0, 1, 2], 1)}
     assert diagnostics.select_evidence(rows, equal={"task": ["t"], "metric": []}, at_least={"compute_ratio": 0.2}).count() == 2
 
@@ -242,14 +242,25 @@ def test_run_names(spark):
         "2025_08_21-10_11_12_try_one_DD-c4-10M_main_5Mtx3_finetune",
         "2025_08_21-10_11_12_base_Ft_DD-dclm_qc10p-60M-29042-0__100Mt",
         "nothing here",
+        "2025_08_21-10_11_12_old_60M_dolma_x",
+        "250821-101112_a_Ft_DD-dclm_60M_290_0-1B_x",
+        "250821-101112__DD-c4-10M_long_name_5Mtx3_--learning_rate=1_--learning_rate=12345678901234567_--x.y=1_--flag",
+        None,
+        "",
+        "250821-101112_7B_DD--4M_Mtx3__20Mt",
     ]
     got = runs.with_name_parts(spark.createDataFrame([(n,) for n in names], "run_name string")).collect()
-    assert [r.run_datetime_rnp for r in got] == ["2025-08-21 10:11:12"] * 3 + [None]
+    assert [r.run_datetime_rnp for r in got] == ["2025-08-21 10:11:12"] * 3 + [None] + ["2025-08-21 10:11:12"] * 3 + [None, None, "2025-08-21 10:11:12"]
     assert got[0].exp_name_rnp == "dpo_test" and got[1].exp_name_rnp == "try_one" and got[3].exp_name_rnp is None
     assert (got[0].data_rnp, got[0].params_rnp, got[0].checkpoint_rnp, got[0].epochs_rnp, got[0].total_tok_rnp, got[0].method_rnp) == ("dolma1_7", "150M", "main", 2, 100, "dpo")
     assert got[0].options_rnp == {"lr": "5.0E-6", "beta": "0.1", "epochs": "2", "mode": "fast"}
     assert (got[2].data_rnp, got[2].params_rnp, got[2].checkpoint_rnp, got[2].total_tok_rnp) == ("dclm_qc10p", "60M", "29042", 100)
     assert got[1].method_rnp == "finetune" and got[3].options_rnp == {}
+    assert (got[4].exp_name_rnp, got[4].data_rnp, got[4].params_rnp) == ("old", None, None)
+    assert (got[5].exp_name_rnp, got[5].data_rnp, got[5].params_rnp, got[5].checkpoint_rnp) == ("a_Ft", "dclm", "60M", "290")
+    assert (got[6].exp_name_rnp, got[6].data_rnp, got[6].checkpoint_rnp, got[6].options_rnp) == (None, "c4", "long_name", {"lr": "12345678901234567"})
+    assert all(v in (None, {}) for r in got[7:9] for k, v in r.asDict().items() if k.endswith("_rnp"))
+    assert (got[9].exp_name_rnp, got[9].data_rnp, got[9].params_rnp, got[9].epochs_rnp, got[9].total_tok_rnp) == ("7B", None, "4M", None, 20)
 
 
 def test_run_tables(spark, rows):
@@ -262,6 +273,8 @@ def test_run_tables(spark, rows):
     assert rows(runs.metric_documents(docs, "k", {"oe/boolq": "boolq"})) == [(1, "oe_boolq_acc", "0.5"), (1, "oe_boolq_n", "3")]
     typed = runs.inferred_types(spark.createDataFrame([("1", "1.5", "true", "x", None), ("2.0", None, "False", "1", None)], "a string, b string, c string, d string, e string"))
     assert [t for _, t in typed.dtypes] == ["bigint", "double", "boolean", "string", "string"]
+    other = runs.inferred_types(spark.createDataFrame([(1.0, 1.5, [1, 2], None, 2), (NAN, 2.0, None, None, None)], "a double, b double, c array<int>, d double, e int"))
+    assert [t for _, t in other.dtypes] == ["bigint", "double", "string", "double", "int"] and [tuple(r)[:3] for r in other.collect()] == [(1, 1.5, "[1,2]"), (None, 2.0, None)]
     models = runs.model_columns(spark.createDataFrame([("x/Ladder-c4-150M/snapshots/1", 152e6), (None, None)], "model_name_or_path string, model_size double"), prefix="Ladder-", names={"c4": "C4"})
     assert rows(models, "data", "params") == [("C4", "150M"), (None, None)]
     assert [r.differing for r in runs.unequal_columns(spark.createDataFrame([(1, 1), (1, 2), (None, 3)], "a int, b int"), [("a", "b")]).collect()] == [1]
@@ -281,15 +294,16 @@ def test_run_tables(spark, rows):
 
 
 def test_literal_metrics(spark):
-    good = "{'acc_raw': 0.5, 'no_answer': None, 'predicted_index_raw': 1}"
-    assert preprocess.literal_metrics(good) == {"acc_raw": 0.5, "no_answer": None, "predicted_index_raw": 1.0}
-    bad = ["[1]", "{'acc_raw': '1'}", "{'acc_raw': True}", "{'acc_raw': 1e309}", "{'acc_raw': 1" + "0" * 1000 + "}", "{'nope': 1}", "{'acc_raw': 1, 'acc_raw': 2}", "{1: 2}", "", None, "{'acc_raw': f()}", "{**{}}", "{'acc_raw': -1e400}"]
+    good = "{'acc_raw': 0.5, 'no_answer': None, 'predicted_index_raw': 1, 'primary_metric': 2, 'logits_per_byte_corr': -7}"
+    assert preprocess.literal_metrics(good) == {"acc_raw": 0.5, "no_answer": None, "logits_per_byte_corr": -7.0} and len(preprocess.METRICS) == 28
+    assert preprocess.literal_metrics("{}") == {} and preprocess.literal_metrics(" {'acc_raw': +1_0,} ") == {"acc_raw": 10.0}
+    bad = ["[1]", "{'acc_raw': '1'}", "{'acc_raw': True}", "{'acc_raw': 1e309}", "{'acc_raw': 1" + "0" * 1000 + "}", "{'nope': 1}", "{'acc_raw': 1, 'acc_raw': 2}", "{1: 2}", "", None, "{'acc_raw': f()}", "{**{}}", "{'acc_raw': -1e400}", "{'acc_raw': 2j}", "{'acc_raw': 10**1000}", "{'primary_metric': 'x'}", "{[1]: 2}", "{'acc_raw': 1} x", "{" * 500]
     for text in bad:
         with pytest.raises(ValueError):
             preprocess.literal_metrics(text)
     df = spark.createDataFrame([(good,), *[(b,) for b in bad]], "t string").select(preprocess.parse_literal_metrics(F.col("t")).alias("m")).select("m.*")
     rows = df.collect()
-    assert rows[0].fault is None and rows[0].acc_raw == 0.5 and all(r.fault for r in rows[1:])
+    assert rows[0].fault is None and rows[0].acc_raw == 0.5 and rows[0].logits_per_byte_corr == -7 and all(r.fault for r in rows[1:])
 
 
 def test_ppl_pipeline(spark):
@@ -316,8 +330,8 @@ def test_aggregate_pipeline(spark):
 def test_scaling_resolution(spark):
     columns = ["group", "model", "task", "chinchilla", "step", "tokens", "compute", "metrics", "eval/c4_en-validation/CrossEntropyLoss", "eval/dolma_common-crawl-validation/CrossEntropyLoss", "eval/pile-validation/CrossEntropyLoss", "eval/wikitext_103-validation/CrossEntropyLoss", "train/CrossEntropyLoss", "throughput/total_tokens", "seed"]
 
-    def row(priority, group="g", task="boolq", loss="", metrics="{'acc_raw': 0.5}", seed="2.0"):
-        return (priority, f"f{priority}", 1, group, "4M", task, "5xC", "100", "", "", metrics, loss, "", "", "", "", "", seed)
+    def row(priority, group="g", task="boolq", loss="", metrics="{'acc_raw': 0.5}", seed="2.0", tokens=""):
+        return (priority, f"f{priority}", 1, group, "4M", task, "5xC", "100", tokens, "", metrics, loss, "", "", "", "", "", seed)
 
     schema = "source_priority int, source_file string, source_row bigint, " + ", ".join(f"`{c}` string" for c in columns)
     raw = spark.createDataFrame([row(0, loss="3.5"), row(1, metrics="{'acc_raw': 0.7}"), row(0, task="piqa", loss="3.6"), row(0, seed="6198"), row(0, seed=""), row(0, group="old"), row(0, group=None)], schema)
@@ -326,8 +340,17 @@ def test_scaling_resolution(spark):
     assert usable.count() == 3 and validate.violations(usable, preprocess.scaling_rules(["g"])).count() == 0
     evaluations, checkpoints = preprocess.resolve_scaling(usable, groups)
     assert {r.task: (r.source_file, r.acc_raw, r.primary_metric) for r in evaluations.collect()} == {"boolq": ("f1", 0.7, 0.7), "piqa": ("f0", 0.5, None)}
-    c = checkpoints.first()
-    assert (c.source_file, c.c4_en_validation_cross_entropy, c.conflicting_fields, c.tokens) == ("f0", 3.5, ["c4_en_validation_cross_entropy"], 6553600)
+    # f0 gives the checkpoint two losses: rejected and reported
+    assert checkpoints.count() == 0
+    assert [tuple(r) for r in preprocess.scaling_conflicts(usable, groups).collect()] == [("f0", 1, "conflict", "c4/4M/2/100: c4_en_validation_cross_entropy")]
+    one_loss = spark.createDataFrame([row(0, loss="3.5"), row(1, metrics="{'acc_raw': 0.7}"), row(0, task="piqa", loss="3.50")], schema)
+    c = preprocess.resolve_scaling(preprocess.scaling_rows(one_loss, groups, 6198), groups)[1].first()
+    assert (c.source_file, c.c4_en_validation_cross_entropy, c.chinchilla, c.tokens) == ("f0", 3.5, "5xC", 6553600)
+    strict = lambda *rows: preprocess.preprocess_scaling(spark.createDataFrame(list(rows), schema), groups, [2], 6198)
+    assert [df.count() for df in strict(row(0, loss="3.5"), row(1))] == [1, 1]
+    for bad, kind in (([row(0, group="new")], "group"), ([row(0), row(0)], "duplicate"), ([row(0, loss="3"), row(0, task="piqa", loss="4")], "conflict"), ([row(0, tokens="100")], "schedule"), ([row(0, metrics="{'acc_raw': '1'}")], "metrics")):
+        with pytest.raises(validate.ViolationError, match=kind):
+            strict(*bad)
 
 
 def test_published_and_runs(spark):
@@ -364,6 +387,9 @@ def test_details(spark):
     assert sorted((r.doc_id, r.acc_raw, r.n_choices) for r in details.instance_rows(df).collect()) == [(0, 0.0, 2), (1, 1.0, 2)]
     assert sorted((r.doc_id, r.choice_index, r.sum_logits, r.is_greedy) for r in details.choice_rows(df).where("doc_id = 0").collect()) == [(0, 0, -1.0, False), (0, 1, None, None)]
     assert details.detail_faults(df).count() == 0
+    whole = spark.createDataFrame([("c4", "4M", 2, 1, "boolq", task.replace('"num_instances": 2', '"num_instances": 1.0'), 0, line(7.0, label="1.0", model_output=[{"num_tokens": 12.0, "num_chars": "7.0"}]))], schema)
+    r, c = details.instance_rows(whole).first(), details.choice_rows(whole).first()
+    assert (details.task_rows(whole).first().num_instances, r.doc_id, r.label, c.num_tokens, c.num_chars) == (1, 7, 1, 12, 7)
     bad = spark.createDataFrame([*good, ("c4", "4M", 2, 1, "boolq", task, 2, line(1, task_hash="other")), ("c4", "4M", 2, 1, "piqa", task, None, None)], schema)
     assert sorted((r.task, r.fault, r.n) for r in details.detail_faults(bad).collect()) == [("boolq", "count", 1), ("boolq", "doc_id", 2), ("boolq", "hash", 1), ("piqa", "count", 2), ("piqa", "metrics", 1)]
 
@@ -406,9 +432,9 @@ def test_scaling_faults_are_reported_not_passed(spark, tmp_path):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
     d = str(tmp_path)
-    assert {(r.task, r.acc_raw) for r in reference.q_scaling_resolution(spark, d).collect()} == {("boolq", 0.7), ("piqa", 0.5)}
+    assert reference.q_scaling_resolution(spark, d).count() == 0  # both cells are repeated in their file
     got = {(r.source_row, r.kind, r.value) for r in reference.q_scaling_faults(spark, d).collect()}
     twice = {(1, "unequal duplicate", "c4/4M/2/100/boolq x 2"), (3, "duplicate", "c4/4M/2/100/piqa x 2")}
     kinds = ["group", "step", "seed", "tokens", "compute", "c4_en_validation_cross_entropy"]
     assert got == twice | {(5 + k, kind, value) for k, (kind, value) in enumerate(zip(kinds, bad.values(), strict=True))}
-    assert [(r.step, r.c4_en_validation_cross_entropy, r.conflicting_fields) for r in reference.q_scaling_checkpoints(spark, d).collect()] == [(100, 3.5, [])]
+    assert [(r.step, r.c4_en_validation_cross_entropy) for r in reference.q_scaling_checkpoints(spark, d).collect()] == [(100, 3.5)]
