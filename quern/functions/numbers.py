@@ -44,7 +44,8 @@ def whole_number(text: Column) -> Column:
     nothing = F.lit(None).cast("bigint")
 
     def parts(t: Column) -> Column:
-        return F.struct(*[F.regexp_extract(t, NUMBER, k).alias(n) for k, n in enumerate(("sign", "whole", "fraction", "power"), 1)])
+        # named_struct: aliases inside an expression are dropped where a generator stands beside it
+        return F.named_struct(*[x for k, n in enumerate(("sign", "whole", "fraction", "power"), 1) for x in (F.lit(n), F.regexp_extract(t, NUMBER, k))])
 
     def sized(p: Column) -> Column:
         exponent = F.coalesce(
@@ -55,7 +56,7 @@ def whole_number(text: Column) -> Column:
         kept = F.rtrim(digits, F.lit("0"))
         # zeros to append to the significant digits; negative means a fraction remains
         zeros = F.length(digits) - F.length(kept) - F.length(p["fraction"]) + exponent
-        return F.struct(p["sign"].alias("sign"), F.ltrim(kept, F.lit("0")).alias("lead"), zeros.alias("zeros"))
+        return F.named_struct(F.lit("sign"), p["sign"], F.lit("lead"), F.ltrim(kept, F.lit("0")), F.lit("zeros"), zeros)
 
     def value(n: Column) -> Column:
         size = F.length(n["lead"]) + n["zeros"]
