@@ -1,4 +1,4 @@
-"""Queries of the text problems over the test tables."""
+"""Queries of the problems of this subpackage over the test tables."""
 
 from __future__ import annotations
 
@@ -8,12 +8,28 @@ from pyspark.sql import functions as F
 from quern.llm.leakage import find_leaks
 from quern.llm.mixing import mix_documents, mix_shares, source_name
 from quern.llm.reading_level import demanding_documents, fit_reading_level, reading_levels
+from quern.llm.statements import ORACLE
+from quern.llm.survivors import evaluation_survivors, merged_evaluations
+
+__all__ = ["ORACLE", "QUERIES"]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _evaluation_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return _read(spark, d, "evaluations"), _read(spark, d, "source_groups"), _read(spark, d, "source_files")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation_survivors(*_evaluation_tables(spark, d))
+
+
+def p4_merged(spark: SparkSession, d: str) -> DataFrame:
+    return merged_evaluations(*_evaluation_tables(spark, d))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(_read(spark, d, "documents"), _read(spark, d, "eval_items"))
 
@@ -56,6 +72,4 @@ def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     return levels.join(named, "doc_id").groupBy("source", "nearest_level").agg(F.count(F.lit(1)).alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_tasks, p6_near, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
-
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p4_found, p4_merged, p6_found, p6_tasks, p6_near, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}
