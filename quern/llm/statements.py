@@ -27,11 +27,11 @@ P4_SQL = f"WITH {_P4_ROWS}\n" + "\nUNION ALL ".join(
 
 #: Candidates are the latest row per cell, filled fields and trust; undominated ones are counted by comparing all of them.
 P4_MERGED_SQL = f"""WITH {_P4_ROWS},
-known AS (SELECT *, {' + '.join(f"CASE WHEN {_has(f)} THEN {1 << k} ELSE 0 END" for k, f in enumerate(_P4_FIELDS))} AS mask, coalesce(precedence, -2147483648) AS trust, coalesce(loaded_at, TIMESTAMP '0001-01-01') AS at FROM cells),
-candidates AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY group_id, mask, trust ORDER BY at DESC, eval_id) = 1),
-skyline AS (SELECT * FROM candidates x WHERE NOT EXISTS (SELECT 1 FROM candidates a WHERE a.group_id = x.group_id AND (a.mask & x.mask) = x.mask AND a.trust >= x.trust AND a.at >= x.at AND (a.mask <> x.mask OR a.trust > x.trust OR a.at > x.at))),
-best AS (SELECT group_id, COUNT(*) AS n_undominated, arg_min(eval_id, (-trust, -epoch_us(at), -bit_count(mask), eval_id)) AS best_eval_id FROM skyline GROUP BY 1)
+known AS (SELECT *, {' + '.join(f"CASE WHEN {_has(f)} THEN {1 << k} ELSE 0 END" for k, f in enumerate(_P4_FIELDS))} AS mask, coalesce(precedence, -2147483648) AS trust, coalesce(loaded_at, TIMESTAMP '0001-01-01') AS came FROM cells),
+candidates AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY group_id, mask, trust ORDER BY came DESC, eval_id) = 1),
+skyline AS (SELECT * FROM candidates x WHERE NOT EXISTS (SELECT 1 FROM candidates a WHERE a.group_id = x.group_id AND (a.mask & x.mask) = x.mask AND a.trust >= x.trust AND a.came >= x.came AND (a.mask <> x.mask OR a.trust > x.trust OR a.came > x.came))),
+best AS (SELECT group_id, COUNT(*) AS n_undominated, arg_min(eval_id, (-trust, -epoch_us(came), -bit_count(mask), eval_id)) AS best_eval_id FROM skyline GROUP BY 1)
 SELECT k.recipe, k_params AS params, k_seed AS seed, k_step AS step, k_task AS task, group_id, any_value(n) AS n_rows, any_value(best_eval_id) AS best_eval_id, any_value(n_undominated) AS n_undominated,
-  {', '.join(f"arg_min({f}, (-trust, -epoch_us(at), eval_id)) FILTER (WHERE {_has(f)}) AS {f}" for f in _P4_FIELDS)} FROM known k JOIN best USING (group_id) GROUP BY 1, 2, 3, 4, 5, 6"""
+  {', '.join(f"arg_min({f}, (-trust, -epoch_us(came), eval_id)) FILTER (WHERE {_has(f)}) AS {f}" for f in _P4_FIELDS)} FROM known k JOIN best USING (group_id) GROUP BY 1, 2, 3, 4, 5, 6"""
 
 ORACLE = {"p4_found": P4_SQL, "p4_merged": P4_MERGED_SQL}

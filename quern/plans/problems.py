@@ -1,4 +1,4 @@
-"""Queries of the core training-data problems (p1 to p5) over the test tables."""
+"""Queries of the core training-data problems (p1, p2, p3 and p5) over the test tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from quern.operators.nested import choice_table, flatten_bundles, prediction_table, span_table
 from quern.operators.parse_lines import ParsedRecords, parse_records
 from quern.operators.spikes import find_spikes
-from quern.operators.survivors import evaluation_survivors, merged_evaluations
 from quern.operators.table_diff import diff_task_results, task_findings
 
 
@@ -24,10 +23,6 @@ def _diff(spark: SparkSession, d: str) -> DataFrame:
     return diff_task_results(*(_read(spark, d, t) for t in ("tasks", "olmes", "recipes", "seeds")))
 
 
-def _evaluation_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return _read(spark, d, "evaluations"), _read(spark, d, "source_groups"), _read(spark, d, "source_files")
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return _parsed(spark, d).findings
 
@@ -59,14 +54,6 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_spikes(_read(spark, d, "checkpoint_losses")).groupBy("field_name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation_survivors(*_evaluation_tables(spark, d))
-
-
-def p4_merged(spark: SparkSession, d: str) -> DataFrame:
-    return merged_evaluations(*_evaluation_tables(spark, d))
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten_bundles(_read(spark, d, "prediction_bundles")).select("bundle_id", "doc_id", "choice_index", "span_index")
 
@@ -83,7 +70,7 @@ def p5_spans(spark: SparkSession, d: str) -> DataFrame:
     return span_table(flatten_bundles(_read(spark, d, "prediction_bundles"), bodies=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_invalid_values, p2_found, p2_values, p3_found, p3_kinds, p4_found, p4_merged, p5_found, p5_predictions, p5_choices, p5_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_invalid_values, p2_found, p2_values, p3_found, p3_kinds, p5_found, p5_predictions, p5_choices, p5_spans)}
 
 
 # -- the same answers in DuckDB's SQL --------------------------------------------------
@@ -157,30 +144,6 @@ P2_VALUES_SQL = f"WITH {_P2_SIDES}\n" + "\nUNION ALL ".join(
     f"SELECT {', '.join('t.' + k for k in _KEYS.split(', '))}, '{f}' AS field, {_value('t', f)} AS left_value, {_value('o', f)} AS right_value FROM t JOIN o ON {_SAME} WHERE {_apart(f)}" for f in _P2_FIELDS
 )
 
-_P4_FIELDS = ("chinchilla", "tokens", "compute", "c4_en_validation_cross_entropy", "train_cross_entropy", "throughput_total_tokens", "acc_raw", "acc_per_char", "primary_metric")
-_P4_ROWS = r"""
-g AS (SELECT source_group, recipe, regexp_replace(lower(source_group), '[^a-z0-9]', '', 'g') AS s FROM source_groups),
-letters AS (SELECT *, unnest(range(1, length(s) + 1)) AS i FROM g),
-spellings AS (
-  SELECT s AS spelling, recipe FROM g
-  UNION SELECT left(s, i - 1) || substring(s, i + 1), recipe FROM letters WHERE substring(s, i, 1) BETWEEN 'a' AND 'z'
-  UNION SELECT left(s, i) || substring(s, i), recipe FROM letters WHERE substring(s, i, 1) BETWEEN 'a' AND 'z'),
-rows AS (
-  SELECT e.*, p.recipe, f.precedence, upper(trim(params)) AS k_params, CAST(CAST(trim(e.seed) AS DOUBLE) AS BIGINT) AS k_seed, CAST(CAST(trim(e.step) AS DOUBLE) AS BIGINT) AS k_step, lower(trim(e.task)) AS k_task
-  FROM evaluations e JOIN spellings p ON regexp_replace(lower(e.source_group), '[^a-z0-9]', '', 'g') = p.spelling
-  LEFT JOIN source_files f ON regexp_extract(lower(trim(e.source_file)), '([^/]*)$', 1) = f.source_file WHERE p.recipe IS NOT NULL),
-cells AS (SELECT *, MIN(eval_id) OVER w AS group_id, COUNT(*) OVER w AS n FROM rows WINDOW w AS (PARTITION BY recipe, k_params, k_seed, k_step, k_task))"""
-
-
-def _has(f: str) -> str:
-    return "trim(chinchilla) <> ''" if f == "chinchilla" else f"{f} IS NOT NULL AND NOT isnan({f})"
-
-
-P4_SQL = f"WITH {_P4_ROWS}\n" + "\nUNION ALL ".join(
-    f"(SELECT group_id, '{f}' AS field_name, eval_id FROM cells WHERE n > 1 AND {_has(f)} QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY precedence DESC NULLS LAST, loaded_at DESC, eval_id) = 1)" for f in _P4_FIELDS
-)
-
-
 def _as_list(x: str) -> str:
     plain = "CASE json_type({0}) WHEN 'ARRAY' THEN {0} WHEN 'OBJECT' THEN json_array({0}) END"
     text = f"TRY_CAST({x} ->> '$' AS JSON)"
@@ -205,4 +168,4 @@ SELECT bundle_id, doc_id, CAST(-1 AS BIGINT) AS choice_index, CAST(-1 AS BIGINT)
 UNION ALL SELECT bundle_id, doc_id, choice_index, -1 FROM c
 UNION ALL SELECT bundle_id, doc_id, choice_index, span_index FROM s"""
 
-ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL}
+ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p5_found": P5_SQL}
