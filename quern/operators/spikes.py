@@ -1,29 +1,34 @@
 """Implausible spikes in measurements, judged per source by its own course.
 
-Readings are turned into one long series per (source, field). Each series gets a
-robust local-linear regression on time in both directions: a reading is predicted
-from the readings before it, from those after it, and by interpolation between
-both. A reading is an additive outlier if it leaves all three predictions to the
-same side, the interpolated one by more than ``limit`` times the series' usual
-scatter; it is the edge of a level shift if one direction explains it. Found
-outliers are taken out and the tests repeated until nothing new is found, so a
-spike of a few readings does not hide behind its own neighbours. Stuck
-runs (three or more equal readings) and values outside the physical range are
-separated first.
-
-Scale: a source may hold a third of all rows. Long series are cut at
-approximate quantiles of time into segments of about ``segment`` readings, and
-each segment is judged with its two neighbours as context, so no task
-ever holds more than three segments. The usual scatter and the even count are
-figures of the whole (source, field) at every length: a first pass over the
-segments forms the residuals, their exact medians over the series are handed to
-each segment. Shorter series are judged whole, from the same residuals.
+Every (source, field) is a series with a robust autoregression of its own: the
+coefficients solve the Yule-Walker equations of quadrant autocorrelations (signs of the
+changes against the local Theil-Sen slope), which single wild readings cannot
+move. The residual of a reading against the autoregression of the readings before it
+tells where the series is left, the residual against that of the readings after it
+(run backwards) where it comes back. Residuals of one sign at the start and at the end of
+a block of readings make it an additive outlier; a jump without its return is a level
+shift and no finding. An exact check of each block follows: all its readings must
+leave the course, interpolated between local regressions of both sides, by more than
+``limit`` times the series' usual scatter, and each one-sided course by ``edge`` times, and the
+block must begin and end in one step. Found blocks are taken out and both tests repeated
+until nothing new is found, so spikes do not hide behind each other. Stuck runs (three
+or more equal readings) and values outside the physical range are separated first.
+
+Scale: all series of an Arrow batch are judged at once in numpy. A source may hold a
+third of all rows: series of sources beyond ``segment`` readings are cut at
+approximate quantiles of time, refined until a piece holds about ``segment`` readings,
+and each piece is judged with its two neighbours as context, so no task ever holds
+more than three pieces. The usual scatter, the even count and the autocorrelations are
+figures of the whole series at every length: a first pass forms their parts per piece
+(exact medians, sums of signs), and every piece is judged by them. A spike is at most
+``longest`` readings long at every length of series.
 
 Defined results: NULL readings are skipped, NaN and infinite ones are limit
 findings; deliveries of one row_id count once (the latest arrival); rows with
-a NULL source or row_id are left out; equal times are ordered by row_id; series
-with fewer than six usable readings get limit and stuck findings only; an empty
-table gives an empty result; extra columns are ignored.
+a NULL source or row_id are left out; readings with a NULL time have no place in a
+course and get limit findings only; equal times are ordered by row_id; series with fewer
+than three usable readings get limit and stuck findings only; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,23 +37,30 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import micros
-from quern.session import ship_package
+from quern.session import checked_broadcast, ship_package, stable_checkpoint
 
 #: Field name to the kind of series: a loss is positive, a count runs evenly and is not negative.
 LOSS_FIELDS = {"train_cross_entropy": "loss", "c4_en_validation_cross_entropy": "loss", "step": "count"}
 #: Readings on each side that a prediction rests on.
 REACH = 5
-#: Longest spike, in readings in a row.
-LONGEST = 4
+#: Longest spike, in readings in a row: what "a few readings" means.
+LONGEST = 12
+#: Order of the autoregression of the changes.
+ORDER = REACH - 1
 #: Part of a spike's deviation that its first and last step must make up.
 STEP_SHARE = 0.7
+#: Part of the largest deviation of a spike of many readings that these steps must make up: a bump swells, a spike stands.
+TOP_SHARE = 0.5
 _MAD = 1.4826
-#: Medians over a whole series that its parts are judged by.
-FIGURES = ("off", "bend", "level", "step")
+#: Figures of a whole series that its parts are judged by: medians, and sums of sign products and their numbers by lag.
+MEDIANS = ("off", "bend", "level", "step")
+SUMS = tuple(f"{what}{k}" for k in range(1, ORDER + 1) for what in ("signs", "pairs"))
+FIGURES = (*MEDIANS, *SUMS)
 FINDING = "row_id long, field_name string, kind string"
 _KINDS = np.array(["", "limit", "stuck", "spike"], object)
 
@@ -95,133 +107,258 @@ def _median(a: np.ndarray) -> np.ndarray:
 
 
 def _edges(y: np.ndarray, t: np.ndarray, left: np.ndarray, right: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether readings lo..hi depart from and return to the course in one step each.
+    """Whether readings lo..hi depart from and return to the course in one step each, and the smaller of the steps.
 
-    The step, less the course's own slope, must make up most of the deviation.
+    ``left`` and ``right`` are those of lo and of hi. A step, less the course's own slope,
+    must make up most of the deviation there.
     """
-    before, after = np.maximum(lo - 1, 0), np.minimum(hi + 1, len(y) - 1)
-    out, _, _ = _leaves(y, t, left[:, lo], right[:, hi], lo)
-    back, _, _ = _leaves(y, t, left[:, lo], right[:, hi], hi)
-    leave = y[lo] - y[before] - left[2, lo] * (t[lo] - t[before])
-    enter = y[hi] - y[after] + right[2, hi] * (t[after] - t[hi])
+    out, _, _ = _leaves(y, t, left, right, lo)
+    back, _, _ = _leaves(y, t, left, right, hi)
+    leave = (y[lo] - y[lo - 1] - left[2] * (t[lo] - t[lo - 1])) * np.sign(out)
+    enter = (y[hi] - y[hi + 1] + right[2] * (t[hi + 1] - t[hi])) * np.sign(back)
     with np.errstate(invalid="ignore"):
-        return leave * np.sign(out) >= STEP_SHARE * np.abs(out), enter * np.sign(back) >= STEP_SHARE * np.abs(back)
+        return (leave >= STEP_SHARE * np.abs(out)) & (enter >= STEP_SHARE * np.abs(back)), np.fmin(leave, enter)
 
 
-def _separated(x: np.ndarray, kind: str) -> np.ndarray:
-    """Codes of the stuck and impossible readings; 0 for those that follow a course."""
-    code = np.zeros(len(x), np.int8)
-    same = np.zeros(len(x), bool)
-    same[1:] = x[1:] == x[:-1]
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-    for lo, hi in zip(edges[0::2].tolist(), edges[1::2].tolist(), strict=True):
-        if hi - lo >= 2:  # three equal readings: two repeats
-            code[lo:hi] = 2
-    code[~np.isfinite(x) | (x <= 0 if kind == "loss" else x < 0)] = 1
-    return code
+class Batch:
+    """Several series of one field laid end to end, each in time order.
 
+    ``x``: values; ``sid``: series of each, ascending from 0. Windows never reach into
+    another series: ``REACH`` empty places stand behind each.
+    """
+
+    def __init__(self, x: np.ndarray, sid: np.ndarray, kind: str) -> None:
+        self.x, self.sid, self.kind = x, sid, kind
+        self.count = int(sid[-1]) + 1 if len(sid) else 0
+        self.starts = np.searchsorted(sid, np.arange(self.count))
+        self.place = np.arange(len(x)) - self.starts[sid] if len(x) else np.zeros(0, np.int64)
+        self.code = self._separated()
+        self.level = x
+
+    def _separated(self) -> np.ndarray:
+        """Codes of the stuck (2) and impossible (1) readings; 0 for those that follow a course."""
+        x = self.x
+        same = np.zeros(len(x), bool)
+        same[1:] = (x[1:] == x[:-1]) & (self.sid[1:] == self.sid[:-1])
+        run = np.cumsum(~same)
+        code = np.where(same & (np.bincount(run, minlength=1)[run] >= 3), 2, 0).astype(np.int8)
+        code[~np.isfinite(x) | (x <= 0 if self.kind == "loss" else x < 0)] = 1
+        return code
 
-def _residuals(x: np.ndarray, where: np.ndarray, kind: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """(places, values) whose medians over a series are its figures, from the readings ``where``."""
-    y, t = x[where], where.astype(float)
-    if kind == "count":
-        return {"step": (where[1:], np.diff(y) / np.diff(where))}
-    off, _, _ = _leaves(y, t, *_sides(y, t), np.arange(len(y)))
-    return {"off": (where, np.abs(off)), "bend": (where[1:-1], np.abs(y[1:-1] - (y[:-2] + y[2:]) / 2)), "level": (where, np.abs(y))}
+    def lay(self, series: np.ndarray) -> None:
+        """Lay out the readings without findings of the given series."""
+        live = np.flatnonzero((self.code == 0) & series[self.sid])
+        self.live, self.of = live, self.sid[live]
+        number = np.cumsum(np.concatenate([[False], self.of[1:] != self.of[:-1]])) if len(live) else np.zeros(0, np.int64)
+        self.at = np.arange(len(live)) + REACH * (number + 1)  # place of each reading in the padded arrays
+        size = len(live) + REACH * (int(number[-1]) + 2 if len(live) else 1)
+        self.y, self.t = np.full(size, np.nan), np.full(size, np.nan)
+        self.y[self.at], self.t[self.at] = self.level[live], self.place[live]
+        first = np.flatnonzero(np.concatenate([[True], self.of[1:] != self.of[:-1]])) if len(live) else np.zeros(0, np.int64)
+        length = np.diff(np.concatenate([first, [len(live)]]))
+        self.before = np.arange(len(live)) - np.repeat(first, length)  # readings before it in its series
+        self.after = np.repeat(length, length) - 1 - self.before
+        self.left, self.right = _sides(self.y, self.t)
+
+    def _changes(self, lag: int, slope: np.ndarray, backward: bool = False) -> np.ndarray:
+        """Change ``lag`` readings ago, less what the course's slope explains."""
+        step = -1 if backward else 1
+        near, far = self.at - step * lag, self.at - step * (lag + 1)
+        return self.y[near] - self.y[far] - slope * (self.t[near] - self.t[far])
+
+    def figures(self, own: np.ndarray | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+        """(series, value) parts of every figure, from the readings laid out (the ``own`` ones of them)."""
+        mine = np.ones(len(self.live), bool) if own is None else own[self.live]
+        follows = self.before > 0
+        at, y, t = self.at, self.y, self.t
+        if self.kind == "count":
+            parts = {"step": (follows, (y[at] - y[at - 1]) / (t[at] - t[at - 1]))}
+        else:
+            off, _, _ = _leaves(y, t, self.left[:, at], self.right[:, at], at)
+            parts = {"off": (~np.isnan(off), np.abs(off)), "bend": (follows & (self.after > 0), np.abs(y[at] - (y[at - 1] + y[at + 1]) / 2)), "level": (mine, np.abs(y[at]))}
+            slope = (self.left[2, at] + self.right[2, at]) / 2  # of both sides: that of one would be made of these very changes
+            now = np.sign(self._changes(0, slope))
+            for lag in range(1, ORDER + 1):
+                product = now * np.sign(self._changes(lag, slope))
+                some = np.nan_to_num(product) != 0
+                parts[f"signs{lag}"], parts[f"pairs{lag}"] = (some, product), (some, np.ones(len(product)))
+        return {name: (self.of[use & mine], value[use & mine]) for name, (use, value) in parts.items()}
+
+    def residuals(self, weights: np.ndarray, backward: bool) -> np.ndarray:
+        """Residuals of the autoregression; terms before the series' start are missing."""
+        slope = (self.right if backward else self.left)[2, self.at]
+        out = self._changes(0, slope, backward)
+        for lag in range(1, ORDER + 1):
+            out = out - weights[self.of, lag - 1] * np.nan_to_num(self._changes(lag, slope, backward))
+        return out
+
+
+def _gathered(parts: Mapping[str, tuple[np.ndarray, np.ndarray]], count: int) -> dict[str, np.ndarray]:
+    """Figures of each series from their parts."""
+    out = {}
+    for name, (series, value) in parts.items():
+        if name in MEDIANS:
+            order = np.lexsort((value, series))
+            series, value = series[order], value[order]
+            lo, hi = np.searchsorted(series, np.arange(count)), np.searchsorted(series, np.arange(count), "right")
+            size, some = hi - lo, hi > lo
+            out[name] = np.full(count, np.nan)
+            out[name][some] = (value[(lo + (size - 1) // 2)[some]] + value[(lo + size // 2)[some]]) / 2
+        else:
+            out[name] = np.bincount(series, value, count)
+    return out
+
+
+def autoregression(figures: Mapping[str, np.ndarray]) -> np.ndarray:
+    """Coefficients (series x ORDER) from the sign products: Yule-Walker on quadrant autocorrelations.
+
+    The ridge keeps the equations sound where few pairs were seen; without any pair all are 0.
+    """
+    shares = np.stack([figures[f"signs{k}"] / np.maximum(figures[f"pairs{k}"], 1) for k in range(1, ORDER + 1)], axis=1)
+    rho = np.sin(np.pi / 2 * shares)
+    lags = np.abs(np.subtract.outer(np.arange(ORDER), np.arange(ORDER)))
+    full = np.concatenate([np.full((len(rho), 1), 1.2), rho], axis=1)
+    return np.clip(np.linalg.solve(full[:, lags], rho[:, :, None])[:, :, 0], -1, 1)
 
 
-def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.0, figures: Mapping[str, float] | None = None) -> np.ndarray:
-    """Codes of one series in time order: 0 fine, 1 limit, 2 stuck, 3 spike.
+def judge(batch: Batch, limit: float = 10.0, edge: float = 5.0, longest: int = LONGEST, figures: Mapping[str, np.ndarray] | None = None) -> np.ndarray:
+    """Codes of all readings of a batch: 0 fine, 1 limit, 2 stuck, 3 spike.
 
-    ``figures`` are the medians of the residuals over the whole series where ``x`` is a part of it.
+    ``figures`` (one value a series) are those of whole series where the batch holds parts of them.
     """
-    n = len(x)
-    code = _separated(x, kind)
-    where = np.flatnonzero(code == 0)
-    if len(where) < 6:
-        return code
+    count = batch.count
+    if not count:
+        return batch.code
+    active = np.ones(count, bool)
+    if figures is None or batch.kind == "count":
+        batch.lay(active)
     if figures is None:
-        figures = {name: float(np.nanmedian(v)) for name, (_, v) in _residuals(x, where, kind).items()}
-    if kind == "count":  # deviation from an even count; a restart is a shift of level
-        x = x - figures["step"] * np.arange(n)
-        # an even count has no scatter: a quarter is off it
-        scatter, floor = 0.0, 0.25
+        figures = _gathered(batch.figures(), count)
+    if batch.kind == "count":  # deviation from an even count; a restart is a shift of level
+        batch.level = batch.x - np.nan_to_num(figures["step"])[batch.sid] * batch.place
+        # an even count has no scatter and no course but its slope: a quarter is off it
+        scatter, floor, weights = np.zeros(count), np.full(count, 0.25), np.zeros((count, ORDER))
     else:
-        scatter, floor = _MAD * figures["off"], 1e-9 * max(1.0, figures["level"])
+        scatter = _MAD * np.nan_to_num(figures["off"])
+        floor = 1e-9 * np.fmax(1.0, figures["level"])
         # The course's bend inflates this. Second differences are free of it, but
         # blind to slow noise, so they may lower the scatter by a quarter at most.
-        scatter = min(scatter, max(_MAD * figures["bend"] / np.sqrt(1.5), 0.75 * scatter))
-    while len(where) >= 6:  # every round takes readings out, so it ends
-        y, t = x[where], where.astype(float)
-        left, right = _sides(y, t)
-        every = np.arange(len(y))
-        new = np.zeros(len(y), bool)
-        for size in range(1, LONGEST + 1):
-            # a spike of ``size`` readings is judged by what lies before and after all of it
-            # (at least as many readings as it has itself)
-            begin = every[size : len(y) - 2 * size + 1]
-            # it leaves and returns at once: a gradual bump has no such edges
-            rise, fall = _edges(y, t, left, right, begin, begin + size - 1)
-            up, down = rise & fall, rise & fall
+        scatter = np.fmin(scatter, np.fmax(_MAD * figures["bend"] / np.sqrt(1.5), 0.75 * scatter))
+        weights = autoregression(figures)
+    while active.any():  # every round takes readings out, so it ends
+        batch.lay(active)
+        wide, near, leave = ((factor * scatter + floor)[batch.of] for factor in (limit, edge, edge / 2))
+        with np.errstate(invalid="ignore"):
+            out = batch.residuals(weights, backward=False)
+            back = batch.residuals(weights, backward=True)
+            out, back = np.where(np.abs(out) > leave, np.sign(out), 0), np.where(np.abs(back) > leave, np.sign(back), 0)
+        hit = np.zeros(len(batch.live), bool)
+        found = np.zeros(count, bool)
+        for size in range(1, min(longest, len(out)) + 1):
+            # Additive outlier: left at its first reading, returned from at its last, to the same side,
+            # with at least as many readings before and after it as it has itself.
+            begin = np.flatnonzero((out[: len(out) - size + 1] * back[size - 1 :] > 0) & (batch.before[: len(out) - size + 1] >= size) & (batch.after[: len(out) - size + 1] >= 2 * size - 1))
+            begin = begin[~found[batch.of[begin]]]  # a series with shorter spikes is laid out without them first
+            if not len(begin):
+                continue
+            lo, hi = batch.at[begin], batch.at[begin + size - 1]
+            left, right = batch.left[:, lo], batch.right[:, hi]
+            abrupt, step = _edges(batch.y, batch.t, left, right, lo, hi)
+            up, down = abrupt, abrupt
             for k in range(size):
-                a, b, c = _leaves(y, t, left[:, begin], right[:, begin + size - 1], begin + k)
+                a, b, c = _leaves(batch.y, batch.t, left, right, lo + k)
+                top = np.fmax(np.abs(a), top) if k else np.abs(a)
                 with np.errstate(invalid="ignore"):
-                    up = up & (a > limit * scatter + floor) & (b > edge * scatter + floor) & (c > edge * scatter + floor)
-                    down = down & (a < -limit * scatter - floor) & (b < -edge * scatter - floor) & (c < -edge * scatter - floor)
-            for lo in begin[up | down].tolist():
-                new[lo : lo + size] = True
-            if new.any():
-                break
-        if not new.any():
-            break
-        code[where[new]] = 3
-        where = where[~new]
-    return code
-
-
-def _findings(kinds: Mapping[str, str], limit: float):
+                    up = up & (a > wide[begin]) & (b > near[begin]) & (c > near[begin])
+                    down = down & (a < -wide[begin]) & (b < -near[begin]) & (c < -near[begin])
+            # the more readings, the more of the whole rise the steps must make up: nothing of two, a quarter of three, half from five on
+            share = min(TOP_SHARE, (size - 2) / (size + 1)) if size > 2 else 0.0
+            good = begin[(up | down) & (step >= share * top)]
+            found[batch.of[good]] = True
+            hit[(good[:, None] + np.arange(size)).ravel()] = True
+        batch.code[batch.live[hit]] = 3
+        active = found
+    return batch.code
+
+
+def judge_series(x: np.ndarray, kind: str, limit: float = 10.0, edge: float = 5.0, longest: int = LONGEST) -> np.ndarray:
+    """``judge`` for one series."""
+    return judge(Batch(x, np.zeros(len(x), np.int64), kind), limit, edge, longest)
+
+
+def _findings(fields: Mapping[str, str], limit: float, longest: int):
+    """Findings of whole series: one value column per field."""
+
     def judged(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
-        ids, fields, codes = [], [], []
-        row_id, own, value = (table.column(c).to_numpy() for c in ("row_id", "own", "value"))
-        first = pa.array(bounds[:-1])
-        names, figures = table.column("field").take(first).to_pylist(), table.column("figures").take(first).to_pylist()
-        for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            code = judge_series(value[lo:hi], kinds[names[k]], limit, figures=figures[k])
-            hit = np.flatnonzero((code > 0) & own[lo:hi])
-            if len(hit):
-                ids.append(row_id[lo:hi][hit])
-                codes.append(code[hit])
-                fields += [names[k]] * len(hit)
-        flat = np.concatenate(codes) if codes else np.zeros(0, np.int8)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64), pa.int64()), pa.array(fields, pa.string()), pa.array(_KINDS[flat].tolist(), pa.string())],
-            names=["row_id", "field_name", "kind"],
-        )
+        ids, names, kinds = [], [], []
+        row_id = table.column("row_id").to_numpy()
+        series = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        for k, (field, kind) in enumerate(fields.items()):
+            value = table.column(f"v_{k}").combine_chunks()
+            at = np.flatnonzero(~np.asarray(value.is_null().to_numpy(zero_copy_only=False)))
+            _, sid = np.unique(series[at], return_inverse=True)
+            code = judge(Batch(value.drop_null().to_numpy(), sid, kind), limit, longest=longest)
+            hit = np.flatnonzero(code)
+            ids.append(row_id[at[hit]])
+            names += [field] * len(hit)
+            kinds.append(_KINDS[code[hit]])
+        return _finding_batch(ids, names, kinds)
 
     return judged
 
 
-def _measured(kinds: Mapping[str, str]):
-    def residuals(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
-        sources, fields, figures, values = [], [], [], []
-        own, value = (table.column(c).to_numpy() for c in ("own", "value"))
-        first = pa.array(bounds[:-1])
-        origins, names = table.column("source").take(first).to_pylist(), table.column("field").take(first).to_pylist()
-        for k, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            x, kind = value[lo:hi], kinds[names[k]]
-            where = np.flatnonzero(_separated(x, kind) == 0)
-            if len(where) < 2:
-                continue
-            for figure, (at, v) in _residuals(x, where, kind).items():
-                v = v[own[lo:hi][at] & ~np.isnan(v)]
-                sources += [origins[k]] * len(v)
-                fields += [names[k]] * len(v)
-                figures += [figure] * len(v)
-                values.append(v)
-        flat = np.concatenate(values) if values else np.zeros(0)
-        return pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(fields, pa.string()), pa.array(figures, pa.string()), pa.array(flat, pa.float64())], names=["source", "field", "figure", "value"])
+def _finding_batch(ids: list[np.ndarray], names: list[str], kinds: list[np.ndarray]) -> pa.RecordBatch:
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), pa.array(names, pa.string()), pa.array(np.concatenate(kinds).tolist() if kinds else [], pa.string())], names=["row_id", "field_name", "kind"])
 
-    return residuals
+
+def _pieces(table: pa.Table, bounds: np.ndarray, fields: Mapping[str, str]) -> Iterator[tuple[str, Batch, np.ndarray, np.ndarray]]:
+    """(field, batch, rows, piece of each series) of the pieces of each field of a table in long form."""
+    value, of = table.column("value").to_numpy(), np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    names = np.array(table.column("field").take(pa.array(bounds[:-1])).to_pylist(), object)
+    for field, kind in fields.items():
+        rows = np.flatnonzero((names == field)[of])
+        piece, sid = np.unique(of[rows], return_inverse=True)
+        yield field, Batch(value[rows], sid, kind), rows, piece
+
+
+def _piece_findings(fields: Mapping[str, str], limit: float, longest: int):
+    def judged(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        ids, names, kinds = [], [], []
+        row_id, own = table.column("row_id").to_numpy(), table.column("own").to_numpy(zero_copy_only=False)
+        known = table.column("figures").take(pa.array(bounds[:-1])).combine_chunks()
+        for field, batch, rows, piece in _pieces(table, bounds, fields):
+            figures = {f: pa.compute.struct_field(known, f).to_numpy(zero_copy_only=False).astype(float)[piece] for f in FIGURES}
+            figures |= {f: np.nan_to_num(figures[f]) for f in SUMS}
+            code = judge(batch, limit, longest=longest, figures=figures)
+            hit = np.flatnonzero((code > 0) & own[rows])
+            ids.append(row_id[rows[hit]])
+            names += [field] * len(hit)
+            kinds.append(_KINDS[code[hit]])
+        return _finding_batch(ids, names, kinds)
+
+    return judged
+
+
+def _measured(fields: Mapping[str, str]):
+    def parts(table: pa.Table, bounds: np.ndarray) -> pa.RecordBatch:
+        origins = np.array(table.column("source").take(pa.array(bounds[:-1])).to_pylist(), object)
+        own = table.column("own").to_numpy(zero_copy_only=False)
+        sources, names, figures, values = [], [], [], []
+        for field, batch, rows, piece in _pieces(table, bounds, fields):
+            batch.lay(np.ones(batch.count, bool))
+            for figure, (series, value) in batch.figures(own[rows]).items():
+                if figure in SUMS:  # one part a piece
+                    some = np.unique(series)
+                    series, value = some, np.bincount(series, value, batch.count)[some]
+                sources.append(origins[piece[series]])
+                names += [field] * len(value)
+                figures += [figure] * len(value)
+                values.append(value)
+        flat = lambda chunks, kind: pa.array(np.concatenate(chunks).tolist() if chunks else [], kind)
+        return pa.RecordBatch.from_arrays([flat(sources, pa.string()), pa.array(names, pa.string()), pa.array(figures, pa.string()), flat(values, pa.float64())], names=["source", "field", "figure", "value"])
+
+    return parts
 
 
 def _series_runner(work):
@@ -232,7 +369,8 @@ def _series_runner(work):
 
         def flush() -> pa.RecordBatch:
             table = pa.Table.from_batches(held)
-            return work(table, np.concatenate([[0], _changes(table), [table.num_rows]]).astype(np.int64))
+            series = table.column("series").to_numpy()
+            return work(table, np.concatenate([[0], np.flatnonzero(series[1:] != series[:-1]) + 1, [table.num_rows]]).astype(np.int64))
 
         last = None
         for batch in batches:
@@ -271,9 +409,8 @@ def exact_medians(rows: DataFrame, key: list[str], value: str, accuracy: int = 1
     return seen.groupBy(*key).agg(((at[0] + at[1]) / 2).alias("median"))
 
 
-def _changes(table: pa.Table) -> np.ndarray:
-    series = table.column("series").to_numpy()
-    return np.flatnonzero(series[1:] != series[:-1]) + 1
+def _impossible(value: Column, kind: str) -> Column:
+    return F.isnan(value) | (F.abs(value) == float("inf")) | (value <= 0 if kind == "loss" else value < 0)
 
 
 def find_spikes(
@@ -285,52 +422,79 @@ def find_spikes(
     time_col: str = "logged_at",
     arrival_col: str = "arrived_at",
     limit: float = 10.0,
+    longest: int = LONGEST,
     segment: int = 20_000,
 ) -> DataFrame:
-    """(row_id, field_name, kind) of implausible readings; kind is limit, stuck or spike."""
+    """(row_id, field_name, kind) of implausible readings; kind is limit, stuck or spike.
+
+    Counts the readings per source first (one query), to know whether any must be cut.
+    """
     ship_package(readings.sparkSession)
     types = dict(readings.dtypes)
     origin = F.col(source) if isinstance(source, str) else source
+    names = [f"v_{k}" for k in range(len(fields))]
     rows = readings.select(
         origin.cast("string").alias("source"), F.col(id_col).cast("bigint").alias("row_id"),
         micros(time_col, types[time_col]).alias("t"), micros(arrival_col, types[arrival_col]).alias("arrived"),
-        *[F.col(f).cast("double").alias(f"v_{k}") for k, f in enumerate(fields)],
-    ).where("source IS NOT NULL AND row_id IS NOT NULL AND t IS NOT NULL")
-    kept = ["source", "t", *[f"v_{k}" for k in range(len(fields))]]
-    once = rows.groupBy("row_id").agg(F.max_by(F.struct(*kept), F.struct(F.coalesce("arrived", F.lit(-(2**63))), F.struct(*kept))).alias("r")).select("row_id", "r.*")
+        *[F.col(f).cast("double").alias(v) for f, v in zip(fields, names, strict=True)],
+    ).where("source IS NOT NULL AND row_id IS NOT NULL")
+    kept = F.struct("source", "t", *names)
+    once = rows.groupBy("row_id").agg(F.max_by(kept, F.struct(F.coalesce("arrived", F.lit(-(2**63))), kept)).alias("r")).select("row_id", "r.*")
+    cells = F.array(*[F.when(_impossible(F.col(v), kind), F.lit(f)) for (f, kind), v in zip(fields.items(), names, strict=True)])
+    timeless = once.where("t IS NULL").select("row_id", F.explode(F.array_compact(cells)).alias("field_name"), F.lit("limit").alias("kind"))
+    timed = once.where("t IS NOT NULL")
+    counted = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > segment)
+    largest = counted.agg(F.max("n")).first()[0]
+    whole = timed
+    if largest:
+        heavy = checked_broadcast(counted.select("source"))
+        whole = timed.join(heavy, "source", "left_anti")
+    series = whole.select(F.xxhash64("source").alias("series"), "source", "t", "row_id", *names).repartition("source").sortWithinPartitions("series", "source", "t", "row_id")
+    found = series.select("series", "row_id", *names).mapInArrow(_series_runner(_findings(dict(fields), limit, longest)), FINDING)
+    if largest:
+        found = found.unionByName(_cut_findings(timed.join(heavy, "source", "left_semi"), fields, limit, longest, segment, largest))
+    return found.unionByName(timeless)
+
+
+#: Pieces that a piece of a long series is cut into at a time.
+_FAN = 64
+
+
+def _cut_findings(rows: DataFrame, fields: Mapping[str, str], limit: float, longest: int, segment: int, largest: int) -> DataFrame:
+    """Findings in series that are cut into pieces of about ``segment`` readings."""
     long = (
-        once.select("row_id", "source", "t", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{k}").alias("value")) for k, f in enumerate(fields)])).alias("c"))
-        .select("row_id", "source", "t", "c.field", "c.value")
+        rows.select("row_id", "source", "t", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"v_{k}").alias("value")) for k, f in enumerate(fields)])).alias("c"))
+        .select("row_id", "source", "t", "c.field", "c.value", F.lit(0).cast("bigint").alias("piece"))
         .where("value IS NOT NULL")
     )
-    # Only series beyond one segment get cut points: at most one per ``segment`` readings, so their frames are small enough to broadcast.
-    grid = 4096
-    counted = long.groupBy("source", "field").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > segment)
-    heavy = long.join(F.broadcast(counted), ["source", "field"], "left_semi")
-    marks = F.percentile_approx("t", [k / grid for k in range(1, grid)], 20_000)
-    step = F.greatest(F.lit(1), F.floor(F.lit(grid) / F.ceil(F.col("n") / segment))).cast("int")
-    cuts = (
-        heavy.groupBy("source", "field").agg(marks.alias("marks"), F.count(F.lit(1)).alias("n"))
-        .select(F.col("source").alias("c_source"), F.col("field").alias("c_field"), F.array_distinct(F.filter("marks", lambda m, i: (i + 1) % step == 0)).alias("cuts"))
-    )
-    here = (F.col("source") == F.col("c_source")) & (F.col("field") == F.col("c_field"))
-    kinds = dict(fields)
-    # The figures of a long series: residuals by segment, medians over all of it.
-    measured = _in_segments(long.join(F.broadcast(cuts), here), "source").mapInArrow(_series_runner(_measured(kinds)), "source string, field string, figure string, value double")
-    medians = exact_medians(measured, ["source", "field", "figure"], "value")
-    figures = medians.groupBy(F.col("source").alias("c_source"), F.col("field").alias("c_field")).agg(F.struct(*[F.max(F.when(F.col("figure") == f, F.col("median"))).alias(f) for f in FIGURES]).alias("figures"))
-    guides = cuts.join(figures, ["c_source", "c_field"], "left")
-    return _in_segments(long.join(F.broadcast(guides), here, "left"), "figures").mapInArrow(_series_runner(_findings(kinds, limit)), FINDING)
-
-
-def _in_segments(placed: DataFrame, kept: str) -> DataFrame:
-    """Every segment with its neighbours, ordered by series and time; rows without cuts are one segment."""
-    home = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size(F.filter("cuts", lambda m: m <= F.col("t"))))
-    targets = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(F.filter(F.array(F.col("home") - 1, F.col("home"), F.col("home") + 1), lambda s: (s >= 0) & (s <= F.size("cuts"))))
+    span = 1
+    # Each level cuts every piece that is still too long at quantiles of time; the pieces keep their order.
+    while span * segment < largest:
+        long, span = _refined(long, segment), span * _FAN
+    long = stable_checkpoint(long)
+    key = ["source", "field"]
+    ends = long.groupBy(*key, "piece").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*key).orderBy("piece")  # one row per piece
+    around = ends.select(*key, "piece", F.array_compact(F.array(F.lag("piece").over(order), F.col("piece"), F.lead("piece").over(order))).alias("targets"))
     spread = (
-        placed.withColumn("home", home)
-        .withColumn("at", F.explode(targets))
-        .select(F.xxhash64("source", "field", "at").alias("series"), "source", "field", "at", "t", "row_id", "value", (F.col("at") == F.col("home")).alias("own"), *[kept] * (kept != "source"))
+        long.join(around, [*key, "piece"]).withColumn("at", F.explode("targets"))
+        .select(F.xxhash64(*key, "at").alias("series"), *key, "at", "t", "row_id", "value", (F.col("at") == F.col("piece")).alias("own"))
     )
-    ordered = spread.repartition("source", "field", "at").sortWithinPartitions("series", "source", "field", "at", "t", "row_id")
-    return ordered.select("series", "field", "row_id", "own", "value", kept)
+    by = ["series", *key, "at", "t", "row_id"]
+    parts = stable_checkpoint(spread.repartition(*key, "at").sortWithinPartitions(*by).select("series", *key, "row_id", "own", "value").mapInArrow(_series_runner(_measured(dict(fields))), "source string, field string, figure string, value double"))
+    medians = exact_medians(parts.where(F.col("figure").isin(*MEDIANS)), [*key, "figure"], "value")
+    sums = parts.where(F.col("figure").isin(*SUMS)).groupBy(*key, "figure").agg(F.sum("value").alias("median"))
+    figures = medians.unionByName(sums).groupBy(*key).agg(F.struct(*[F.max(F.when(F.col("figure") == f, F.col("median"))).alias(f) for f in FIGURES]).alias("figures"))
+    guided = spread.join(checked_broadcast(figures), key, "left").repartition(*key, "at").sortWithinPartitions(*by)
+    return guided.select("series", "field", "row_id", "own", "value", "figures").mapInArrow(_series_runner(_piece_findings(dict(fields), limit, longest)), FINDING)
+
+
+def _refined(long: DataFrame, segment: int) -> DataFrame:
+    """Every piece beyond ``segment`` readings cut at up to ``_FAN - 1`` quantiles of time."""
+    key = ["source", "field", "piece"]
+    marks = F.percentile_approx("t", [k / _FAN for k in range(1, _FAN)], 10_000)
+    step = F.greatest(F.lit(1), F.floor(F.lit(_FAN) / F.ceil(F.col("n") / segment))).cast("int")
+    cuts = long.groupBy(*key).agg(marks.alias("marks"), F.count(F.lit(1)).alias("n")).where(F.col("n") > segment)
+    kept = cuts.select(*key, F.array_distinct(F.filter("marks", lambda m, i: (i + 1) % step == 0)).alias("cuts"))
+    part = F.when(F.col("cuts").isNull(), 0).otherwise(F.size(F.filter("cuts", lambda m: m <= F.col("t"))))
+    return long.join(checked_broadcast(kept), key, "left").withColumn("piece", F.col("piece") * _FAN + part).drop("cuts")

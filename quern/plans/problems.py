@@ -54,6 +54,11 @@ def p3_kinds(spark: SparkSession, d: str) -> DataFrame:
     return find_spikes(_read(spark, d, "checkpoint_losses")).groupBy("field_name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def p3_separated(spark: SparkSession, d: str) -> DataFrame:
+    """The findings that need no course: values outside the limits and stuck readings."""
+    return find_spikes(_read(spark, d, "checkpoint_losses")).where("kind <> 'spike'")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten_bundles(_read(spark, d, "prediction_bundles")).select("bundle_id", "doc_id", "choice_index", "span_index")
 
@@ -70,7 +75,7 @@ def p5_spans(spark: SparkSession, d: str) -> DataFrame:
     return span_table(flatten_bundles(_read(spark, d, "prediction_bundles"), bodies=True))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_invalid_values, p2_found, p2_values, p3_found, p3_kinds, p5_found, p5_predictions, p5_choices, p5_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_invalid_values, p2_found, p2_values, p3_found, p3_kinds, p3_separated, p5_found, p5_predictions, p5_choices, p5_spans)}
 
 
 # -- the same answers in DuckDB's SQL --------------------------------------------------
@@ -144,6 +149,18 @@ P2_VALUES_SQL = f"WITH {_P2_SIDES}\n" + "\nUNION ALL ".join(
     f"SELECT {', '.join('t.' + k for k in _KEYS.split(', '))}, '{f}' AS field, {_value('t', f)} AS left_value, {_value('o', f)} AS right_value FROM t JOIN o ON {_SAME} WHERE {_apart(f)}" for f in _P2_FIELDS
 )
 
+P3_SEPARATED_SQL = """
+WITH once AS (SELECT * FROM checkpoint_losses QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY arrived_at DESC NULLS LAST) = 1),
+cells AS (
+  SELECT row_id, run_id, logged_at, 'step' AS field_name, CAST(step AS DOUBLE) AS x, 0.0 AS low FROM once WHERE step IS NOT NULL
+  UNION ALL SELECT row_id, run_id, logged_at, 'train_cross_entropy', train_cross_entropy, NULL FROM once WHERE train_cross_entropy IS NOT NULL
+  UNION ALL SELECT row_id, run_id, logged_at, 'c4_en_validation_cross_entropy', c4_en_validation_cross_entropy, NULL FROM once WHERE c4_en_validation_cross_entropy IS NOT NULL),
+marked AS (SELECT *, NOT isfinite(x) OR x < low OR (low IS NULL AND x <= 0) AS bad, x = lag(x) OVER w AS same FROM cells WHERE run_id IS NOT NULL AND row_id IS NOT NULL WINDOW w AS (PARTITION BY run_id, field_name ORDER BY logged_at, row_id)),
+runs AS (SELECT *, SUM(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY run_id, field_name ORDER BY logged_at, row_id) AS run FROM marked),
+sized AS (SELECT *, COUNT(*) OVER (PARTITION BY run_id, field_name, run) AS n FROM runs)
+SELECT row_id, field_name, CASE WHEN bad THEN 'limit' ELSE 'stuck' END AS kind FROM sized WHERE bad OR (same AND n >= 3 AND logged_at IS NOT NULL)"""
+
+
 def _as_list(x: str) -> str:
     plain = "CASE json_type({0}) WHEN 'ARRAY' THEN {0} WHEN 'OBJECT' THEN json_array({0}) END"
     text = f"TRY_CAST({x} ->> '$' AS JSON)"
@@ -168,4 +185,4 @@ SELECT bundle_id, doc_id, CAST(-1 AS BIGINT) AS choice_index, CAST(-1 AS BIGINT)
 UNION ALL SELECT bundle_id, doc_id, choice_index, -1 FROM c
 UNION ALL SELECT bundle_id, doc_id, choice_index, span_index FROM s"""
 
-ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p5_found": P5_SQL}
+ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_separated": P3_SEPARATED_SQL, "p5_found": P5_SQL}

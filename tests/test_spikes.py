@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.operators.spikes import exact_medians, find_spikes, judge_series
+from quern.operators.spikes import ORDER, Batch, autoregression, exact_medians, find_spikes, judge, judge_series, _gathered
 
 
 def course(n=200, seed=0, scatter=0.01):
@@ -33,6 +33,46 @@ def test_spikes_that_return(at, size, height):
     assert flagged(x) == {"spike": set(range(at, at + size))} if (x > 0).all() else True
 
 
+@pytest.mark.parametrize("size", range(1, 16))
+def test_a_few_readings_are_up_to_twelve(size):
+    for seed, at in ((0, 30), (1, 60), (2, 100), (3, 150)):
+        x = course(seed=seed)
+        x[at : at + size] += 1.0
+        assert flagged(x) == ({"spike": set(range(at, at + size))} if size <= 12 else {})
+
+
+def test_autoregression_is_robust():
+    """Coefficients of a known process, with readings gone wild by a million, and of white readings."""
+    draw = np.random.default_rng(0)
+    change = np.zeros(20_000)
+    for k in range(2, len(change)):
+        change[k] = 0.5 * change[k - 1] - 0.3 * change[k - 2] + draw.normal()
+    x = 1000 + np.cumsum(change)
+    wild = x.copy()
+    wild[draw.random(len(x)) < 0.02] += 1e6
+
+    def weights(values):
+        batch = Batch(values, np.zeros(len(values), np.int64), "loss")
+        batch.lay(np.ones(1, bool))
+        return autoregression(_gathered(batch.figures(), 1))[0]
+
+    assert np.abs(weights(wild) - weights(x)).max() < 0.12
+    assert weights(x)[0] > 0.2 > -0.1 > weights(x)[1]
+    white = weights(100 + draw.normal(size=20_000))
+    assert white[0] < -0.3 and white[0] < white[1] < 0.0  # the forecast goes back from the last reading towards those before it
+    assert not autoregression({f"{n}{k}": np.zeros(2) for n in ("signs", "pairs") for k in range(1, ORDER + 1)}).any()
+
+
+def test_series_of_a_batch_do_not_meet():
+    draw = np.random.default_rng(5)
+    parts = [course(int(n), seed=k) for k, n in enumerate(draw.integers(1, 90, 40))]
+    for x in parts[::2]:
+        if len(x) > 20:
+            x[len(x) // 2] += 3
+    sid = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    assert judge(Batch(np.concatenate(parts), sid, "loss")).tolist() == [c for x in parts for c in judge_series(x, "loss").tolist()]
+
+
 def test_small_deviations_and_level_shifts_stay():
     x = course(seed=3)
     x[100] += 0.04
@@ -75,7 +115,7 @@ def test_counts():
 
 
 def test_short_series():
-    assert flagged([]) == {} and flagged([1.0]) == {} and flagged([1.0, 9e9, 1.0]) == {}
+    assert flagged([]) == {} and flagged([1.0]) == {} and flagged([1.0, 9e9, 1.0]) == {} and flagged([1.0, 1.01, 9.0, 1.02, 1.0]) == {"spike": {2}}
     assert flagged([2.0, 2.0, 2.0]) == {"stuck": {1, 2}} and flagged([np.nan, -1.0]) == {"limit": {0, 1}}
 
 
@@ -110,6 +150,33 @@ def test_latest_delivery_counts_and_nulls_are_skipped(spark):
     assert find_spikes(df.limit(0)).count() == 0
 
 
+def test_readings_without_a_time_get_limits_only(spark):
+    rows = readings(1)
+    timeless = [(9000 + k, "run-0", step, x, None, None, rows[0][6]) for k, (step, x) in enumerate([(1, -1.0), (-5, 2.5), (1, 99.0), (1, float("nan"))])]
+    for segment in (20_000, 40):
+        got = sorted(map(tuple, find_spikes(spark.createDataFrame([*rows, *timeless], SCHEMA), segment=segment).collect()))
+        assert got == [(60, "train_cross_entropy", "spike"), (9000, "train_cross_entropy", "limit"), (9001, "step", "limit"), (9003, "train_cross_entropy", "limit")]
+
+
+def test_two_hundred_thousand_readings_whole_and_cut(spark):
+    """Cut twice over (4,096 pieces would be too few for the second level to be left out)."""
+    n = 200_000
+    draw = np.random.default_rng(3)
+    x = 3 + np.exp(-np.arange(n) / 9000) + 0.2 * np.sin(np.arange(n) / 500) + draw.normal(0, 0.01, n) * np.where(np.arange(n) < 150_000, 1, 0.2)
+    for k, at in enumerate(range(500, n - 100, 977)):
+        x[at : at + 1 + k % 12] += (0.5 if k % 2 else -0.4) * (1 + k % 3)
+    import pandas as pd
+
+    frame = pd.DataFrame({"row_id": np.arange(n), "run_id": "hot", "step": np.arange(n) * 25, "train_cross_entropy": x, "c4_en_validation_cross_entropy": np.where(np.arange(n) % 4 == 0, x + 0.3, np.nan)})
+    frame["logged_at"] = pd.Timestamp("2024-01-01") + pd.to_timedelta(np.arange(n), unit="min")
+    frame["arrived_at"] = frame["logged_at"]
+    df = spark.createDataFrame(frame).withColumn("c4_en_validation_cross_entropy", F.when(~F.isnan("c4_en_validation_cross_entropy"), F.col("c4_en_validation_cross_entropy")))
+    whole = sorted(map(tuple, find_spikes(df, segment=n).collect()))
+    assert sum(f == "train_cross_entropy" for _, f, _ in whole) > 1000
+    assert sorted(map(tuple, find_spikes(df, segment=20_000).collect())) == whole
+    assert sorted(map(tuple, find_spikes(df, segment=2_000).collect())) == whole
+
+
 def test_changing_noise_is_judged_by_the_whole_run(spark):
     """Noisy early, quiet late: segments take the run's scatter and even count, not their own."""
     n = 4000
