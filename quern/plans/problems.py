@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.nested import choice_table, flatten_bundles, prediction_table, span_table
+from quern.functions.numbers import whole_number
+from quern.operators.nested import bundle_table, choice_table, flatten_bundles, metric_table, prediction_table, span_table
 from quern.operators.parse_lines import ParsedRecords, parse_records
 from quern.operators.spikes import find_spikes
 from quern.operators.table_diff import diff_task_results, task_findings
@@ -63,19 +64,34 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return flatten_bundles(_read(spark, d, "prediction_bundles")).select("bundle_id", "doc_id", "choice_index", "span_index")
 
 
+def p5_bundles(spark: SparkSession, d: str) -> DataFrame:
+    """One row per valid bundle, with the settings that its configurations name."""
+    rows = bundle_table(_read(spark, d, "prediction_bundles"))
+    setting = lambda c, name: F.get_json_object(c, f"$.{name}")
+    return rows.select(
+        "bundle_id", "task_name", "task_hash", "model_hash", "num_instances", setting("model_config", "revision").alias("revision"), setting("task_config", "primary_metric").alias("primary_metric"),
+        whole_number(setting("task_config", "num_shots")).alias("num_shots"), setting("metrics", "acc_raw").try_cast("double").alias("acc_raw"),
+    )
+
+
 def p5_predictions(spark: SparkSession, d: str) -> DataFrame:
-    return prediction_table(flatten_bundles(_read(spark, d, "prediction_bundles"), bodies=True))
+    return prediction_table(_read(spark, d, "prediction_bundles")).drop("metrics")
+
+
+def p5_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Every metric of every prediction as a row."""
+    return metric_table(prediction_table(_read(spark, d, "prediction_bundles")))
 
 
 def p5_choices(spark: SparkSession, d: str) -> DataFrame:
-    return choice_table(flatten_bundles(_read(spark, d, "prediction_bundles"), bodies=True))
+    return choice_table(_read(spark, d, "prediction_bundles"))
 
 
 def p5_spans(spark: SparkSession, d: str) -> DataFrame:
-    return span_table(flatten_bundles(_read(spark, d, "prediction_bundles"), bodies=True))
+    return span_table(_read(spark, d, "prediction_bundles"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_invalid_values, p2_found, p2_values, p3_found, p3_kinds, p3_separated, p5_found, p5_predictions, p5_choices, p5_spans)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_valid, p1_invalid_values, p2_found, p2_values, p3_found, p3_kinds, p3_separated, p5_found, p5_bundles, p5_predictions, p5_metrics, p5_choices, p5_spans)}
 
 
 # -- the same answers in DuckDB's SQL --------------------------------------------------
@@ -174,15 +190,37 @@ def _unnested(source: str, keep: str, x: str, place: str) -> str:
     )
 
 
-P5_SQL = f"""
-WITH b AS (SELECT bundle_id, CAST(payload AS JSON) AS j FROM prediction_bundles WHERE json_valid(payload)),
+_P5_LINKS = f"""b AS (SELECT bundle_id, CAST(payload AS JSON) AS j FROM prediction_bundles WHERE json_valid(payload)),
 p AS ({_unnested("(SELECT bundle_id, json_extract(j, '$.predictions') AS x FROM b WHERE json_type(j) = 'OBJECT')", "bundle_id", "x", "p_at")}),
-q AS (SELECT bundle_id, CAST(TRY_CAST(item ->> '$.doc_id' AS DOUBLE) AS BIGINT) AS doc_id, json_extract(item, '$.model_output') AS x FROM p),
-c AS ({_unnested("q", "bundle_id, doc_id", "x", "choice_index")}),
-z AS (SELECT bundle_id, doc_id, choice_index, json_extract(item, '$.spans') AS x FROM c),
-s AS ({_unnested("z", "bundle_id, doc_id, choice_index", "x", "span_index")})
+q AS (SELECT bundle_id, p_at, CAST(TRY_CAST(item ->> '$.doc_id' AS DOUBLE) AS BIGINT) AS doc_id, json_extract(item, '$.model_output') AS x, item FROM p),
+c AS ({_unnested("(SELECT bundle_id, p_at, doc_id, x FROM q)", "bundle_id, p_at, doc_id", "x", "choice_index")}),
+z AS (SELECT bundle_id, p_at, doc_id, choice_index, json_extract(item, '$.spans') AS x FROM c),
+s AS ({_unnested("z", "bundle_id, p_at, doc_id, choice_index", "x", "span_index")})"""
+P5_SQL = f"""WITH {_P5_LINKS}
 SELECT bundle_id, doc_id, CAST(-1 AS BIGINT) AS choice_index, CAST(-1 AS BIGINT) AS span_index FROM q
 UNION ALL SELECT bundle_id, doc_id, choice_index, -1 FROM c
 UNION ALL SELECT bundle_id, doc_id, choice_index, span_index FROM s"""
 
-ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_separated": P3_SEPARATED_SQL, "p5_found": P5_SQL}
+
+def _json_whole(x: str, name: str) -> str:
+    d = f"TRY_CAST({x} ->> '$.{name}' AS DOUBLE)"
+    return f"CASE WHEN {d} = trunc({d}) THEN CAST({d} AS BIGINT) END AS {name.split('.')[-1]}"
+
+
+def _json_real(x: str, name: str) -> str:
+    return f"TRY_CAST({x} ->> '$.{name}' AS DOUBLE) AS {name.split('.')[-1]}"
+
+
+P5_BUNDLES_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, j ->> '$.task_name' AS task_name, j ->> '$.task_hash' AS task_hash, j ->> '$.model_hash' AS model_hash, {_json_whole('j', 'num_instances')},
+  j ->> '$.model_config.revision' AS revision, j ->> '$.task_config.primary_metric' AS primary_metric, {_json_whole('j', 'task_config.num_shots')}, {_json_real('j', 'metrics.acc_raw')} FROM b WHERE json_type(j) = 'OBJECT'"""
+P5_PREDICTIONS_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, p_at AS prediction_index, doc_id, item ->> '$.native_id' AS native_id, item ->> '$.task_hash' AS task_hash, item ->> '$.model_hash' AS model_hash, {_json_whole('item', 'label')} FROM q"""
+P5_METRICS_SQL = f"""WITH {_P5_LINKS}, m AS (SELECT bundle_id, p_at, doc_id, json_extract(item, '$.metrics') AS o FROM q WHERE json_type(item, '$.metrics') = 'OBJECT'),
+outermost AS (SELECT bundle_id, p_at, doc_id, k, json_extract(o, '$.' || k) AS v FROM (SELECT *, unnest(json_keys(o)) AS k FROM m)),
+inner_keys AS (SELECT bundle_id, p_at, doc_id, v, unnest(json_keys(v)) AS k FROM outermost WHERE json_type(v) = 'OBJECT')
+SELECT bundle_id, p_at AS prediction_index, doc_id, k AS metric, TRY_CAST(v ->> '$' AS DOUBLE) AS value FROM outermost WHERE json_type(v) <> 'OBJECT'
+UNION ALL SELECT bundle_id, p_at, doc_id, k, TRY_CAST(v ->> ('$.' || k) AS DOUBLE) FROM inner_keys"""
+P5_CHOICES_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, p_at AS prediction_index, doc_id, choice_index, {', '.join(_json_real('item', n) for n in ('sum_logits', 'sum_logits_uncond', 'logits_per_token', 'logits_per_char', 'logits_per_byte'))},
+  {', '.join(_json_whole('item', n) for n in ('num_tokens', 'num_tokens_all', 'num_chars'))}, TRY_CAST(item ->> '$.is_greedy' AS BOOLEAN) AS is_greedy FROM c"""
+P5_SPANS_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, p_at AS prediction_index, doc_id, choice_index, span_index, {_json_whole('item', 'start').replace(' AS start', ' AS "start"')}, {_json_whole('item', 'end').replace(' AS end', ' AS "end"')}, {_json_real('item', 'logit')} FROM s"""
+
+ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_separated": P3_SEPARATED_SQL, "p5_found": P5_SQL, "p5_bundles": P5_BUNDLES_SQL, "p5_predictions": P5_PREDICTIONS_SQL, "p5_metrics": P5_METRICS_SQL, "p5_choices": P5_CHOICES_SQL, "p5_spans": P5_SPANS_SQL}

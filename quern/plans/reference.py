@@ -672,9 +672,9 @@ def q_scaling_faults(spark, d):
 @query()
 def q_choice_predictions(spark, d):
     """Predicted choice of each prediction under every decision rule."""
-    from quern.operators.nested import choice_table, flatten_bundles
+    from quern.operators.nested import choice_table
 
-    choices = choice_table(flatten_bundles(table(spark, d, "prediction_bundles"), bodies=True))
+    choices = choice_table(table(spark, d, "prediction_bundles"))
     return published_items(choices, ["bundle_id", "prediction_index"]).drop("choices", "published_per_byte")
 
 
@@ -685,13 +685,13 @@ def q_rule_agreement(spark, d):
     The published per-byte prediction is the smallest logits_per_byte. Ours divides by bytes that
     follow from the same figure, so it tests the whole bytes behind it, not an own count of them.
     """
-    from quern.operators.nested import choice_table, flatten_bundles, prediction_table
+    from quern.operators.nested import choice_table, prediction_table
 
-    rows = flatten_bundles(table(spark, d, "prediction_bundles"), bodies=True)
+    bundles = table(spark, d, "prediction_bundles")
     place = ["bundle_id", "prediction_index"]
     names = {"raw": "predicted_index_raw", "per_token": "predicted_index_per_token", "per_char": "predicted_index_per_char", "pmi": "predicted_index_uncond"}
-    published = prediction_table(rows).select(*place, "label", F.col("label").alias("gold_index"), *[F.get_json_object("metrics", f"$.{n}").try_cast("int").alias(f"published_{r}") for r, n in names.items()])
-    joined = published_items(choice_table(rows), place).join(published, place).withColumn("item", F.concat_ws("/", *place))
+    published = prediction_table(bundles).select(*place, "label", F.col("label").alias("gold_index"), *[F.get_json_object("metrics", f"$.{n}").try_cast("int").alias(f"published_{r}") for r, n in names.items()])
+    joined = published_items(choice_table(bundles), place).join(published, place).withColumn("item", F.concat_ws("/", *place))
     return compare_joined(joined, "item").drop("first_mismatch")
 
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.operators.nested import StructuralIndex, _Flattener, choice_table, flatten_bundles, prediction_table, span_table, valid_json, whole_id
+from quern.operators.nested import StructuralIndex, _Flattener, bundle_table, choice_table, flatten_bundles, metric_table, prediction_table, span_table, valid_json, whole_id
 
 import numpy as np
 
@@ -42,10 +42,8 @@ def brute(bundle, payload):
 
 
 def flat(payloads):
-    some = [(k, p) for k, p in enumerate(payloads) if p is not None and valid_json(p)]
-    if not some:
-        return []
-    f = _Flattener(False)
+    some = [(k, p) for k, p in enumerate(payloads) if p is not None]
+    f = _Flattener()
     f.bundles(np.array([k for k, _ in some]), [p.encode() for _, p in some])
     b = f.batch()
     return sorted(zip(*[b.column(n).to_pylist() for n in ("bundle_id", "doc_id", "choice_index", "span_index")], strict=True), key=repr)
@@ -85,24 +83,63 @@ def test_any_json_against_a_tree(values, indent):
     assert flat(payloads) == sorted((r for k, p in enumerate(payloads) for r in brute(k, p)), key=repr)
 
 
+def accepted(text):
+    def refuse(name):
+        raise ValueError(name)
+
+    try:
+        json.loads(text, parse_constant=refuse)
+    except ValueError:
+        return False
+    return True
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(JSON, st.lists(st.tuples(st.integers(0, 60), st.sampled_from(list('{}[],:"\\ 0-1.eE+tn/u\t\n\x01') + ["null", "true", "NaN", '"a"', "\\u00e9", ""]), st.booleans()), max_size=3)), min_size=1, max_size=5))
+def test_grammar_against_a_strict_reader(cases):
+    """Damaged texts are told from sound ones, whatever stands beside them in the buffer."""
+    texts = []
+    for value, edits in cases:
+        text = json.dumps(value, ensure_ascii=False)
+        for at, piece, instead in edits:
+            text = text[:at] + piece + text[at + instead :]
+        texts.append(text)
+    assert StructuralIndex([t.encode() for t in texts]).valid.tolist() == [accepted(t) for t in texts]
+
+
+@pytest.mark.parametrize("text", ["0", "-0", "01", "-", "1.", ".5", "1.5e", "1e+5", "1E-05", "+1", "tru", "true", "truefalse", "nul", "Infinity", '"\\u12g4"', '"\\u1234"', '"\\x"', '"\t"', "\ufeff1", "1 2", "[1,]", "[,1]", '{"a"}', '{"a":1,}', '{1:2}', '{"a":1 "b":2}', "[1:2]", "[}", "{]", "", " ", '"a" "b"', '1"a"', "\\", '"\\\\"', '"\\"', "1" * 5000])
+def test_grammar_cases(text):
+    import sys
+
+    sys.set_int_max_str_digits(0)
+    assert valid_json(text) is accepted(text)
+
+
 def test_index_of_long_nesting():
-    deep = "[" * 300 + "]" * 300
-    index = StructuralIndex([deep.encode(), b'{"a": 1}'])
+    deep = "[" * 50_000 + "]" * 50_000
+    index = StructuralIndex([deep.encode(), b'{"a": 1}', ("[" * 9).encode(), b"{}"])
+    assert index.valid.tolist() == [True, True, False, True]
     row, start, end = index.members(index.token_at(index.first(index.starts[1:2])), b"a")
     assert index.text(start[0], end[0]) == b"1" and len(row) == 1
+    inner = json.dumps({"doc_id": 2, "model_output": "[{}]"})
+    assert flat(['{"x": ' + deep + ', "predictions": [' + inner + ', {"doc_id": ' + deep + "}]}"]) == [(0, 2, -1, -1), (0, 2, 0, -1), (0, None, -1, -1)]
 
 
 def test_spark_tables(spark):
-    body = json.dumps({"predictions": [{"doc_id": 5, "native_id": "n", "label": 1, "metrics": {"acc": 1}, "model_output": [{"sum_logits": -1.5, "num_tokens": 3, "is_greedy": True, "spans": [{"start": 1, "end": 2, "logit": 0.5}]}]}]})
-    df = spark.createDataFrame([(1, body), (1, body), (2, None), (None, body), (3, "x" * 100_000)], "bundle_id bigint, payload string").withColumn("doc_id", F.lit(0)).withColumn("body", F.lit(0))
-    rows = flatten_bundles(df, bodies=True)
-    assert rows.count() == 6
-    assert [tuple(r) for r in prediction_table(rows).distinct().collect()] == [(1, 0, 5, "n", 1, '{"acc":1}')]
-    c = choice_table(rows).first()
-    assert (c.choice_index, c.sum_logits, c.num_tokens, c.is_greedy, c.num_chars) == (0, -1.5, 3, True, None)
-    s = span_table(rows).first()
-    assert (s.span_index, s.start, s.end, s.logit) == (0, 1, 2, 0.5)
-    assert flatten_bundles(df.limit(0)).count() == 0
+    body = json.dumps({"task_name": "boolq", "num_instances": 1.0, "task_config": {"x": [1]}, "predictions": [{"doc_id": 5, "native_id": "n\u00fc\"", "label": "2.0", "metrics": {"acc": 1, "scores": {"f1": 0.5, "no": None}, "s": "x"}, "model_output": [{"sum_logits": -1.5, "num_tokens": 12.0, "num_chars": "7.0", "is_greedy": True, "spans": [{"start": 3.0, "end": 2, "logit": 0.5}]}]}]})
+    df = spark.createDataFrame([(1, body), (1, body), (2, None), (None, body), (3, "x" * 100_000)], "bundle_id bigint, payload string").withColumn("doc_id", F.lit(0)).withColumn("m_label", F.lit(0))
+    assert flatten_bundles(df).count() == 6
+    predictions = prediction_table(df)
+    assert [tuple(r) for r in predictions.drop("metrics").distinct().collect()] == [(1, 0, 5, 'n\u00fc"', None, None, 2)]
+    assert sorted((r.metric, r.value) for r in metric_table(predictions).distinct().collect()) == [("acc", 1.0), ("f1", 0.5), ("no", None), ("s", None)]
+    c = choice_table(df).first()
+    assert (c.choice_index, c.sum_logits, c.num_tokens, c.is_greedy, c.num_chars, c.logits_per_byte) == (0, -1.5, 12, True, 7, None)
+    s = span_table(df).first()
+    assert (s.span_index, s.start, s.end, s.logit) == (0, 3, 2, 0.5)
+    b = bundle_table(df).first()
+    assert (b.bundle_id, b.task_name, b.num_instances, b.task_config, b.model_hash) == (1, "boolq", 1, '{"x": [1]}', None)
+    for level in (None, "bundles", "predictions", "choices", "spans"):
+        assert flatten_bundles(df.limit(0), level, ["a"] if level else []).count() == 0
 
 
 @pytest.mark.parametrize(("raw", "value"), [(b"12", 12), (b'"12"', 12), (b'" 012 "', 12), (b"12.0", 12), (b"1.2e1", 12), (b"-3", -3), (b"1.5", None), (b"null", None), (b"true", None), (b'"x"', None), (b"{}", None), (b"1e400", None), (b'"NaN"', None)])
