@@ -1,10 +1,12 @@
 """Differences between two copies of a table, field by field.
 
 Each side is reduced to the row that stands for its key (latest ``loaded_at``)
-by a map-side combinable ``max_by``, so a key that was re-sent a million times
+by a map-side combinable ``max``, so a key that was re-sent a million times
 costs one row per map task, and the join sees unique keys. The join is a
 null-safe full outer join; the compared columns become one array of
-(field, left value, right value) differences.
+(field, left value, right value) differences. Null-safety lies in the keys themselves (a
+fill value and one bitmap of what was NULL), so that reduction and join agree on one
+partitioning and one order: each side is shuffled and sorted once.
 
 Defined results: NULL keys match NULL keys; NULL and NaN are alike missing;
 rows tied on ``loaded_at`` are resolved by the greatest value struct, which is
@@ -23,17 +25,26 @@ from quern.functions.numbers import present, strip_blanks, whole_number
 from quern.session import checked_broadcast
 
 
+_FILL = {"string": "", "bigint": 0, "int": 0}
+NULLS = "_nulls"
+
+
 def latest_rows(df: DataFrame, keys: Mapping[str, Column], fields: Mapping[str, Column], order: Column) -> DataFrame:
-    """One row per key: the ``fields`` of the row with the greatest ``order``."""
-    names = list(fields)
+    """One row per key: the ``fields`` of the row with the greatest ``order``.
+
+    NULL keys are filled; bit k of ``_nulls`` tells that key k was NULL. Keys are text or whole numbers.
+    """
     packed = df.select(
         *[c.alias(f"k_{k}") for k, c in keys.items()],
         F.struct(*[c.alias(f) for f, c in fields.items()]).alias("v"),
         order.alias("o"),
     )
-    ranked = F.struct(F.col("o").isNotNull(), F.col("o"), F.col("v"))
-    kept = packed.groupBy(*[f"k_{k}" for k in keys]).agg(F.max_by("v", ranked).alias("v"))
-    return kept.select(*[F.col(f"k_{k}").alias(k) for k in keys], *[F.col(f"v.{f}").alias(f) for f in names])
+    types = dict(packed.dtypes)
+    nulls = sum((F.when(F.col(f"k_{k}").isNull(), 1 << i).otherwise(0) for i, k in enumerate(keys)), F.lit(0))
+    filled = packed.select(*[F.coalesce(f"k_{k}", F.lit(_FILL[types[f"k_{k}"]]).cast(types[f"k_{k}"])).alias(k) for k in keys], nulls.alias(NULLS), "v", "o")
+    # NULL orders before everything else; the row is carried once, inside what it is ordered by
+    kept = filled.groupBy(*keys, NULLS).agg(F.max(F.struct("o", "v")).alias("r"))
+    return kept.select(*keys, NULLS, *[F.col(f"r.v.{f}").alias(f) for f in fields])
 
 
 def differs(left: Column, right: Column, tolerance: float) -> Column:
@@ -46,17 +57,13 @@ def differs(left: Column, right: Column, tolerance: float) -> Column:
 def diff_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], fields: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
     """Rows missing on a side, and differing fields of rows on both.
 
-    Both sides have one row per key. Result: keys, ``side`` (``both``,
+    Both sides come from ``latest_rows``, so they have one row per key. Result: keys, ``side`` (``both``,
     ``left_only``, ``right_only``) and ``differences``, an array of
     struct(field, left_value, right_value); rows without any difference are left out.
     """
-    a = left.select(*[F.col(k).alias(f"a_{k}") for k in keys], F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias("a"))
-    b = right.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias("b"))
-    on = None
-    for k in keys:
-        same = F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}"))
-        on = same if on is None else on & same
-    joined = a.join(b, on, "full_outer")
+    on = [*keys, NULLS]
+    sided = lambda df, mark: df.select(*on, F.struct(*[F.col(f).cast("double").alias(f) for f in fields]).alias(mark))
+    joined = sided(left, "a").join(sided(right, "b"), on, "full_outer")
     side = F.when(F.col("b").isNull(), "left_only").when(F.col("a").isNull(), "right_only").otherwise("both")
     candidates = F.array(
         *[
@@ -69,7 +76,7 @@ def diff_tables(left: DataFrame, right: DataFrame, keys: Sequence[str], fields:
     )
     return (
         joined.select(
-            *[F.when(F.col("a").isNull(), F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(k) for k in keys],
+            *[F.when(F.col(NULLS).bitwiseAND(1 << i) == 0, F.col(k)).alias(k) for i, k in enumerate(keys)],
             side.alias("side"),
             F.when(side == "both", F.filter(candidates, lambda d: d.isNotNull())).otherwise(F.array().cast("array<struct<field:string,left_value:double,right_value:double>>")).alias("differences"),
         )
