@@ -438,8 +438,7 @@ def find_spikes(
         micros(time_col, types[time_col]).alias("t"), micros(arrival_col, types[arrival_col]).alias("arrived"),
         *[F.col(f).cast("double").alias(v) for f, v in zip(fields, names, strict=True)],
     ).where("source IS NOT NULL AND row_id IS NOT NULL")
-    kept = F.struct("source", "t", *names)
-    once = rows.groupBy("row_id").agg(F.max_by(kept, F.struct(F.coalesce("arrived", F.lit(-(2**63))), kept)).alias("r")).select("row_id", "r.*")
+    once = rows.groupBy("row_id").agg(F.max(F.struct(F.coalesce("arrived", F.lit(-(2**63))).alias("arrived"), "source", "t", *names)).alias("r")).select("row_id", "r.*").drop("arrived")
     cells = F.array(*[F.when(_impossible(F.col(v), kind), F.lit(f)) for (f, kind), v in zip(fields.items(), names, strict=True)])
     timeless = once.where("t IS NULL").select("row_id", F.explode(F.array_compact(cells)).alias("field_name"), F.lit("limit").alias("kind"))
     timed = once.where("t IS NOT NULL")
