@@ -2,13 +2,16 @@
 
 Structure is judged on the quote-separated pieces of a record (one linear pass
 of built-in array functions, no regular-expression backtracking). Values are
-judged once per distinct value and column: the distinct values are cast, the
-bad ones form a dictionary with a reason, and the dictionary is joined back to
-the records. A hot value (a seed that a third of all rows share) is spread over
-``salts`` join keys.
-
-Defined results: rows without an id are one row to the valid and rejected outputs; a NULL record and an empty record have no 15 fields
-(``column_count``); a record written twice is judged twice; extra columns of the
+judged once per distinct value and column: the distinct values are counted with
+a map-side aggregate (a value that a third of all rows share is one row per map task),
+cast, and the bad ones kept with their reason as a dictionary in the checkpoint folder.
+Rows are then parsed once for all outputs and looked up in the dictionary beside their
+structural checks: its measured size decides between broadcast joins (no shuffle of
+rows) and shuffle joins, whose hot values adaptive execution splits.
+
+Defined results: every row is judged by itself, so rows without an id or with a
+shared one keep their own outcome and a record written twice is judged twice; a NULL
+record and an empty record have no 15 fields (``column_count``); extra columns of the
 input are ignored; an empty table gives empty outputs. Ties cannot arise.
 """
 
@@ -20,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.numbers import finite_double, strip_blanks, whole_number
-from quern.session import checked_broadcast
+from quern.session import checked_broadcast, stable_checkpoint
 
 #: Column order of the scaling-law CSV files.
 SCALING_COLUMNS = (
@@ -44,6 +47,12 @@ class ParsedRecords:
     invalid_values: DataFrame
 
 
+#: Value columns that are judged, each finding bearing the column's name.
+JUDGED = ("step", "tokens", "compute", "seed")
+#: Longest value that stands for itself in the dictionary.
+KEY_CHARS = 64
+
+
 def record_fields(line: Column) -> Column:
     """``struct(sound, fields)`` of one comma-separated record.
 
@@ -81,6 +90,26 @@ def record_fields(line: Column) -> Column:
     return F.struct(sound.alias("sound"), fields.alias("fields"))
 
 
+def _key(value: Column) -> Column:
+    """What a value is looked up by: itself, or a digest where it is long, so that a dictionary row is small."""
+    return F.when(F.char_length(value) > KEY_CHARS, F.concat(F.lit("#"), F.sha2(value, 256))).otherwise(value)
+
+
+def _bad_values(distinct: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (name, key, value, records) of ``distinct`` whose value cannot be loaded; every value is cast once here."""
+    whole = F.when(F.col("name") != "compute", whole_number(F.col("value")))
+    amount = F.when(F.col("name") == "compute", finite_double(F.col("value")))
+    cast = distinct.select("*", whole.alias("whole"), amount.alias("amount"))
+    looked_up = cast.join(checked_broadcast(known.distinct()), (F.col("name") == "seed") & (F.col("whole") == F.col("known")), "left")
+    blank = F.col("value") == ""
+    good = (
+        F.when(F.col("name") == "compute", blank | F.coalesce(F.col("amount") >= 0, F.lit(False)))
+        .when(F.col("name") == "seed", blank | F.col("known").isNotNull())
+        .otherwise((blank & (F.col("name") == "tokens")) | F.coalesce(F.col("whole") >= 0, F.lit(False)))
+    )
+    return looked_up.where(~good).select("name", "key", "value", "records")
+
+
 def parse_records(
     lines: DataFrame,
     seeds: DataFrame,
@@ -89,68 +118,46 @@ def parse_records(
     line_col: str = "raw_line",
     columns: tuple[str, ...] = SCALING_COLUMNS,
     extra_seeds: tuple[int, ...] = (LEGACY_SEED,),
-    salts: int = 8,
+    max_broadcast: int = 100_000,
 ) -> ParsedRecords:
     """Separate the records of ``lines`` that cannot be loaded from those that can.
 
     ``seeds`` needs ``seed_value``; it is a lookup table. Reasons: ``quoting``,
-    ``column_count``, or the name of a bad value column, one finding each.
+    ``column_count``, or the name of a bad value column, one finding each. Runs the
+    query that builds the dictionary.
     """
     width = len(columns)
-    judged = ("step", "tokens", "compute", "seed")
     at = {c: columns.index(c) for c in columns}
-    records = lines.select(F.col(id_col).alias("line_id"), record_fields(F.col(line_col)).alias("r"))
+    records = lines.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("raw_line"), record_fields(F.col(line_col)).alias("r"))
     shape = F.when(~F.col("r.sound"), "quoting").when(F.size("r.fields") != width, "column_count")
-    shaped = records.select("line_id", shape.alias("shape"), F.col("r.fields").alias("fields"))
-
-    values = [F.struct(F.lit(c).alias("name"), strip_blanks(F.get("fields", F.lit(at[c]))).alias("value")) for c in judged]
-    # A structural fault is a cell too, so one pass over the text serves all checks.
-    cells = (
-        shaped.select(
-            "line_id",
-            F.pmod(F.xxhash64("line_id"), F.lit(salts)).alias("salt"),
-            F.explode(F.when(F.col("shape").isNull(), F.array(*values)).otherwise(F.array(F.struct(F.lit("shape").alias("name"), F.col("shape").alias("value"))))).alias("cell"),
-        )
-        .select("line_id", "salt", "cell.name", "cell.value")
-        .repartition("name", "value", "salt")
-    )
+    shaped = records.select("line_id", "raw_line", shape.alias("shape"), F.col("r.fields").alias("fields"))
+    value = {c: strip_blanks(F.get("fields", F.lit(at[c]))) for c in JUDGED}
+
+    cells = shaped.where("shape IS NULL").select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), v.alias("value")) for c, v in value.items()])).alias("cell"))
+    distinct = cells.groupBy("cell.name", "cell.value").agg(F.count(F.lit(1)).alias("records")).select("name", _key(F.col("value")).alias("key"), "value", "records")
     known = seeds.select(F.col("seed_value").cast("bigint").alias("known")).where("known IS NOT NULL")
     if extra_seeds:
         known = known.union(seeds.sparkSession.createDataFrame([(s,) for s in extra_seeds], "known bigint"))
-    # The count keeps line_id in the plan, so that the dictionary and the join
-    # back read one and the same exchange.
-    distinct = cells.groupBy("name", "value", "salt").agg(F.count("line_id").alias("records"))
-    whole = F.when(F.col("name") != "compute", whole_number(F.col("value")))
-    amount = F.when(F.col("name") == "compute", finite_double(F.col("value")))
-    cast = distinct.select("name", "value", "salt", "records", whole.alias("whole"), amount.alias("amount"))
-    judged_values = cast.join(checked_broadcast(known.distinct()), (F.col("name") == "seed") & (F.col("whole") == F.col("known")), "left")
-    blank = F.col("value") == ""
-    good = (
-        F.when(F.col("name") == "shape", F.lit(False))
-        .when(F.col("name") == "compute", blank | F.coalesce(F.col("amount") >= 0, F.lit(False)))
-        .when(F.col("name") == "seed", blank | F.col("known").isNotNull())
-        .otherwise((blank & (F.col("name") == "tokens")) | F.coalesce(F.col("whole") >= 0, F.lit(False)))
-    )
-    invalid = judged_values.where(~good & (F.col("records") >= 0)).select("name", "value", "salt", "records")
-    reason = F.when(F.col("name") == "shape", F.col("value")).otherwise(F.col("name"))
-    findings = cells.join(invalid, ["name", "value", "salt"]).where("records >= 0").select("line_id", reason.alias("reason"))
-
-    rejected = (
-        lines.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("raw_line"))
-        .join(findings.groupBy(F.col("line_id").alias("f_id")).agg(F.sort_array(F.collect_set("reason")).alias("reasons")), F.col("line_id").eqNullSafe(F.col("f_id")))
-        .drop("f_id")
-    )
+    invalid = stable_checkpoint(_bad_values(distinct, known))
+    few = F.broadcast if invalid.count() <= max_broadcast else lambda df: df
+
+    judged = shaped.select("*", *[F.when(F.col("shape").isNull(), _key(v)).alias(f"_{c}") for c, v in value.items()])
+    for c in JUDGED:
+        bad = invalid.where(F.col("name") == c).select(F.col("key").alias(f"_{c}"), F.lit(c).alias(f"bad_{c}"))
+        judged = judged.join(few(bad), f"_{c}", "left")
+    judged = judged.select("line_id", "raw_line", "fields", F.array_compact(F.array("shape", *[f"bad_{c}" for c in JUDGED])).alias("reasons"))
+
     text = {c: F.get("fields", F.lit(at[c])) for c in columns}
     typed = {"step": whole_number, "tokens": whole_number, "seed": whole_number, "compute": finite_double, "throughput/total_tokens": finite_double}
     typed |= {c: finite_double for c in columns if c.endswith("CrossEntropyLoss")}
-    valid = (
-        shaped.where(F.col("shape").isNull())
-        .join(findings.select(F.col("line_id").alias("f_id")).distinct(), F.col("line_id").eqNullSafe(F.col("f_id")), "left_anti")
-        .select("line_id", *[typed.get(c, strip_blanks)(text[c]).alias(_plain(c)) for c in columns])
+    return ParsedRecords(
+        findings=judged.select("line_id", F.explode("reasons").alias("reason")),
+        rejected=judged.where(F.size("reasons") > 0).select("line_id", "raw_line", F.sort_array("reasons").alias("reasons")),
+        valid=judged.where(F.size("reasons") == 0).select("line_id", *[typed.get(c, strip_blanks)(text[c]).alias(plain_name(c)) for c in columns]),
+        invalid_values=invalid.select("name", "value", "records"),
     )
-    invalid_values = invalid.groupBy("name", "value").agg(F.sum("records").alias("records"))
-    return ParsedRecords(findings, rejected, valid, invalid_values)
 
 
-def _plain(name: str) -> str:
+def plain_name(name: str) -> str:
+    """Output name of a raw column."""
     return name.replace("/", "_").replace("-", "_").lower().replace("crossentropyloss", "cross_entropy")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.numbers import whole_number
 from quern.operators.nested import bundle_table, choice_table, flatten_bundles, metric_table, prediction_table, span_table
-from quern.operators.parse_lines import ParsedRecords, parse_records
+from quern.operators.parse_lines import SCALING_COLUMNS, ParsedRecords, parse_records, plain_name
 from quern.operators.spikes import find_spikes
 from quern.operators.table_diff import diff_task_results, task_findings
 
@@ -121,20 +121,36 @@ def whole_sql(v: str) -> str:
     return f"CASE WHEN regexp_full_match({v}, '{NUMBER}') AND {number} = trunc({number}) AND abs({number}) <= 9223372036854775807 THEN {number} END"
 
 
-P1_SQL = f"""
-WITH shaped AS (
+_P1_BAD = {
+    "step": f"coalesce({whole_sql('step')}, -1) < 0",
+    "tokens": f"tokens <> '' AND coalesce({whole_sql('tokens')}, -1) < 0",
+    "compute": f"compute <> '' AND NOT coalesce(regexp_full_match(compute, '{NUMBER}') AND isfinite(TRY_CAST(compute AS DOUBLE)) AND TRY_CAST(compute AS DOUBLE) >= 0, FALSE)",
+    "seed": f"seed <> '' AND coalesce({whole_sql('seed')}, -1) NOT IN (SELECT seed_value FROM seeds UNION ALL SELECT 6198)",
+}
+_P1_NAMES = [plain_name(c) for c in SCALING_COLUMNS]
+_P1_SHAPED = f"""shaped AS (
   SELECT line_id, raw_line, regexp_full_match(raw_line, '(?s){_FIELD}(,{_FIELD})*(\r\n|\r|\n)?') AS sound,
          1 + length(regexp_replace(regexp_replace(raw_line, '(?s)"(?:[^"]|"")*"', 'Q', 'g'), '[^,]', '', 'g')) AS n_fields
   FROM scaling_lines),
 cells AS (
-  SELECT line_id, {_cell(4)} AS step, {_cell(5)} AS tokens, {_cell(6)} AS compute, {_cell(14)} AS seed
-  FROM shaped WHERE sound AND n_fields = 15)
+  SELECT line_id, {', '.join(f'{_cell(k)} AS "{n}"' for k, n in enumerate(_P1_NAMES))}
+  FROM shaped WHERE sound AND n_fields = 15)"""
+P1_SQL = f"""WITH {_P1_SHAPED}
 SELECT line_id, 'quoting' AS reason FROM shaped WHERE NOT sound
 UNION ALL SELECT line_id, 'column_count' FROM shaped WHERE sound AND n_fields <> 15
-UNION ALL SELECT line_id, 'step' FROM cells WHERE coalesce({whole_sql('step')}, -1) < 0
-UNION ALL SELECT line_id, 'tokens' FROM cells WHERE tokens <> '' AND coalesce({whole_sql('tokens')}, -1) < 0
-UNION ALL SELECT line_id, 'compute' FROM cells WHERE compute <> '' AND NOT coalesce(regexp_full_match(compute, '{NUMBER}') AND isfinite(TRY_CAST(compute AS DOUBLE)) AND TRY_CAST(compute AS DOUBLE) >= 0, FALSE)
-UNION ALL SELECT line_id, 'seed' FROM cells WHERE seed <> '' AND coalesce({whole_sql('seed')}, -1) NOT IN (SELECT seed_value FROM seeds UNION ALL SELECT 6198)"""
+""" + "\n".join(f"UNION ALL SELECT line_id, '{c}' FROM cells WHERE {bad}" for c, bad in _P1_BAD.items())
+P1_INVALID_SQL = f"WITH {_P1_SHAPED}\n" + "\nUNION ALL ".join(f"SELECT '{c}' AS name, {c} AS value, COUNT(*) AS records FROM cells WHERE {bad} GROUP BY 2" for c, bad in _P1_BAD.items())
+
+
+def _p1_typed(n: str) -> str:
+    if n in ("step", "tokens", "seed"):
+        return f"CAST({whole_sql(n)} AS BIGINT) AS {n}"
+    if n == "compute" or n.startswith(("eval_", "train_", "throughput_")):
+        return f"CASE WHEN regexp_full_match({n}, '{NUMBER}') AND isfinite(TRY_CAST({n} AS DOUBLE)) THEN TRY_CAST({n} AS DOUBLE) END AS {n}"
+    return f'"{n}"'
+
+
+P1_VALID_SQL = f"WITH {_P1_SHAPED} SELECT line_id, {', '.join(_p1_typed(n) for n in _P1_NAMES)} FROM cells WHERE NOT ({' OR '.join(f'({bad})' for bad in _P1_BAD.values())})"
 
 _P2_FIELDS = ("primary_score", "acc_raw", "acc_per_token", "acc_per_char", "acc_uncond", "no_answer")
 _P2_SIDES = """
@@ -223,4 +239,4 @@ P5_CHOICES_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, p_at AS prediction_index
   {', '.join(_json_whole('item', n) for n in ('num_tokens', 'num_tokens_all', 'num_chars'))}, TRY_CAST(item ->> '$.is_greedy' AS BOOLEAN) AS is_greedy FROM c"""
 P5_SPANS_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, p_at AS prediction_index, doc_id, choice_index, span_index, {_json_whole('item', 'start').replace(' AS start', ' AS "start"')}, {_json_whole('item', 'end').replace(' AS end', ' AS "end"')}, {_json_real('item', 'logit')} FROM s"""
 
-ORACLE = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_separated": P3_SEPARATED_SQL, "p5_found": P5_SQL, "p5_bundles": P5_BUNDLES_SQL, "p5_predictions": P5_PREDICTIONS_SQL, "p5_metrics": P5_METRICS_SQL, "p5_choices": P5_CHOICES_SQL, "p5_spans": P5_SPANS_SQL}
+ORACLE = {"p1_found": P1_SQL, "p1_valid": P1_VALID_SQL, "p1_invalid_values": P1_INVALID_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_separated": P3_SEPARATED_SQL, "p5_found": P5_SQL, "p5_bundles": P5_BUNDLES_SQL, "p5_predictions": P5_PREDICTIONS_SQL, "p5_metrics": P5_METRICS_SQL, "p5_choices": P5_CHOICES_SQL, "p5_spans": P5_SPANS_SQL}

@@ -77,24 +77,29 @@ def test_empty_tables(spark, seeds):
     assert [r.reason for r in no_seeds.findings.collect()] == ["seed"]
 
 
-def test_hot_value_is_judged_once_per_salt(spark, seeds):
+def test_hot_value_is_one_row_of_the_dictionary(spark, seeds):
     df = spark.range(300).select(F.col("id").alias("line_id"), F.lit(line(seed="bad")).alias("raw_line"))
     result = parse_records(df, seeds)
     assert result.findings.count() == 300
     assert [tuple(r) for r in result.invalid_values.collect()] == [("seed", "bad", 300)]
 
 
-def test_one_exchange_serves_dictionary_and_join(spark, seeds, tmp_path):
+def test_large_dictionaries_are_joined_by_shuffle(spark, seeds):
+    texts = [*[text for text, _ in CASES], *[line(step=f"x{k}", seed="z" * 200 + str(k % 3)) for k in range(50)]]
+    df = spark.createDataFrame([(k, text) for k, text in enumerate(texts)], "line_id bigint, raw_line string")
+    results = [parse_records(df, seeds, max_broadcast=n) for n in (100_000, 0)]
+    small, large = (sorted(map(tuple, r.findings.collect())) for r in results)
+    assert small == large and len(small) == sum(len(want) for _, want in CASES) + 100
+    assert results[0].valid.count() == results[1].valid.count()
+
+
+def test_rows_are_not_shuffled(spark, seeds, tmp_path):
     spark.range(10).select(F.col("id").alias("line_id"), F.lit(line()).alias("raw_line")).write.parquet(f"{tmp_path}/lines")
-    df = spark.read.parquet(f"{tmp_path}/lines")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        findings = parse_records(df, seeds).findings
-        findings.collect()
-        plan = findings._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "ReusedExchange" in plan
+    result = parse_records(spark.read.parquet(f"{tmp_path}/lines"), seeds)
+    for df in (result.findings, result.valid, result.rejected):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and plan.count("FileScan parquet") <= 2  # initial and final plan
 
 
 @settings(max_examples=8, deadline=None)
