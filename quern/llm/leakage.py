@@ -10,11 +10,13 @@ distance.
 
 The corpus is read once per block of items, by narrow tasks without a shuffle.
 The items are a stated query set: they are sent to the executors in blocks of
-at most ``block_words`` words, so what is broadcast is bounded whatever their
-number.
+about ``block_words`` words, one block after the other where there are several, so what
+is broadcast at a time is bounded whatever their number. Counting the words and
+fetching the items of a block run queries while the result is built.
 
 Defined results: NULL and blank documents and item texts hold nothing; texts
-below ``min_words`` words cannot leak; items that share a text each get a row; a
+below ``min_words`` words cannot leak; a word broken at a line end is read in every
+way that the items make possible, each break by itself; items that share a text each get a row; a
 document is reported once per item however often it holds it; two documents of
 equal text both count; documents repeated under one doc_id give one row; extra
 columns are ignored; whole texts are searched.
@@ -31,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.textprep import WORD, gram_hashes, hash_words, undressed
-from quern.session import ship_package
+from quern.llm.textprep import WORD, gram_hashes, hash_words, joined, readings, undressed
+from quern.session import ship_package, stable_checkpoint
 
 #: Characters hashed at once; a longer text is hashed whole.
 CHUNK_CHARS = 1 << 19
@@ -83,17 +85,13 @@ class ItemIndex:
     owners: list[list[int]] = field(default_factory=list)
 
     def build(self, items: Iterable[tuple[int, str | None]]) -> ItemIndex:
-        known: dict[tuple[str, ...], int] = {}
+        owners: dict[tuple[str, ...], dict[int, None]] = defaultdict(dict)
         for item, text in items:
-            words = tuple(WORD.findall(undressed(text)[0])) if text else ()
-            if len(words) < self.min_words:
-                continue
-            if words not in known:  # a text that several items share is searched once
-                known[words] = len(self.texts)
-                self.texts.append(list(words))
-                self.owners.append([])
-            if item not in self.owners[known[words]]:
-                self.owners[known[words]].append(item)
+            words = tuple(WORD.findall(joined(undressed(text)))) if text else ()
+            if len(words) >= self.min_words:
+                owners[words][item] = None  # a text that several items share is searched once
+        self.texts, self.owners = [list(w) for w in owners], [list(o) for o in owners.values()]
+        self.known = frozenset(w for words in self.texts for w in words)
         self.length = piece_length(self.min_words, self.max_edits)
         hashes, where, place = [], [], []
         for k, words in enumerate(self.texts):
@@ -160,7 +158,7 @@ def _search(shared):
                 whole = text.as_py()
                 if doc is None or not whole:
                     continue
-                for reading in undressed(whole):
+                for reading in readings(undressed(whole), index.known, index.min_words + index.max_edits, index.max_edits > 0):
                     ids.append(doc)
                     texts.append(reading)
                     size += len(reading)
@@ -199,8 +197,11 @@ def find_leaks(
     found = None
     for b in range(blocks):
         block = flat.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).toLocalIterator()
-        index = ItemIndex(min_words, max_edits).build((r["item"], r["text"]) for r in block)
-        part = corpus.mapInArrow(_search(spark.sparkContext.broadcast(index)), "doc_id long, item_id long")
+        shared = spark.sparkContext.broadcast(ItemIndex(min_words, max_edits).build((r["item"], r["text"]) for r in block))
+        part = corpus.mapInArrow(_search(shared), "doc_id long, item_id long")
+        if blocks > 1:  # searched now, so that the next index takes the place of this one
+            part = stable_checkpoint(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
-    # Two readings of one text, or a repeated doc_id, may find the same item twice.
+    # Readings of one text, or a repeated doc_id, may find the same item twice.
     return found.distinct()

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
+from collections.abc import Container
 from functools import cache
 
 import numpy as np
 
-_TAG = re.compile(r"<!--.*?-->|</?([A-Za-z][A-Za-z0-9]*)\b[^<>]*>", re.S)
+_TAG = re.compile(r"</?([A-Za-z][A-Za-z0-9]*)\b[^<>]*>")
+_COMMENT, _COMMENT_END = "<!--", "-->"
 #: Tags that stand inside a line of text: taking them away joins what they part.
 INLINE_TAGS = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd mark q s samp small span strong sub sup tt u var wbr".split())
 _INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯︀-️﻿"
@@ -18,27 +21,115 @@ _HIDDEN = re.compile(f"[{_INVISIBLE}]+")
 _BREAK = re.compile(r"(?<=[^\W_])[-‐‑][ \t]*\r?\n[ \t]*(?:>[ \t]*)*(?=[^\W_])")
 _SOFT_BREAK = re.compile(r"­[ \t]*\r?\n[ \t]*(?:>[ \t]*)*")
 WORD = re.compile(r"[^\W_]+")
+#: Stands in an undressed text where a hyphen ended a line: the word goes on, or a compound's next word begins.
+MARK = "\x1e"
+_BROKEN = re.compile(rf"[^\W_]+(?:{MARK}[^\W_]+)+")
 
 
-def undressed(text: str) -> list[str]:
-    """Readings of ``text`` in lower case without markup, invisible characters and line-end breaks.
+def _without_comments(text: str) -> str:
+    """Comments become blanks, in one pass; an opening without an end is text."""
+    out, at = [], 0
+    while (start := text.find(_COMMENT, at)) >= 0 and (end := text.find(_COMMENT_END, start + len(_COMMENT))) >= 0:
+        out += [text[at:start], " "]
+        at = end + len(_COMMENT_END)
+    return "".join([*out, text[at:]])
 
-    One reading, or two where a line ends in a hyphen: with the word joined, and
-    as it stands (the hyphen may belong to a compound).
-    """
+
+def undressed(text: str) -> str:
+    """``text`` in lower case without markup and invisible characters; a hyphen that ends a line, with the line end, becomes ``MARK``."""
+    text = text.replace(MARK, " ") if MARK in text else text
     if "<" in text:
-        text = _TAG.sub(lambda m: "" if (m.group(1) or "").lower() in INLINE_TAGS else " ", text)
+        text = _TAG.sub(lambda m: "" if m.group(1).lower() in INLINE_TAGS else " ", _without_comments(text))
     if "&" in text:
         text = html.unescape(text)
     if not text.isascii():
-        text = _SOFT_BREAK.sub("", text) if "­" in text else text
+        text = _SOFT_BREAK.sub("", text) if "\u00ad" in text else text
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
     text = text.lower()
-    if "-" in text or "‐" in text:
-        joined, breaks = _BREAK.subn("", text)
-        if breaks:
-            return [joined, text]
-    return [text]
+    return _BREAK.sub(MARK, text) if "-" in text or "‐" in text else text
+
+
+def joined(text: str) -> str:
+    """An undressed text with every broken word joined."""
+    return text.replace(MARK, "")
+
+
+def _forms(pieces: list[str], known: Container[str], edits: bool) -> list[str]:
+    """How a broken word may read: pieces joined to words of ``known``, what lies before and after them joined to one word each.
+
+    The joined word is a form too where it is known or words may be edited; other readings hold
+    no known word, so no search for known words can tell them apart.
+    """
+    found: dict[str, None] = {}
+    whole = "".join(pieces)
+    if edits or whole in known:
+        found[whole] = None
+
+    def grow(words: list[str], at: int) -> None:
+        if words:
+            rest = "".join(pieces[at:])
+            found[" ".join([*words, rest] if rest else words)] = None
+        for end in range(at + 1, len(pieces) + 1):
+            if (word := "".join(pieces[at:end])) in known:
+                grow([*words, word], end)
+
+    for start in range(len(pieces)):
+        head = "".join(pieces[:start])
+        for end in range(start + 1, len(pieces) + 1):
+            if (word := "".join(pieces[start:end])) in known:
+                grow([head, word] if head else [word], end)
+    return list(found) or [whole]
+
+
+def readings(text: str, known: Container[str], reach: int, edits: bool) -> list[str]:
+    """Texts that hold every stretch of ``reach`` words in every reading of its broken words.
+
+    Broken words that can be read in one way only are settled. Where several stand
+    within ``reach`` words of each other and can be read in several ways, the stretch around
+    them follows in all mixtures.
+    """
+    if MARK not in text:
+        return [text]
+    parts: list[str] = []  # text, broken word, text, broken word, ..., text
+    forms: list[list[str]] = []
+    at = 0
+    for m in _BROKEN.finditer(text):
+        options = _forms(m.group().split(MARK), known, edits)
+        if len(options) == 1:
+            continue
+        parts.append(text[at : m.start()])
+        forms.append(options)
+        at = m.end()
+    parts.append(text[at:])
+    parts = [_BROKEN.sub(lambda m: _forms(m.group().split(MARK), known, edits)[0], p).replace(MARK, " ") for p in parts]
+    if not forms:
+        return parts
+    choose = lambda r: "".join(x for p, f in zip(parts, [*forms, [""]], strict=True) for x in (p, f[min(r, len(f) - 1)]))
+    out = {choose(r): None for r in range(max(map(len, forms)))}
+    between = [len(WORD.findall(p)) for p in parts]
+    for first in range(len(forms) - 1):
+        last, words = first, 0
+        while last + 1 < len(forms) and (words := words + between[last + 1]) < reach:
+            last += 1
+        if last == first:
+            continue
+        head, tail = _last_words(parts[first], reach), _first_words(parts[last + 1], reach)
+        for mixture in itertools.product(*forms[first : last + 1]):
+            inner = "".join(x for p, f in zip([head, *parts[first + 1 : last + 1]], mixture, strict=True) for x in (p, f))
+            out[inner + tail] = None
+    return list(out)
+
+
+def _first_words(text: str, n: int) -> str:
+    for k, m in enumerate(WORD.finditer(text)):
+        if k == n:
+            return text[: m.start()]
+    return text
+
+
+def _last_words(text: str, n: int) -> str:
+    found = [m.start() for m in WORD.finditer(text)]
+    return text[found[-n] :] if len(found) > n else text
 
 
 @cache

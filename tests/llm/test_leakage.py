@@ -53,6 +53,14 @@ def test_whole_part_and_altered(spark):
     assert near == [(d, 10) for d in (1, 2, 3, 4, 5, 8, 9)]
 
 
+def test_unlike_hyphens_in_one_stretch(spark):
+    item = "one two three four well known five six computer seven"
+    documents = [(1, "x one two three four well-\nknown five six compu-\nter seven"), (2, "one two three four well-\nknown five six com-\nputer seven y"), (3, "one two three four wellknown five six computer seven")]
+    assert leaks(spark, documents, [(5, item, "unrelated wellknown known com puter words that make every form of each break possible here")]) == [(1, 5), (2, 5)]
+    assert leaks(spark, documents, [(5, item, None)], max_edits=1) == [(1, 5), (2, 5)]
+    assert leaks(spark, [(1, "head-\none two three four five six seven eight nine ten-\ntail")], [(5, ITEM, None)]) == [(1, 5)]
+
+
 def test_documents_do_not_run_into_each_other(spark):
     half = ITEM.split()
     assert leaks(spark, [(1, " ".join(half[:8])), (2, " ".join(half[8:]))], [(5, ITEM, None)]) == []
