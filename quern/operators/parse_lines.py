@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.numbers import finite_double, strip_blanks, whole_number
+from quern.functions.numbers import finite_double, let, strip_blanks, whole_number
 from quern.session import checked_broadcast, stable_checkpoint
 
 #: Column order of the scaling-law CSV files.
@@ -53,12 +53,12 @@ JUDGED = ("step", "tokens", "compute", "seed")
 KEY_CHARS = 64
 
 
-def record_fields(line: Column) -> Column:
-    """``struct(sound, fields)`` of one comma-separated record.
+def record_parts(line: Column) -> Column:
+    """``struct(sound, parts)`` of one comma-separated record; ``bare_part`` reads a part.
 
     A NULL record counts as an empty one. ``sound`` is false when a quoted field is not closed, has text after its
-    closing quote, or a bare quote stands in an unquoted field. ``fields`` holds
-    the unquoted values and is meaningful only if ``sound``.
+    closing quote, or a bare quote stands in an unquoted field. ``parts`` holds the fields as
+    written, with commas inside quotes replaced, and is meaningful only if ``sound``.
     """
     pieces = F.split(F.coalesce(line, F.lit("")), '"', -1)
     last = F.size(pieces) - 1
@@ -74,20 +74,25 @@ def record_fields(line: Column) -> Column:
         )
         return (i % 2 == 0) & ~fine
 
-    sound = (last % 2 == 0) & (F.size(F.filter(pieces, unsound)) == 0)
+    sound = (last % 2 == 0) & ~F.exists(F.transform(pieces, unsound), lambda bad: bad)
     shielded = F.transform(
         pieces,
-        lambda p, i: F.when(i % 2 == 0, p).otherwise(F.replace(F.replace(p, F.lit(_MARK), F.lit(_MARK + "a")), F.lit(","), F.lit(_COMMA))),
+        lambda p, i: F.when((i % 2 == 0) | ~p.rlike(f"[,{_MARK}]"), p).otherwise(F.replace(F.replace(p, F.lit(_MARK), F.lit(_MARK + "a")), F.lit(","), F.lit(_COMMA))),
     )
+    return F.struct(sound.alias("sound"), F.split(F.array_join(shielded, '"'), ",", -1).alias("parts"))
+
 
-    def bare(field: Column) -> Column:
-        closed = F.rtrim(field, F.lit("\r\n"))
-        inner = F.replace(F.substring(closed, F.lit(2), F.length(closed) - 2), F.lit('""'), F.lit('"'))
-        inner = F.replace(F.replace(inner, F.lit(_COMMA), F.lit(",")), F.lit(_MARK + "a"), F.lit(_MARK))
-        return F.when(field.startswith('"'), inner).otherwise(field)
+def bare_part(part: Column) -> Column:
+    """A part of a record without its quotes."""
+    closed = F.rtrim(part, F.lit("\r\n"))
+    inner = F.replace(F.substring(closed, F.lit(2), F.length(closed) - 2), F.lit('""'), F.lit('"'))
+    inner = F.replace(F.replace(inner, F.lit(_COMMA), F.lit(",")), F.lit(_MARK + "a"), F.lit(_MARK))
+    return F.when(part.startswith('"'), inner).otherwise(part)
 
-    fields = F.transform(F.split(F.array_join(shielded, '"'), ",", -1), bare)
-    return F.struct(sound.alias("sound"), fields.alias("fields"))
+
+def record_fields(line: Column) -> Column:
+    """``struct(sound, fields)``: ``record_parts`` with every field bare."""
+    return let(record_parts(line), lambda r: F.named_struct(F.lit("sound"), r["sound"], F.lit("fields"), F.transform(r["parts"], bare_part)))
 
 
 def _key(value: Column) -> Column:
@@ -128,10 +133,12 @@ def parse_records(
     """
     width = len(columns)
     at = {c: columns.index(c) for c in columns}
-    records = lines.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("raw_line"), record_fields(F.col(line_col)).alias("r"))
-    shape = F.when(~F.col("r.sound"), "quoting").when(F.size("r.fields") != width, "column_count")
-    shaped = records.select("line_id", "raw_line", shape.alias("shape"), F.col("r.fields").alias("fields"))
-    value = {c: strip_blanks(F.get("fields", F.lit(at[c]))) for c in JUDGED}
+    # exploded, so that no later step repeats the splitting
+    records = lines.select(F.col(id_col).alias("line_id"), F.col(line_col).alias("raw_line")).select("*", F.explode(F.array(record_parts(F.col("raw_line")))).alias("r"))
+    shape = F.when(~F.col("r.sound"), "quoting").when(F.size("r.parts") != width, "column_count")
+    shaped = records.select("line_id", "raw_line", shape.alias("shape"), F.col("r.parts").alias("parts"))
+    text = {c: bare_part(F.get("parts", F.lit(at[c]))) for c in columns}
+    value = {c: strip_blanks(text[c]) for c in JUDGED}
 
     cells = shaped.where("shape IS NULL").select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), v.alias("value")) for c, v in value.items()])).alias("cell"))
     distinct = cells.groupBy("cell.name", "cell.value").agg(F.count(F.lit(1)).alias("records")).select("name", _key(F.col("value")).alias("key"), "value", "records")
@@ -145,9 +152,8 @@ def parse_records(
     for c in JUDGED:
         bad = invalid.where(F.col("name") == c).select(F.col("key").alias(f"_{c}"), F.lit(c).alias(f"bad_{c}"))
         judged = judged.join(few(bad), f"_{c}", "left")
-    judged = judged.select("line_id", "raw_line", "fields", F.array_compact(F.array("shape", *[f"bad_{c}" for c in JUDGED])).alias("reasons"))
+    judged = judged.select("line_id", "raw_line", "parts", F.array_compact(F.array("shape", *[f"bad_{c}" for c in JUDGED])).alias("reasons"))
 
-    text = {c: F.get("fields", F.lit(at[c])) for c in columns}
     typed = {"step": whole_number, "tokens": whole_number, "seed": whole_number, "compute": finite_double, "throughput/total_tokens": finite_double}
     typed |= {c: finite_double for c in columns if c.endswith("CrossEntropyLoss")}
     return ParsedRecords(
