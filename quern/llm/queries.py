@@ -67,9 +67,8 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 def p8_profile(spark: SparkSession, d: str) -> DataFrame:
     """English documents per source and nearest level."""
     documents = _read(spark, d, "documents")
-    levels = p8_levels(spark, d).where("language = 'en'").select("doc_id", F.round("level").cast("int").alias("nearest_level"))
-    named = documents.select("doc_id", source_name(F.col("source")).alias("source"))
-    return levels.join(named, "doc_id").groupBy("source", "nearest_level").agg(F.count(F.lit(1)).alias("documents"))
+    levels = reading_levels(documents, fit_reading_level(documents, _read(spark, d, "level_labels")), keep=["source"]).where("language = 'en'")
+    return levels.groupBy(source_name(F.col("source")).alias("source"), F.round("level").cast("int").alias("nearest_level")).agg(F.count(F.lit(1)).alias("documents"))
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_merged, p6_found, p6_tasks, p6_near, p7_mix, p7_shares, p8_found, p8_levels, p8_profile)}

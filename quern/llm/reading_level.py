@@ -14,66 +14,52 @@ driver. Scoring: one narrow pass over the corpus without a shuffle; words are
 hashed for a whole batch of texts at once and each distinct word is scored once per
 worker.
 
+The language of a text comes from a model of its own, naive Bayes over the character
+n-grams of its words, fitted on documents whose ``lang`` says so, with a class of none.
+
 Defined results: NULL and blank texts have no level and no language; texts without
-any function word of a known language count as English; equal texts get equal
-levels; labels outside 1..5, NULL labels and labels of missing documents are
-ignored; an empty label table raises ValueError; extra columns are ignored; whole
+words of letters, and texts unlike all known languages, have no language; equal texts
+get equal levels; labels outside 1..5, NULL labels and labels of missing documents are
+ignored; an empty label table, or no document with a language, raises ValueError; extra columns are ignored; whole
 texts are read.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.textprep import hash_words
 from quern.session import ship_package
 
 LEVELS = 5
-#: Common function words of the languages told apart.
-FUNCTION_WORDS = {
-    "en": "the of and to in is that it was for on are as with they be at this have from or had by but not what were when we there can an which do their if will each about how up out them then she many some these would other into has more her two him see could no than been who its now did get may over new take only know our he his you your i a any every because so",
-    "de": "der die das und ist nicht ein eine einer einem einen mit auf für von dem den des zu im sich auch es wir sie ich wird werden wurde wurden hat haben sind war aber oder wie nach bei aus noch nur über vor zum zur durch wenn dass man kein keine mehr jede jeder jedes",
-    "fr": "le la les de des du un une et est pas que qui dans pour sur avec ce cette ces il elle nous vous ils elles au aux par ne se son sa ses plus ou mais comme été sont était avons avez être fait chaque après avant sans leur leurs",
-    "es": "el la los las de del un una y es no que en por para con se su sus al lo como más pero o este esta estos estas fue son ha han hay ser está después antes sin cada muy sobre entre cuando también nos",
-}
-LANGUAGES = tuple(FUNCTION_WORDS)
+ENGLISH = "en"
 N_FEATURES = 2 * LEVELS + 3
 _CHUNK_CHARS = 1 << 19
 _CACHE_WORDS = 1 << 19
+_LOWEST = -1e30
 _STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 _GRAMS = (3, 4)
 
 
-def _language_table() -> dict[str, np.ndarray]:
-    table: dict[str, np.ndarray] = {}
-    for k, words in enumerate(FUNCTION_WORDS.values()):
-        for word in words.split():
-            table.setdefault(word, np.zeros(len(LANGUAGES), np.float32))[k] = 1
-    # a word of several languages says less about each
-    return {w: v / v.sum() for w, v in table.items()}
-
-
-_LANGUAGE = _language_table()
-
-
 def _spelling(word: str) -> str:
     """Digits of a word are alike; very long words keep all their characters."""
     return "".join("0" if c.isdigit() else c for c in word) if not word.isalpha() else word
 
 
-def _gram_rows(word: str, size: int) -> np.ndarray:
+def _gram_rows(word: str, size: int, grams: tuple[int, ...] = _GRAMS) -> np.ndarray:
     """Hashed rows of the character n-grams of a word, with its edges."""
     w = f"<{_spelling(word)}>"
     code = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     rows = []
-    for n in _GRAMS:
+    for n in grams:
         if len(code) < n:
             continue
         h = np.zeros(len(code) - n + 1, np.uint64)
@@ -220,15 +206,90 @@ def document_features(p: np.ndarray, s: Sentences, n: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class LanguageModel:
+    """Naive Bayes over the character n-grams of words: which language a text is most likely written in.
+
+    A text whose grams are less likely in every language than any text it was fitted on, by
+    ``REJECT`` nats a gram, is in none of them; so is a text without words of letters.
+    """
+
+    names: tuple[str, ...]
+    weight: np.ndarray  # gram rows x languages: log likelihood
+    floor: float
+
+    GRAMS = (2, 3, 4)
+    REJECT = 1.0
+    #: Grams below which a text is too short to be rejected.
+    ENOUGH = 40
+
+    def word_scores(self, words: Iterable[str]) -> np.ndarray:
+        """Log likelihood of each word in each language, and its number of grams; 0 for words that are not all letters."""
+        words = list(words)
+        out = np.zeros((len(words), len(self.names) + 1), np.float32)
+        for k, word in enumerate(words):
+            if word.isalpha():
+                rows = _gram_rows(word, len(self.weight), self.GRAMS)
+                out[k, :-1], out[k, -1] = self.weight[rows].sum(axis=0), len(rows)
+        return out
+
+    def languages(self, sums: np.ndarray) -> np.ndarray:
+        """Place in ``names`` for each document's summed word scores; -1 for none."""
+        best, grams = sums[:, :-1].max(axis=1), sums[:, -1]
+        unlike = (grams >= self.ENOUGH) & (best < (self.floor - self.REJECT) * grams)
+        return np.where((grams == 0) | unlike, -1, sums[:, :-1].argmax(axis=1))
+
+
+def _document_sums(s: Sentences, scores: np.ndarray, n: int) -> np.ndarray:
+    """Word scores summed over each of ``n`` documents."""
+    out = np.zeros((n, scores.shape[1]))
+    if len(s.first):
+        np.add.at(out, s.doc, np.add.reduceat(scores[s.word], s.first, axis=0))
+    return out
+
+
+def fit_languages(texts: list[str], labels: list[str], *, size: int = 1 << 15, smoothing: float = 0.05, rounds: int = 3) -> LanguageModel:
+    """Fit the language model; documents that it tells to be in another language than labelled are left out and it is fitted again."""
+    names = tuple(sorted(set(labels)))
+    if not names:
+        raise ValueError("no document with a language to learn from")
+    s = split_sentences([t.lower() for t in texts])
+    label = np.array([names.index(x) for x in labels], np.int64)
+    document = np.repeat(s.doc, s.size)
+    rows = [_gram_rows(w, size, LanguageModel.GRAMS) if w.isalpha() else np.zeros(0, np.int64) for w in s.distinct]
+    lengths = np.array([len(r) for r in rows], np.int64)
+    gram, word_of = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), lengths)
+    keep = np.ones(len(texts), bool)
+    for _ in range(rounds):
+        counts = np.zeros((len(s.distinct), len(names)))
+        used = keep[document]
+        np.add.at(counts, (s.word[used], label[document[used]]), 1)
+        # equal sentences are repeated from text to text: a word counts by the logarithm
+        grams = np.zeros((size, len(names)))
+        np.add.at(grams, gram, np.log1p(counts)[word_of])
+        grams += smoothing
+        model = LanguageModel(names, np.log(grams / grams.sum(axis=0)).astype(np.float32), _LOWEST)
+        sums = _document_sums(s, model.word_scores(s.distinct), len(texts))
+        told = model.languages(sums)
+        agrees = (told == label) | (sums[:, -1] == 0)
+        if (agrees == keep).all():
+            break
+        keep = agrees
+    sure = keep & (sums[:, -1] >= LanguageModel.ENOUGH)
+    model.floor = float((sums[sure, :-1].max(axis=1) / sums[sure, -1]).min()) if sure.any() else _LOWEST
+    return model
+
+
 @dataclass
 class LevelModel:
-    """Sentence model and cumulative document calibration."""
+    """Sentence model, cumulative document calibration and language model."""
 
     sentences: SentenceModel
     centre: np.ndarray
     scale: np.ndarray
     weight: np.ndarray  # features x (LEVELS - 1): P(level > k)
     offset: np.ndarray
+    language: LanguageModel | None = None
 
     def distribution(self, features: np.ndarray) -> np.ndarray:
         above = 1 / (1 + np.exp(-((features - self.centre) / self.scale @ self.weight + self.offset)))
@@ -261,15 +322,19 @@ def fit_levels(texts: list[str], targets: np.ndarray, raters: np.ndarray, *, fol
     # equal texts share a fold, or calibration would see trained sentences
     order = {t: k for k, t in enumerate(dict.fromkeys(texts))}
     fold = np.array([order[t] % folds for t in texts])
-    for f in range(folds):
-        held = np.flatnonzero(fold == f)
-        rest = np.flatnonzero(fold != f)
-        if not len(held):
-            continue
-        fitted = fit_sentences([texts[k] for k in (rest if len(rest) else held)], targets[rest if len(rest) else held], **sentence_options)
-        s = split_sentences([texts[k] for k in held])
-        features[held] = document_features(fitted.probabilities(fitted.word_scores(s.distinct), s), s, len(held))
-    model = fit_sentences(texts, targets, **sentence_options)
+
+    def crossed(f: int) -> None:
+        held, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+        if len(held):
+            train = rest if len(rest) else held
+            fitted = fit_sentences([texts[k] for k in train], targets[train], **sentence_options)
+            s = split_sentences([texts[k] for k in held])
+            features[held] = document_features(fitted.probabilities(fitted.word_scores(s.distinct), s), s, len(held))
+
+    with ThreadPoolExecutor(folds + 1) as pool:
+        whole = pool.submit(fit_sentences, texts, targets, **sentence_options)
+        list(pool.map(crossed, range(folds)))
+    model = whole.result()
     centre, scale = features.mean(axis=0), features.std(axis=0) + 1e-6
     above = 1 - np.cumsum(targets, axis=1)[:, :-1]
     weight, offset = _fit_cumulative((features - centre) / scale, above, raters.astype(float), l2)
@@ -282,7 +347,7 @@ class Scorer:
     def __init__(self, model: LevelModel) -> None:
         self.model = model
         self.rows: dict[str, int] = {}
-        self.scores = np.zeros((1 << 12, LEVELS + len(LANGUAGES)), np.float32)
+        self.scores = np.zeros((1 << 12, LEVELS + len(model.language.names) + 1), np.float32)
 
     def _known(self, words: list[str]) -> np.ndarray:
         if len(self.rows) + len(words) > _CACHE_WORDS:
@@ -294,13 +359,12 @@ class Scorer:
             if need > len(self.scores):
                 self.scores = np.concatenate([self.scores[:at], np.zeros((max(need, 2 * at) - at, self.scores.shape[1]), np.float32)])
             self.scores[at:need, :LEVELS] = self.model.sentences.word_scores(new)
-            nothing = np.zeros(len(LANGUAGES), np.float32)
-            self.scores[at:need, LEVELS:] = [_LANGUAGE.get(w, nothing) for w in new]
+            self.scores[at:need, LEVELS:] = self.model.language.word_scores(new)
             self.rows.update((w, at + k) for k, w in enumerate(new))
         return self.scores[[self.rows[w] for w in words]]
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(level distribution, language index, words) of each text; language -1 without words."""
+        """(level distribution, language index, words) of each text; language -1 for none of those known."""
         s = split_sentences([t.lower() for t in texts])
         n = len(texts)
         words = np.zeros(n, np.int64)
@@ -309,17 +373,14 @@ class Scorer:
             return np.zeros((n, LEVELS)), language, words
         known = self._known(s.distinct)
         p = self.model.sentences.probabilities(known[:, :LEVELS], s)
-        spoken = np.add.reduceat(known[s.word, LEVELS:], s.first, axis=0)
-        hits = np.zeros((n, len(LANGUAGES)))
-        np.add.at(hits, s.doc, spoken)
         np.add.at(words, s.doc, s.size)
-        language[words > 0] = hits[words > 0].argmax(axis=1)  # ties and no hits: the first, English
+        language = self.model.language.languages(_document_sums(s, known[:, LEVELS:], n))
         return self.model.distribution(document_features(p, s, n)), language, words
 
 
 _READY: dict[str, Scorer] = {}
 
-SCORED = "doc_id long, language string, level double, " + ", ".join(f"p{k} double" for k in range(1, LEVELS + 1)) + ", n_words long"
+SCORED = "language string, level double, " + ", ".join(f"p{k} double" for k in range(1, LEVELS + 1)) + ", n_words long"
 
 
 def _score(shared, key: str):
@@ -329,61 +390,75 @@ def _score(shared, key: str):
             _READY[key] = Scorer(shared.value)
         scorer = _READY[key]
 
-        def done(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        def done(kept: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
             p, language, words = scorer.score(texts)
             none = words == 0
             level = p @ np.arange(1, LEVELS + 1)
-            names = np.array([*LANGUAGES, None], object)[language]
-            arrays = [pa.array(ids, pa.int64()), pa.array(names.tolist(), pa.string()), pa.array(level, pa.float64(), mask=none)]
+            names = np.array([*scorer.model.language.names, None], object)[language]
+            arrays = [pa.array(names.tolist(), pa.string()), pa.array(level, pa.float64(), mask=none)]
             arrays += [pa.array(p[:, k], pa.float64(), mask=none) for k in range(LEVELS)]
-            return pa.RecordBatch.from_arrays([*arrays, pa.array(words, pa.int64())], names=["doc_id", "language", "level", *[f"p{k}" for k in range(1, LEVELS + 1)], "n_words"])
+            own = ["language", "level", *[f"p{k}" for k in range(1, LEVELS + 1)], "n_words"]
+            return pa.RecordBatch.from_arrays([*kept.columns, *arrays, pa.array(words, pa.int64())], names=[*kept.schema.names, *own])
 
         for batch in batches:
-            ids, texts, size = [], [], 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            kept = batch.select(range(batch.num_columns - 1))
+            first, texts, size = 0, [], 0
+            for k, text in enumerate(batch.column(batch.num_columns - 1)):
                 whole = text.as_py() or ""
-                ids.append(doc)
                 texts.append(whole)
                 size += len(whole)
                 if size >= _CHUNK_CHARS:
-                    yield done(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                yield done(ids, texts)
+                    yield done(kept.slice(first, len(texts)), texts)
+                    first, texts, size = k + 1, [], 0
+            if texts:
+                yield done(kept.slice(first, len(texts)), texts)
 
     return run
 
 
-def fit_reading_level(documents: DataFrame, labels: DataFrame, *, max_documents: int = 1200, **options) -> LevelModel:
-    """Fit on at most ``max_documents`` labelled documents, chosen by a hash of their ids."""
+def fit_reading_level(documents: DataFrame, labels: DataFrame, *, max_documents: int = 1200, per_language: int = 300, **options) -> LevelModel:
+    """Fit on a bounded sample: at most ``max_documents`` documents with levels and as many with a language
+    (``per_language`` of each), both chosen by a hash of their ids. One pass over the texts fetches them.
+
+    ``lang`` may be missing, wrong or in uneven spelling: its first letters count, and documents
+    that contradict the model fitted on the others are left out.
+    """
     clean = labels.select(F.col("doc_id").cast("bigint").alias("l_id"), F.col("reading_level").cast("int").alias("l_level")).where("l_id IS NOT NULL AND l_level BETWEEN 1 AND 5")
-    counts = clean.groupBy("l_id").agg(*[F.count_if(F.col("l_level") == k).alias(f"n{k}") for k in range(1, LEVELS + 1)])
-    sample = counts.orderBy(F.xxhash64("l_id"), "l_id").limit(max_documents)
+    votes = [f"n{k}" for k in range(1, LEVELS + 1)]
+    counts = clean.groupBy("l_id").agg(*[F.count_if(F.col("l_level") == k + 1).alias(n) for k, n in enumerate(votes)])
+    levels = counts.orderBy(F.xxhash64("l_id"), "l_id").limit(max_documents).select("l_id", F.lit(None).cast("string").alias("l_lang"), *votes)
+    known = documents.select(F.col("doc_id").cast("bigint").alias("l_id"), F.regexp_extract(F.lower(F.trim("lang")), r"^\p{L}+", 0).alias("l_lang")).where("l_id IS NOT NULL AND l_lang NOT IN ('', 'und')")
+    place = F.row_number().over(Window.partitionBy("l_lang").orderBy(F.xxhash64("l_id"), "l_id"))  # cut before the shuffle, so no language is sorted whole
+    spoken = known.withColumn("_k", place).where(F.col("_k") <= per_language).orderBy("_k", "l_lang").limit(max_documents).select("l_id", "l_lang", *[F.lit(0).cast("bigint").alias(n) for n in votes])
     rows = (
         documents.select(F.col("doc_id").cast("bigint").alias("d_id"), F.col("text").alias("d_text"))
         .where("d_text IS NOT NULL")
-        .join(F.broadcast(sample), F.col("d_id") == F.col("l_id"))  # bounded by max_documents
-        .select("d_text", *[f"n{k}" for k in range(1, LEVELS + 1)], "d_id")
+        .join(F.broadcast(levels.unionByName(spoken)), F.col("d_id") == F.col("l_id"))  # bounded by twice max_documents
+        .select("d_text", "l_lang", *votes, "d_id")
         .toPandas()
-        .sort_values("d_id")
+        .sort_values("d_id", kind="stable")
     )
-    if rows.empty:
+    levelled, spoken = rows[rows["l_lang"].isna()], rows[rows["l_lang"].notna()]
+    if levelled.empty:
         raise ValueError("no labelled document to learn from")
-    votes = rows[[f"n{k}" for k in range(1, LEVELS + 1)]].to_numpy(float)
-    return fit_levels(rows["d_text"].tolist(), votes / votes.sum(axis=1, keepdims=True), votes.sum(axis=1), **options)
+    n = levelled[votes].to_numpy(float)
+    model = fit_levels(levelled["d_text"].tolist(), n / n.sum(axis=1, keepdims=True), n.sum(axis=1), **options)
+    model.language = fit_languages(spoken["d_text"].tolist(), spoken["l_lang"].tolist())
+    return model
 
 
-def reading_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
-    """Language, expected level and level distribution of each document; no shuffle."""
+def reading_levels(documents: DataFrame, model: LevelModel, keep: Sequence[str] = ()) -> DataFrame:
+    """Language, expected level and level distribution of each document, with the columns of ``keep``; no shuffle."""
     spark = documents.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    return rows.mapInArrow(_score(shared, uuid.uuid4().hex), SCORED)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), *keep, F.col("text").alias("text"))
+    kept = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes[:-1])
+    return rows.mapInArrow(_score(shared, uuid.uuid4().hex), f"{kept}, {SCORED}")
 
 
 def demanding_documents(documents: DataFrame, labels: DataFrame, *, at_least: int = 4, **options) -> DataFrame:
     """(doc_id) of English documents more likely than not at level ``at_least`` or above."""
     scored = reading_levels(documents, fit_reading_level(documents, labels, **options))
     reach = sum((F.col(f"p{k}") for k in range(at_least, LEVELS + 1)), F.lit(0.0))
-    return scored.where((F.col("language") == "en") & (reach >= 0.5)).select("doc_id").distinct()
+    return scored.where((F.col("language") == ENGLISH) & (reach >= 0.5)).select("doc_id").distinct()

@@ -4,12 +4,31 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm.reading_level import Scorer, demanding_documents, fit_levels, fit_reading_level, reading_levels, split_sentences
+from quern.llm.reading_level import Scorer, demanding_documents, fit_languages, fit_levels, fit_reading_level, reading_levels, split_sentences
 
 EASY = ["The cat sat on the mat.", "We saw a big dog.", "It is a sunny day.", "He put the lamp on the desk."]
 PLAIN = ["The report was checked last week and the score rose.", "Each result is stored next to a short note.", "We trained the model on new data."]
 HARD = ["Notwithstanding the heteroscedastic covariance, regularization predominantly determines generalization.", "The asymptotic equivalence of calibration presupposes an identifiable counterfactual decomposition.", "Multiplicative perturbations systematically undermine compositional inference."]
 POOLS = {1: EASY, 3: PLAIN, 5: HARD}
+SPOKEN = {
+    "de": ["Das Modell steht auf der Karte und wird nicht besser.", "Wir haben die Zahlen noch einmal geprüft und den Bericht geschrieben.", "Der Unterschied zwischen den beiden Läufen bleibt klein.", "Das ist die Seite von einem anderen Modell und der Abstand ist groß."],
+    "fr": ["Le petit modèle reste sur la table et ne change pas.", "Nous avons relu les chiffres avant de lancer la suite.", "Chaque résultat est rangé dans un dossier avec sa note."],
+    "es": ["La receta se repitió en el informe y no es pequeña.", "Cada resultado se guarda con su semilla antes de seguir.", "Hay que revisar las cifras y las páginas rotas."],
+    "en": [*EASY, *PLAIN, *HARD],
+}
+
+
+def spoken(draw, n):
+    out = []
+    for _ in range(n):
+        name = draw.choice(list(SPOKEN))
+        out.append((" ".join(draw.choices(SPOKEN[name], k=3)), name))
+    return out
+
+
+def language_model(seed=0):
+    rows = spoken(random.Random(seed), 120)
+    return fit_languages([t for t, _ in rows], [n for _, n in rows])
 
 
 def corpus(n, seed):
@@ -35,9 +54,11 @@ def test_held_out_accuracy():
     draw = random.Random(3)
     for k, (_, _, level) in enumerate(train):
         targets[k, min(4, max(0, level - 1 + (draw.choice([-1, 1]) if draw.random() < 0.1 else 0)))] = 1
-    scorer = Scorer(fit_levels([t for _, t, _ in train], targets, np.ones(len(train))))
+    model = fit_levels([t for _, t, _ in train], targets, np.ones(len(train)))
+    model.language = language_model()
+    scorer = Scorer(model)
     p, language, words = scorer.score([t for _, t, _ in test])
-    assert np.allclose(p.sum(axis=1), 1) and (language == 0).all() and (words > 0).all()
+    assert np.allclose(p.sum(axis=1), 1) and (language == 1).all() and (words > 0).all()
     levels = p @ np.arange(1, 6)
     assert np.mean((levels >= 4) == np.array([lv == 5 for _, _, lv in test])) > 0.97
     assert levels[[k for k, r in enumerate(test) if r[2] == 1]].mean() < levels[[k for k, r in enumerate(test) if r[2] == 3]].mean() < levels[[k for k, r in enumerate(test) if r[2] == 5]].mean()
@@ -49,17 +70,35 @@ def test_held_out_accuracy():
 
 def test_languages_and_blank_texts():
     targets = np.eye(5)[[0, 2, 4]]
-    scorer = Scorer(fit_levels([EASY[0], PLAIN[0], HARD[0]], targets, np.ones(3)))
-    texts = ["Das Modell ist auf der Karte und wird nicht besser.", "Le petit modèle est sur la table et ne change pas.", "La receta se repitió en el informe y no es pequeña.", "the model is on the table", "", "42 17", "!?"]
+    model = fit_levels([EASY[0], PLAIN[0], HARD[0]], targets, np.ones(3))
+    model.language = language_model()
+    assert model.language.names == ("de", "en", "es", "fr")
+    scorer = Scorer(model)
+    texts = ["Das kleine Modell ist noch nicht besser geworden.", "Le modèle ne reste pas avec la suite des chiffres.", "El informe no se guarda en las páginas.", "the model is on the table", "", "42 17", "!?", "Модель осталась на столе и не изменилась, а отчёт был написан заново и проверен."]
     _, language, words = scorer.score(texts)
-    assert language.tolist() == [1, 2, 3, 0, -1, 0, -1] and words[4] == words[6] == 0
+    assert language.tolist() == [0, 3, 2, 1, -1, -1, -1, -1] and words[4] == words[6] == 0
     empty, _, _ = scorer.score(["", "  "])
     assert empty.shape == (2, 5)
 
 
+def test_languages_are_learnt_from_labels_of_which_some_are_wrong():
+    draw = random.Random(4)
+    rows = [(t, draw.choice(["de", "en", "es", "fr"]) if draw.random() < 0.2 else n, n) for t, n in spoken(draw, 300)]
+    model = fit_languages([t for t, _, _ in rows], [label for _, label, _ in rows])
+    test = spoken(random.Random(5), 200)
+    other = fit_levels([EASY[0], HARD[0]], np.eye(5)[[0, 4]], np.ones(2))
+    other.language = model
+    _, language, _ = Scorer(other).score([t for t, _ in test])
+    assert [model.names[k] for k in language] == [n for _, n in test]
+    with pytest.raises(ValueError):
+        fit_languages([], [])
+
+
 def test_spark(spark):
     rows = corpus(120, 4)
-    documents = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900, None), (901, " "), (902, "Das ist die Regularisierung und der Unterschied von einem Modell."), (903, HARD[0] * 3000), (5, rows[5][1])], "doc_id bigint, text string")
+    documents = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900, None), (901, " "), (902, "Das ist die Regularisierung und der Unterschied von einem Modell."), (903, HARD[0] * 3000), (5, rows[5][1])], "doc_id bigint, text string").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, "EN-x").otherwise("en"))
+    german = spark.createDataFrame([(2000 + k, " ".join(SPOKEN["de"]), "de") for k in range(3)], "doc_id bigint, text string, lang string")
+    documents = documents.where("doc_id <> 902").unionByName(german).unionByName(documents.where("doc_id = 902"))
     labels = spark.createDataFrame([(k, "a", level) for k, _, level in rows[:80]] + [(3, "b", None), (4, "b", 9), (None, "a", 1), (5555, "a", 1)], "doc_id bigint, rater string, reading_level int")
     clash = documents.withColumn("level", F.lit(0)).withColumn("p1", F.lit(0)).withColumn("language", F.lit("xx"))
     found = {r[0] for r in demanding_documents(clash, labels).collect()}
@@ -72,3 +111,7 @@ def test_spark(spark):
     assert reading_levels(documents.limit(0), fit_reading_level(documents, labels)).count() == 0
     with pytest.raises(ValueError):
         fit_reading_level(documents, labels.limit(0))
+    with pytest.raises(ValueError):
+        fit_reading_level(documents.withColumn("lang", F.lit("und")), labels)
+    kept = reading_levels(documents, fit_reading_level(documents, labels), keep=["lang"]).where("doc_id = 2000").first()
+    assert (kept.lang, kept.language) == ("de", "de")
