@@ -248,35 +248,53 @@ def _document_sums(s: Sentences, scores: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fit_languages(texts: list[str], labels: list[str], *, size: int = 1 << 15, smoothing: float = 0.05, rounds: int = 3) -> LanguageModel:
-    """Fit the language model; documents that it tells to be in another language than labelled are left out and it is fitted again."""
+def fit_languages(texts: list[str], labels: list[str], *, size: int = 1 << 15, smoothing: float = 0.05, rounds: int = 3, folds: int = 3) -> LanguageModel:
+    """Fit the language model without the documents whose label contradicts it.
+
+    Whether a label does is told by models fitted on the other folds; equal texts share a
+    fold, so no document speaks for itself.
+    """
     names = tuple(sorted(set(labels)))
     if not names:
         raise ValueError("no document with a language to learn from")
-    s = split_sentences([t.lower() for t in texts])
+    texts = [t.lower() for t in texts]
+    order = {t: k for k, t in enumerate(dict.fromkeys(texts))}
+    fold = np.array([order[t] % folds for t in texts])
+    s = split_sentences(texts)
     label = np.array([names.index(x) for x in labels], np.int64)
     document = np.repeat(s.doc, s.size)
     rows = [_gram_rows(w, size, LanguageModel.GRAMS) if w.isalpha() else np.zeros(0, np.int64) for w in s.distinct]
     lengths = np.array([len(r) for r in rows], np.int64)
     gram, word_of = np.concatenate(rows) if rows else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), lengths)
-    keep = np.ones(len(texts), bool)
-    for _ in range(rounds):
+
+    def fitted(kept: np.ndarray) -> tuple[LanguageModel, np.ndarray]:
+        """A model of the kept documents, and what it says of all."""
         counts = np.zeros((len(s.distinct), len(names)))
-        used = keep[document]
+        used = kept[document]
         np.add.at(counts, (s.word[used], label[document[used]]), 1)
         # equal sentences are repeated from text to text: a word counts by the logarithm
         grams = np.zeros((size, len(names)))
         np.add.at(grams, gram, np.log1p(counts)[word_of])
         grams += smoothing
         model = LanguageModel(names, np.log(grams / grams.sum(axis=0)).astype(np.float32), _LOWEST)
-        sums = _document_sums(s, model.word_scores(s.distinct), len(texts))
-        told = model.languages(sums)
-        agrees = (told == label) | (sums[:, -1] == 0)
+        return model, _document_sums(s, model.word_scores(s.distinct), len(texts))
+
+    keep = np.ones(len(texts), bool)
+    for _ in range(rounds):
+        agrees = np.zeros(len(texts), bool)
+        for f in range(folds):
+            model, sums = fitted(keep & (fold != f))
+            agrees |= (fold == f) & ((model.languages(sums) == label) | (sums[:, -1] == 0))
         if (agrees == keep).all():
             break
         keep = agrees
+    for name in range(len(names)):  # too few documents to speak for each other
+        if not keep[label == name].any():
+            keep |= label == name
+    model, sums = fitted(keep)
     sure = keep & (sums[:, -1] >= LanguageModel.ENOUGH)
-    model.floor = float((sums[sure, :-1].max(axis=1) / sums[sure, -1]).min()) if sure.any() else _LOWEST
+    if sure.any():
+        model.floor = float((sums[sure, :-1].max(axis=1) / sums[sure, -1]).min())
     return model
 
 

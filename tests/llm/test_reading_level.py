@@ -97,7 +97,7 @@ def test_languages_are_learnt_from_labels_of_which_some_are_wrong():
 def test_spark(spark):
     rows = corpus(120, 4)
     documents = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(900, None), (901, " "), (902, "Das ist die Regularisierung und der Unterschied von einem Modell."), (903, HARD[0] * 3000), (5, rows[5][1])], "doc_id bigint, text string").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 11 == 0, "EN-x").otherwise("en"))
-    german = spark.createDataFrame([(2000 + k, " ".join(SPOKEN["de"]), "de") for k in range(3)], "doc_id bigint, text string, lang string")
+    german = spark.createDataFrame([(2000 + k, " ".join(random.Random(k).choices(SPOKEN["de"], k=4)), "de") for k in range(12)], "doc_id bigint, text string, lang string")
     documents = documents.where("doc_id <> 902").unionByName(german).unionByName(documents.where("doc_id = 902"))
     labels = spark.createDataFrame([(k, "a", level) for k, _, level in rows[:80]] + [(3, "b", None), (4, "b", 9), (None, "a", 1), (5555, "a", 1)], "doc_id bigint, rater string, reading_level int")
     clash = documents.withColumn("level", F.lit(0)).withColumn("p1", F.lit(0)).withColumn("language", F.lit("xx"))
