@@ -83,9 +83,12 @@ def text_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str])
 
 
 def csv_with_filename(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Several CSVs as text with the file each row came from."""
+    """Several CSVs as text with the file each row came from; every header must match, quoted fields may hold line ends, a bad record fails the read."""
+    for path in paths:
+        require_header(spark, path, columns)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).csv(list(paths)).select("*", F.col("_metadata.file_path").alias("filename"))
+    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("multiLine", True).option("escape", '"')
+    return reader.csv(list(paths)).select("*", F.col("_metadata.file_path").alias("filename"))
 
 
 def json_pairs(spark: SparkSession, path: str, expected: int) -> DataFrame:

@@ -58,8 +58,13 @@ def test_text_csv_rows_and_priorities(spark, tmp_path):
     df = readers.text_csv(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], ["x", "y"])
     got = [tuple(r) for r in df.orderBy("source_priority", "source_row").collect()]
     assert got == [(0, "a.csv", 1, "1", "two\nlines"), (0, "a.csv", 2, "2", None), (1, "b.csv", 1, "3", "z")]
-    names = readers.csv_with_filename(spark, [f"{tmp_path}/b.csv"], ["x", "y"]).first()
-    assert names.x == "3" and names.filename.endswith("b.csv")
+    both = readers.csv_with_filename(spark, [f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"], ["x", "y"])
+    assert sorted((r.x, r.y, r.filename[-5:]) for r in both.collect()) == [("1", "two\nlines", "a.csv"), ("2", None, "a.csv"), ("3", "z", "b.csv")]
+    with pytest.raises(readers.HeaderError):
+        readers.csv_with_filename(spark, [f"{tmp_path}/b.csv"], ["x", "z"])
+    (tmp_path / "c.csv").write_text("x,y\n1,2,3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.csv_with_filename(spark, [f"{tmp_path}/c.csv"], ["x", "y"]).collect()
 
 
 def test_json_pairs(spark, tmp_path):
@@ -181,7 +186,13 @@ def test_archives(spark, tmp_path):
     (tmp_path / "one.tar.gz").write_bytes(tar([("C4/150M/seed-14/step-1250.tar.gz", inner), ("readme.txt", b"x"), ("other/150M/seed-2/step-1250.tar.gz", inner)]))
     df = archives.read_archives(spark, f"{tmp_path}/*.tar.gz", recipe="c4")
     assert sorted(map(tuple, df.select("recipe", "params", "seed_value", "step", "task", "line_no").collect()), key=repr) == [("c4", "150M", 14, 1250, "boolq", 0), ("c4", "150M", 14, 1250, "boolq", 1), ("c4", "150M", 14, 1250, "piqa", None)]
-    assert archives.read_archives(spark, f"{tmp_path}/one.tar.gz").count() == 6
+    assert archives.read_archives(spark, f"file://{tmp_path}/one.tar.gz").count() == 6
+    texts = {(r.task, r.line_no): r.metrics for r in df.collect()}
+    assert texts == {("boolq", 0): '{"a": 1}', ("boolq", 1): None, ("piqa", None): "{}"}
+    many = checkpoint(3, [("t-predictions.jsonl", "".join(f'{{"doc_id": {k}}}\n\n' for k in range(2500))), ("t-metrics.json", "{}")])
+    (tmp_path / "many.tgz").write_bytes(tar([("c4/4M/seed-2/step-3.tar.gz", many)]))
+    lines = archives.read_archives(spark, f"{tmp_path}/m*.tgz")
+    assert (lines.count(), lines.where("metrics IS NOT NULL").count(), lines.agg(F.max("line_no")).first()[0]) == (2500, 1, 2499)
     broken = {
         "twice": tar([("c4/4M/seed-2/step-1.tar.gz", checkpoint(1, []))] * 2),
         "lacks": tar([("c4/4M/seed-2/step-1.tar.gz", checkpoint(1, [("x-metrics.json", "{}")]))]),
@@ -241,6 +252,9 @@ def test_ingest_resumes_and_counts_files_once(spark, tmp_path):
     assert sorted(r.n_rows for r in ingest.manifest(spark, staging).collect()) == [1, 2]
     with pytest.raises(ingest.FingerprintError):
         ingest.ingest(spark, str(source), schema, staging, version="2")
+    put("a.json", 7, 8, 9)
+    with pytest.raises(ingest.FingerprintError, match="a.json"):
+        ingest.ingest(spark, str(source), schema, staging)
     ingest.clear(spark, staging)
     assert not FileSystem(spark).exists(staging)
 
