@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.operators.relational import latest_at_or_before
+from quern.operators.validate import ViolationError
 
 CELL = ("params", "step", "task", "metric")
 
@@ -193,9 +194,16 @@ def prediction_errors(rows: DataFrame, key: Sequence[str], predicted: str, obser
     return rows.select(*key, F.col(predicted).alias("predicted"), F.col(observed).alias("observed"), absolute.alias("absolute_error"), F.try_divide(absolute, F.abs(F.col(observed))).alias("relative_error"))
 
 
-def error_summaries(rows: DataFrame, by: Sequence[str], recipe: str, predicted: str, observed: str) -> DataFrame:
-    """Mean errors and the decision accuracy of predicted against observed scores per group."""
+def error_summaries(rows: DataFrame, by: Sequence[str], recipe: str, predicted: str, observed: str, max_recipes: int = 1_000) -> DataFrame:
+    """Mean errors and the decision accuracy of predicted against observed scores per group.
+
+    Recipes are a closed list and stand once in a group: pairs are counted inside an array, so a group of more
+    than ``max_recipes`` raises before any array is built (one query).
+    """
     errors = prediction_errors(rows, [*by, recipe], predicted, observed)
+    most = errors.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most > max_recipes:
+        raise ViolationError(f"{most} recipes in a group; at most {max_recipes} can be compared pair by pair")
     grouped = errors.groupBy(*by).agg(
         F.count(F.lit(1)).alias("recipe_count"), F.avg("absolute_error").alias("mean_absolute_error"), F.avg("relative_error").alias("mean_relative_error"), F.count("relative_error").alias("relative_error_count"),
         F.sort_array(F.collect_list(F.struct(F.col(recipe).alias("r"), F.col("predicted").alias("score")))).alias("_p"),

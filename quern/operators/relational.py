@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.operators.validate import ViolationError, repeated_keys
+from quern.session import checked_broadcast, stable_checkpoint
 
 
 def require_unique(df: DataFrame, key: Sequence[str], what: str = "right side") -> DataFrame:
@@ -23,7 +25,12 @@ def many_to_one(left: DataFrame, right: DataFrame, key: Sequence[str], matched:
     return left.join(right.withColumn(matched, F.lit(True)), list(key), "left").withColumn(matched, F.coalesce(matched, F.lit(False)))
 
 
-def latest_at_or_before(left: DataFrame, right: DataFrame, by: Sequence[str], limit: Column, at: Column, value: Column, tolerance: float | None = None) -> DataFrame:
+#: Rows of a key, both sides together, beyond which an as-of join cuts it into stretches.
+STRETCH = 1_000_000
+_STRETCHES = 64
+
+
+def latest_at_or_before(left: DataFrame, right: DataFrame, by: Sequence[str], limit: Column, at: Column, value: Column, tolerance: float | None = None, stretch: int = STRETCH) -> DataFrame:
     """As-of join: for each left row the right row with the greatest ``at`` <= ``limit``.
 
     Both sides are merged in one sort by ``by`` and position; a running ``last``
@@ -31,17 +38,47 @@ def latest_at_or_before(left: DataFrame, right: DataFrame, by: Sequence[str], li
     NULL. Of equal ``at`` the greatest ``value`` is taken. With ``tolerance`` a
     match that undershoots ``limit`` by a larger share is no match. Right rows
     with a NULL or non-positive ``at`` never match. Adds ``match_at``, ``match_value``.
+
+    A key with more than ``stretch`` rows (counted by one query) is cut at quantiles of the
+    position; each stretch is sorted by itself and takes up the last match of those before it.
     """
     kept = [c for c in left.columns if c not in by]
     a = left.select(*by, limit.cast("double").alias("_p"), F.lit(1).alias("_side"), F.struct(*kept).alias("_left"), F.lit(None).cast("double").alias("_at"), F.lit(None).cast("bigint").alias("_value"))
     b = right.select(*by, at.cast("double").alias("_p"), F.lit(0).alias("_side"), F.lit(None).alias("_left"), at.cast("double").alias("_at"), value.cast("bigint").alias("_value")).where("_p > 0")
-    order = Window.partitionBy(*by).orderBy("_p", "_side", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = a.unionByName(b)
+    cuts = _cuts(merged, by, stretch)
+    if cuts is None:
+        merged = merged.withColumn("_s", F.lit(0))
+    else:
+        same = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by]
+        part = F.when(F.col("_cuts").isNull(), 0).otherwise(F.size(F.filter("_cuts", lambda m: m <= F.col("_p"))))
+        merged = merged.join(checked_broadcast(cuts), reduce(Column.__and__, same), "left").select(*merged.columns, F.coalesce(part, F.lit(0)).alias("_s"))
+    key = [*by, "_s"]
+    order = Window.partitionBy(*key).orderBy("_p", "_side", "_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = F.last(F.when(F.col("_side") == 0, F.struct("_at", "_value")), ignorenulls=True)
-    merged = a.unionByName(b).withColumn("_m", found.over(order)).where("_side = 1")
+    matched = merged.withColumn("_m", found.over(order)).where("_side = 1")
+    if cuts is not None:
+        # the last right row of each stretch, carried over the stretches of its key
+        ends = merged.groupBy(*key).agg(F.max(F.when(F.col("_side") == 0, F.struct("_at", "_value"))).alias("_end"))
+        earlier = F.max("_end").over(Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1))
+        carried = ends.select(*[F.col(c).alias(f"_c_{c}") for c in key], earlier.alias("_earlier")).where("_earlier IS NOT NULL")
+        on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in key])
+        matched = matched.join(checked_broadcast(carried), on, "left").withColumn("_m", F.coalesce("_m", "_earlier"))
     near = F.col("_m").isNotNull() & F.col("_p").isNotNull()
     if tolerance is not None:
         near &= (F.col("_p") - F.col("_m._at")) / F.col("_p") <= tolerance
-    return merged.select(*by, "_left.*", F.when(near, F.col("_m._at")).alias("match_at"), F.when(near, F.col("_m._value")).alias("match_value"))
+    return matched.select(*by, "_left.*", F.when(near, F.col("_m._at")).alias("match_at"), F.when(near, F.col("_m._value")).alias("match_value"))
+
+
+def _cuts(merged: DataFrame, by: Sequence[str], stretch: int) -> DataFrame | None:
+    """Positions at which keys of more than ``stretch`` rows are cut, in ``_c_`` columns; None if there are none."""
+    largest = merged.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= stretch:
+        return None
+    marks = F.percentile_approx("_p", [k / _STRETCHES for k in range(1, _STRETCHES)])
+    cut = merged.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), marks.alias("_cuts")).where(F.col("n") > stretch)
+    # written down, so that every use of the plan cuts alike
+    return stable_checkpoint(cut.select(*[F.col(c).alias(f"_c_{c}") for c in by], F.array_distinct("_cuts").alias("_cuts")))
 
 
 def nearest_name(df: DataFrame, value: Column, names: Mapping[str, float], out: str) -> DataFrame:

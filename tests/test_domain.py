@@ -156,6 +156,16 @@ def test_as_of_ties_and_empty(spark):
     assert relational.latest_at_or_before(left.limit(0), right, ["g"], F.col("budget"), F.col("c"), F.col("step")).count() == 0
 
 
+def test_as_of_in_stretches(spark):
+    """A hot key cut into stretches gives what the whole sort gives, ties and NULLs included."""
+    draw = np.random.default_rng(2)
+    keys = lambda n: [None if k == 2 else "hot" if k < 8 else f"k{k}" for k in draw.integers(0, 12, n)]
+    left = spark.createDataFrame([(g, k, None if k % 50 == 0 else float(b)) for k, (g, b) in enumerate(zip(keys(600), draw.integers(-5, 400, 600)))], "g string, id int, budget double")
+    right = spark.createDataFrame([(g, float(c), int(v)) for g, c, v in zip(keys(200), draw.integers(-5, 350, 200), draw.integers(0, 9, 200))], "g string, c double, step bigint")
+    find = lambda **o: sorted(map(tuple, relational.latest_at_or_before(left, right, ["g"], F.col("budget"), F.col("c"), F.col("step"), **o).collect()), key=repr)
+    assert find(stretch=50) == find() and find(stretch=50, tolerance=0.05) == find(tolerance=0.05)
+
+
 def test_sets_and_lookups(spark, rows):
     a = spark.createDataFrame([(1, None), (1, None), (2, "x")], "k int, v string")
     b = spark.createDataFrame([(1, None), (3, "y")], "k int, v string")
