@@ -21,11 +21,18 @@ targets or no documents give an empty mix; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quern.llm.tokens import TOKENIZER, count_tokens
-from quern.session import checked_broadcast, stable_checkpoint
+from quern.session import stable_checkpoint
+
+
+def _all() -> WindowSpec:
+    """One window over the targets, of which there is a row each."""
+    return Window.partitionBy(F.lit(0))
 
 
 def source_name(source: Column) -> Column:
@@ -51,12 +58,11 @@ def mix_rates(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = N
     joined = wanted.join(have, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
     usable = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     weight = F.when(usable, F.col("target_share")).otherwise(0.0)
-    whole = joined.agg(F.sum(weight).alias("weight"))
-    aimed = joined.crossJoin(F.broadcast(whole)).withColumn("aim_share", F.when(F.col("weight") > 0, weight / F.col("weight")).otherwise(0.0)).drop("weight")
-    largest = F.min(F.when(F.col("aim_share") > 0, F.col("max_repeats") * F.col("tokens") / F.col("aim_share")))
-    size = aimed.agg((largest if total_tokens is None else F.lit(float(total_tokens))).alias("size"))
-    rate = F.when(F.col("aim_share") > 0, F.least(F.col("max_repeats").cast("double"), F.col("aim_share") * F.col("size") / F.col("tokens"))).otherwise(0.0)
-    return aimed.crossJoin(F.broadcast(size)).select("source", "target_share", "aim_share", "max_repeats", "documents", "tokens", rate.alias("rate"))
+    aimed = joined.withColumn("aim_share", F.coalesce(F.try_divide(weight, F.sum(weight).over(_all())), F.lit(0.0)))
+    largest = F.min(F.when(F.col("aim_share") > 0, F.col("max_repeats") * F.col("tokens") / F.col("aim_share"))).over(_all())
+    size = largest if total_tokens is None else F.lit(float(total_tokens))
+    rate = F.when(F.col("aim_share") > 0, F.least(F.col("max_repeats").cast("double"), F.col("aim_share") * size / F.col("tokens"))).otherwise(0.0)
+    return aimed.select("source", "target_share", "aim_share", "max_repeats", "documents", "tokens", rate.alias("rate"))
 
 
 def copies(doc_id: Column, rate: Column, seed: int) -> Column:
@@ -65,19 +71,32 @@ def copies(doc_id: Column, rate: Column, seed: int) -> Column:
     return (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("int")
 
 
-def _rates(documents: DataFrame, targets: DataFrame, total_tokens: int | None, tokenizer: str, counts: DataFrame | None) -> DataFrame:
-    wanted = checked_broadcast(targets.select(source_name(F.col("source")).alias("source")).where("source IS NOT NULL").distinct())
+#: Targets up to which their names and rates are broadcast.
+MAX_TARGETS = 10_000
+
+
+def _sender(targets: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """``F.broadcast`` where the targets are measured to be few, else nothing: names and rates have at most a row per target."""
+    return F.broadcast if targets.limit(MAX_TARGETS + 1).count() <= MAX_TARGETS else lambda df: df
+
+
+def _wanted(targets: DataFrame) -> DataFrame:
+    return targets.select(source_name(F.col("source")).alias("source")).where("source IS NOT NULL").distinct()
+
+
+def _rates(documents: DataFrame, targets: DataFrame, total_tokens: int | None, tokenizer: str, counts: DataFrame | None, send: Callable[[DataFrame], DataFrame]) -> DataFrame:
     if counts is None:
-        mixed = documents.select(source_name(F.col("source")).alias("source"), "text").join(wanted, "source", "left_semi")
+        mixed = documents.select(source_name(F.col("source")).alias("source"), "text").join(send(_wanted(targets)), "source", "left_semi")
         counts = count_tokens(mixed, {"source": F.col("source")}, tokenizer=tokenizer)
     return mix_rates(counts, targets, total_tokens)
 
 
 def mix_documents(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, seed: int = 7, tokenizer: str = TOKENIZER, counts: DataFrame | None = None) -> DataFrame:
     """The mix: (doc_id, source, copy, text), one row per emitted copy."""
-    rates = _rates(documents, targets, total_tokens, tokenizer, counts).where("rate > 0").select("source", "rate")
+    send = _sender(targets)
+    rates = _rates(documents, targets, total_tokens, tokenizer, counts, send).where("rate > 0").select("source", "rate")
     rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text")
-    drawn = rows.join(F.broadcast(rates), "source")  # at most one row per target
+    drawn = rows.join(send(rates), "source")
     n = copies(F.col("doc_id"), F.col("rate"), seed)
     return drawn.where(n > 0).select("doc_id", "source", F.explode(F.sequence(F.lit(1), n)).alias("copy"), "text")
 
@@ -88,14 +107,13 @@ def mix_shares(documents: DataFrame, targets: DataFrame, *, total_tokens: int |
     Token counts are checkpointed (ids and numbers, no texts) because the rates
     and the copies both need them.
     """
-    wanted = checked_broadcast(targets.select(source_name(F.col("source")).alias("source")).where("source IS NOT NULL").distinct())
-    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text").join(wanted, "source", "left_semi")
+    send = _sender(targets)
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), "text").join(send(_wanted(targets)), "source", "left_semi")
     counts = stable_checkpoint(count_tokens(rows, {"doc_id": F.col("doc_id"), "source": F.col("source")}, tokenizer=tokenizer))
     rates = mix_rates(counts, targets, total_tokens)
-    used = counts.join(F.broadcast(rates.select("source", "rate")), "source").select("source", "n_tokens", copies(F.col("doc_id"), F.col("rate"), seed).alias("n"))
+    used = counts.join(send(rates.select("source", "rate")), "source").select("source", "n_tokens", copies(F.col("doc_id"), F.col("rate"), seed).alias("n"))
     per_source = used.groupBy("source").agg(F.sum("n").alias("mixed_documents"), F.sum(F.col("n") * F.col("n_tokens")).alias("mixed_tokens"), F.max("n").alias("most_copies"))
-    total = per_source.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    filled = rates.join(per_source, "source", "left").crossJoin(F.broadcast(total))
+    filled = rates.join(per_source, "source", "left").withColumn("all_tokens", F.sum("mixed_tokens").over(_all()))
     return filled.select(
         "source", "target_share", "aim_share", "max_repeats", "documents", "tokens", "rate",
         F.coalesce("mixed_documents", F.lit(0)).alias("mixed_documents"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
