@@ -160,6 +160,36 @@ def joined_history(runs: DataFrame, history: DataFrame, key: str = "run_id") ->
     return history.join(runs.withColumnsRenamed({c: f"{c}_run" for c in clash}), key)
 
 
+# Groups of run columns that are end-of-run values and get a suffix, and the setting that shares its name with a logged value.
+SUMMARY_GROUPS = ("x_axis", "summary_metrics", "dpo_eval")
+SUMMARY_SUFFIX, SETTING_SUFFIX, LOGGED_SETTINGS = "_summary", "_hpm", ("learning_rate",)
+
+
+def rebuilt_runs(runs: DataFrame, groups: Mapping[str, Sequence[str]], *, key: str = "run_id", tags: str | None = None, tag_names: Sequence[str] = (), documents: Mapping[str, str] | None = None, metrics: Sequence[str] = ()) -> DataFrame:
+    """The wide run row: columns of the groups that exist, in order, with the suffixes of their groups.
+
+    ``tags`` names a comma-separated column that becomes a column per tag of ``tag_names``; ``documents`` maps
+    JSON columns to tasks, of which the ``metrics`` (``oe_task_name``) become columns of text.
+    """
+    shown: dict[str, Column] = {}
+    for group, columns in groups.items():
+        for c in columns:
+            if c in runs.columns:
+                suffix = SUMMARY_SUFFIX if group in SUMMARY_GROUPS else SETTING_SUFFIX if c in LOGGED_SETTINGS else ""
+                shown[c + suffix] = F.col(f"`{c}`")
+    wide = tag_columns(runs, tags, tag_names) if tags else runs
+    out = wide.select(*[c.alias(n) for n, c in shown.items()], *[F.col(f"`{t}_tag`") for t in sorted(tag_names)] if tags else [])
+    if documents and metrics:
+        found = metric_documents(runs, key, documents).groupBy(key).pivot("name", list(metrics)).agg(F.max("value"))
+        out = out.join(found, key, "left")
+    return out
+
+
+def last_evaluated(evaluations: DataFrame, model: Sequence[str], step: str = "step") -> DataFrame:
+    """The last step of each model that was evaluated: one combinable maximum."""
+    return evaluations.groupBy(*model).agg(F.max(step).alias("last_evaluated_step"))
+
+
 def final_steps(evidence: DataFrame) -> DataFrame:
     """Chosen final step per model: the authors' list first, then the paper's table.
 

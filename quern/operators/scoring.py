@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.scalar import RULES, first_largest, first_smallest, rule_value
+from quern.operators.validate import ViolationError
 
 #: A choice: log likelihood, tokens, characters, bytes, unconditional log likelihood.
 CHOICE = ("log_likelihood", "tokens", "chars", "octets", "unconditional")
@@ -80,6 +81,45 @@ def compare_joined(joined: DataFrame, key: str) -> DataFrame:
     )
 
 
+def mismatches(joined: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """(rule, key, ours, published): the first ``n`` items by key on which a rule's predictions differ; NULL differs from a value."""
+    rows = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(f"predicted_{r}").alias("ours"), F.col(f"published_{r}").alias("published")) for r in RULES]))
+    apart = joined.select(key, rows.alias("x")).select("x.rule", key, "x.ours", "x.published").where(~F.col("ours").eqNullSafe(F.col("published")))
+    place = F.row_number().over(Window.partitionBy("rule").orderBy(key))  # cut to n rows before the shuffle
+    return apart.withColumn("_n", place).where(F.col("_n") <= n).drop("_n")
+
+
+def choice_differences(ours: DataFrame, published: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row: choices on both sides, on one only, and how far their likelihoods and token counts agree.
+
+    Both sides have ``key`` (unique), log_likelihood, unconditional and tokens. Differences are over the
+    choices where both sides have a value; ``token_agreement`` is over all that are on both.
+    """
+    fields = ("log_likelihood", "unconditional", "tokens")
+    sided = lambda df, mark: df.select(*key, F.struct(*fields).alias(mark))
+    j = sided(ours, "o").join(sided(published, "p"), list(key), "full_outer")
+    both = F.col("o").isNotNull() & F.col("p").isNotNull()
+    gap = {f: F.abs(F.col(f"o.{f}") - F.col(f"p.{f}")) for f in fields[:2]}
+    return j.agg(
+        F.count_if(both).alias("choices"), F.count_if(F.col("p").isNull()).alias("ours_only"), F.count_if(F.col("o").isNull()).alias("published_only"),
+        *[x for f, d in gap.items() for x in (F.avg(d).alias(f"{f}_mean_abs_diff"), F.max(d).alias(f"{f}_max_abs_diff"))],
+        F.avg(F.when(both, F.col("o.tokens").eqNullSafe(F.col("p.tokens")).cast("double"))).alias("token_agreement"),
+    )
+
+
+def context_agreement(ours: DataFrame, published: DataFrame, key: str) -> DataFrame:
+    """One row: items, and the share whose context tokens, summed over the choices, are the same on both sides."""
+    total = lambda df, name: df.groupBy(key).agg(F.sum("context_tokens").alias(name))
+    return total(ours, "a").join(total(published, "b"), key).agg(F.count(F.lit(1)).alias("items"), F.avg((F.col("a") == F.col("b")).cast("double")).alias("context_agreement"))
+
+
+def require_same_items(ours: DataFrame, published: DataFrame, key: str) -> None:
+    """Raise on the first items that are on one side only or whose labels or numbers of choices differ (runs a query)."""
+    found = item_set_faults(ours, published, key).orderBy(key).limit(5).collect()
+    if found:
+        raise ViolationError("item sets differ: " + ", ".join(f"{r[key]} ({r.fault})" for r in found))
+
+
 def item_set_faults(ours: DataFrame, published: DataFrame, key: str) -> DataFrame:
     """Items on one side only, and items whose label or number of choices differ."""
     a = ours.select(key, F.col("gold_index"), F.size("choices").alias("n_ours"), F.lit(1).alias("l"))

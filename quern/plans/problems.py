@@ -206,37 +206,37 @@ def _unnested(source: str, keep: str, x: str, place: str) -> str:
     )
 
 
-_P5_LINKS = f"""b AS (SELECT bundle_id, CAST(payload AS JSON) AS j FROM prediction_bundles WHERE json_valid(payload)),
+P5_LINKS_SQL = f"""b AS (SELECT bundle_id, CAST(payload AS JSON) AS j FROM prediction_bundles WHERE json_valid(payload)),
 p AS ({_unnested("(SELECT bundle_id, json_extract(j, '$.predictions') AS x FROM b WHERE json_type(j) = 'OBJECT')", "bundle_id", "x", "p_at")}),
 q AS (SELECT bundle_id, p_at, CAST(TRY_CAST(item ->> '$.doc_id' AS DOUBLE) AS BIGINT) AS doc_id, json_extract(item, '$.model_output') AS x, item FROM p),
 c AS ({_unnested("(SELECT bundle_id, p_at, doc_id, x FROM q)", "bundle_id, p_at, doc_id", "x", "choice_index")}),
 z AS (SELECT bundle_id, p_at, doc_id, choice_index, json_extract(item, '$.spans') AS x FROM c),
 s AS ({_unnested("z", "bundle_id, p_at, doc_id, choice_index", "x", "span_index")})"""
-P5_SQL = f"""WITH {_P5_LINKS}
+P5_SQL = f"""WITH {P5_LINKS_SQL}
 SELECT bundle_id, doc_id, CAST(-1 AS BIGINT) AS choice_index, CAST(-1 AS BIGINT) AS span_index FROM q
 UNION ALL SELECT bundle_id, doc_id, choice_index, -1 FROM c
 UNION ALL SELECT bundle_id, doc_id, choice_index, span_index FROM s"""
 
 
-def _json_whole(x: str, name: str) -> str:
+def json_whole(x: str, name: str) -> str:
     d = f"TRY_CAST({x} ->> '$.{name}' AS DOUBLE)"
     return f"CASE WHEN {d} = trunc({d}) THEN CAST({d} AS BIGINT) END AS {name.split('.')[-1]}"
 
 
-def _json_real(x: str, name: str) -> str:
+def json_real(x: str, name: str) -> str:
     return f"TRY_CAST({x} ->> '$.{name}' AS DOUBLE) AS {name.split('.')[-1]}"
 
 
-P5_BUNDLES_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, j ->> '$.task_name' AS task_name, j ->> '$.task_hash' AS task_hash, j ->> '$.model_hash' AS model_hash, {_json_whole('j', 'num_instances')},
-  j ->> '$.model_config.revision' AS revision, j ->> '$.task_config.primary_metric' AS primary_metric, {_json_whole('j', 'task_config.num_shots')}, {_json_real('j', 'metrics.acc_raw')} FROM b WHERE json_type(j) = 'OBJECT'"""
-P5_PREDICTIONS_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, p_at AS prediction_index, doc_id, item ->> '$.native_id' AS native_id, item ->> '$.task_hash' AS task_hash, item ->> '$.model_hash' AS model_hash, {_json_whole('item', 'label')} FROM q"""
-P5_METRICS_SQL = f"""WITH {_P5_LINKS}, m AS (SELECT bundle_id, p_at, doc_id, json_extract(item, '$.metrics') AS o FROM q WHERE json_type(item, '$.metrics') = 'OBJECT'),
+P5_BUNDLES_SQL = f"""WITH {P5_LINKS_SQL} SELECT bundle_id, j ->> '$.task_name' AS task_name, j ->> '$.task_hash' AS task_hash, j ->> '$.model_hash' AS model_hash, {json_whole('j', 'num_instances')},
+  j ->> '$.model_config.revision' AS revision, j ->> '$.task_config.primary_metric' AS primary_metric, {json_whole('j', 'task_config.num_shots')}, {json_real('j', 'metrics.acc_raw')} FROM b WHERE json_type(j) = 'OBJECT'"""
+P5_PREDICTIONS_SQL = f"""WITH {P5_LINKS_SQL} SELECT bundle_id, p_at AS prediction_index, doc_id, item ->> '$.native_id' AS native_id, item ->> '$.task_hash' AS task_hash, item ->> '$.model_hash' AS model_hash, {json_whole('item', 'label')} FROM q"""
+P5_METRICS_SQL = f"""WITH {P5_LINKS_SQL}, m AS (SELECT bundle_id, p_at, doc_id, json_extract(item, '$.metrics') AS o FROM q WHERE json_type(item, '$.metrics') = 'OBJECT'),
 outermost AS (SELECT bundle_id, p_at, doc_id, k, json_extract(o, '$.' || k) AS v FROM (SELECT *, unnest(json_keys(o)) AS k FROM m)),
 inner_keys AS (SELECT bundle_id, p_at, doc_id, v, unnest(json_keys(v)) AS k FROM outermost WHERE json_type(v) = 'OBJECT')
 SELECT bundle_id, p_at AS prediction_index, doc_id, k AS metric, TRY_CAST(v ->> '$' AS DOUBLE) AS value FROM outermost WHERE json_type(v) <> 'OBJECT'
 UNION ALL SELECT bundle_id, p_at, doc_id, k, TRY_CAST(v ->> ('$.' || k) AS DOUBLE) FROM inner_keys"""
-P5_CHOICES_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, p_at AS prediction_index, doc_id, choice_index, {', '.join(_json_real('item', n) for n in ('sum_logits', 'sum_logits_uncond', 'logits_per_token', 'logits_per_char', 'logits_per_byte'))},
-  {', '.join(_json_whole('item', n) for n in ('num_tokens', 'num_tokens_all', 'num_chars'))}, TRY_CAST(item ->> '$.is_greedy' AS BOOLEAN) AS is_greedy FROM c"""
-P5_SPANS_SQL = f"""WITH {_P5_LINKS} SELECT bundle_id, p_at AS prediction_index, doc_id, choice_index, span_index, {_json_whole('item', 'start').replace(' AS start', ' AS "start"')}, {_json_whole('item', 'end').replace(' AS end', ' AS "end"')}, {_json_real('item', 'logit')} FROM s"""
+P5_CHOICES_SQL = f"""WITH {P5_LINKS_SQL} SELECT bundle_id, p_at AS prediction_index, doc_id, choice_index, {', '.join(json_real('item', n) for n in ('sum_logits', 'sum_logits_uncond', 'logits_per_token', 'logits_per_char', 'logits_per_byte'))},
+  {', '.join(json_whole('item', n) for n in ('num_tokens', 'num_tokens_all', 'num_chars'))}, TRY_CAST(item ->> '$.is_greedy' AS BOOLEAN) AS is_greedy FROM c"""
+P5_SPANS_SQL = f"""WITH {P5_LINKS_SQL} SELECT bundle_id, p_at AS prediction_index, doc_id, choice_index, span_index, {json_whole('item', 'start').replace(' AS start', ' AS "start"')}, {json_whole('item', 'end').replace(' AS end', ' AS "end"')}, {json_real('item', 'logit')} FROM s"""
 
 ORACLE = {"p1_found": P1_SQL, "p1_valid": P1_VALID_SQL, "p1_invalid_values": P1_INVALID_SQL, "p2_found": P2_SQL, "p2_values": P2_VALUES_SQL, "p3_separated": P3_SEPARATED_SQL, "p5_found": P5_SQL, "p5_bundles": P5_BUNDLES_SQL, "p5_predictions": P5_PREDICTIONS_SQL, "p5_metrics": P5_METRICS_SQL, "p5_choices": P5_CHOICES_SQL, "p5_spans": P5_SPANS_SQL}

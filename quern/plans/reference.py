@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.contracts import contract
-from quern.functions.numbers import finite_double, strip_blanks, whole_number
-from quern.functions.scalar import answer_index, by_policy, continuations, directed_sign, first_largest, json_kind, mapped, query_text, round_to_multiple, size_rank, text_sizes, text_slice
+from quern.functions.numbers import finite_double, whole_number
+from quern.functions.scalar import answer_index, by_policy, canonical_json, continuations, directed_sign, first_largest, json_id, json_kind, json_leaf, mapped, query_text, round_to_multiple, short_number, size_number, size_rank, text_sizes, text_slice
 from quern.operators import aggregates as agg
 from quern.operators import diagnostics, ranking, relational, runs, schedule, validate, verify
-from quern.operators.preprocess import PRIMARY_METRIC, parse_literal_metrics, schedule_ratios
-from quern.operators.scoring import compare_joined, published_items
-from quern.plans import scaling_sql, views
+from quern.operators.preprocess import PRIMARY_METRIC, json_metrics, parse_literal_metrics, schedule_ratios
+from quern.operators.scoring import choice_differences, compare_joined, mismatches, published_items
+from quern.plans import choice_sql, scaling_sql, views
+from quern.sources.readers import TableCatalog, parquet_with_ordinal
 from quern.plans.views import EVALUATIONS_SQL, PAIRS_SQL, RECIPES, SEEDS, TARGET_SIZE, TARGET_STEP, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,10 +39,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 @query("SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' AND l_returnflag = 'R'")
 def q_scan_project_filter(spark, d):
-    """Projection and filter that reach the Parquet scan."""
-    t = table(spark, d, "lineitem")
-    since = F.lit("1998-01-01").cast(dict(t.dtypes)["l_shipdate"])  # a cast of the column would keep the filter out of the scan
-    return t.where((F.col("l_shipdate") >= since) & (F.col("l_returnflag") == "R")).select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity"))
+    """Projection and filter of a catalog table that reach the Parquet scan."""
+    catalog = TableCatalog(spark, d, {"lineitem": "lineitem.parquet"})
+    since = F.lit("1998-01-01").cast(dict(table(spark, d, "lineitem").dtypes)["l_shipdate"])  # a cast of the column would keep the filter out of the scan
+    rows = catalog.read("lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], (F.col("l_shipdate") >= since) & (F.col("l_returnflag") == "R"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(copy_no AS BIGINT) AS copy_no FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) AS copy_no FROM lineitem) WHERE copy_no > 1")
@@ -131,9 +134,10 @@ def q_align_start(spark, d):
 
 @query("SELECT row_id, run_id FROM checkpoint_losses WHERE strftime(logged_at, '%Y-%m-%d') >= '2025-01-01' AND coalesce(recipe, '') NOT LIKE '%falcon%'")
 def q_text_date_and_substring(spark, d):
-    """ISO dates compared as text, and a null-safe substring exclusion."""
-    t = table(spark, d, "checkpoint_losses").withColumn("day", F.date_format("logged_at", "yyyy-MM-dd"))
-    return t.where((F.col("day") >= F.lit("2025-01-01")) & ~F.coalesce(F.col("recipe"), F.lit("")).contains("falcon")).select("row_id", "run_id")
+    """ISO dates compared as text, and a null-safe exclusion of tagged runs (falcon runs are given the tag here)."""
+    tags = F.when(F.col("recipe").contains("falcon"), F.concat(F.lit("old,"), F.lit(runs.CACHE_TAG))).otherwise(F.col("recipe"))
+    t = table(spark, d, "checkpoint_losses").withColumn("day", F.date_format("logged_at", "yyyy-MM-dd")).withColumn("tags", tags)
+    return runs.usable_runs(t, "day", "tags", earliest="2025-01-01").select("row_id", "run_id")
 
 
 @query(f"WITH {EVALUATIONS_SQL} SELECT recipe, seed, score FROM evals WHERE params = '{TARGET_SIZE}' AND step = {TARGET_STEP} AND task = 'R' AND metric = 'qty'")
@@ -354,15 +358,15 @@ def q_baseline_selfjoin(spark, d):
     return rows.select("approach", "params", "step", "task", "metric", *_six("decision_accuracy", "primary_accuracy", "advantage_over_primary"))
 
 
-@query(f"""WITH {EVALUATIONS_SQL}, m AS (SELECT task, params, step, recipe, MIN(compute) AS compute, AVG(score) AS score FROM evals WHERE metric = 'lines' AND seed = 's0' AND step = {TARGET_STEP} GROUP BY 1, 2, 3, 4),
+@query(f"""WITH {EVALUATIONS_SQL}, m AS (SELECT task, params, step, recipe, MIN(compute) AS compute, AVG(score) AS score FROM evals WHERE metric = 'lines' AND step = {TARGET_STEP} GROUP BY 1, 2, 3, 4),
   s AS (SELECT task, params, compute, COUNT(*) AS n, lag(params) OVER (PARTITION BY task ORDER BY compute, params) AS before, lag(compute) OVER (PARTITION BY task ORDER BY compute, params) AS compute_before, lag(COUNT(*)) OVER (PARTITION BY task ORDER BY compute, params) AS n_before FROM m GROUP BY 1, 2, 3),
   p AS (SELECT a.task, a.params, sign(a.score - b.score) AS g, a.recipe AS r1, b.recipe AS r2 FROM m a JOIN m b ON a.task = b.task AND a.params = b.params AND a.recipe < b.recipe)
   SELECT s.task, s.before AS smaller_size, s.params AS larger_size, s.compute_before AS smaller_compute, s.compute AS larger_compute, CASE WHEN ANY_VALUE(s.n) = {RECIPES} AND ANY_VALUE(s.n_before) = {RECIPES} THEN {RECIPES * (RECIPES - 1) // 2} END::INTEGER AS pair_count,
   CASE WHEN ANY_VALUE(s.n) = {RECIPES} AND ANY_VALUE(s.n_before) = {RECIPES} THEN SUM(CASE WHEN x.g * y.g < 0 THEN 1 ELSE 0 END) END::INTEGER AS strict_crossovers, ANY_VALUE(s.n) = {RECIPES} AND ANY_VALUE(s.n_before) = {RECIPES} AS complete
   FROM s LEFT JOIN p x ON x.task = s.task AND x.params = s.before LEFT JOIN p y ON y.task = s.task AND y.params = s.params AND y.r1 = x.r1 AND y.r2 = x.r2 WHERE s.before IS NOT NULL GROUP BY 1, 2, 3, 4, 5""")
 def q_crossovers(spark, d):
-    """Strict order reversals between adjacent completed sizes."""
-    rows = views.evaluations(spark, d).where((F.col("metric") == "lines") & (F.col("seed") == "s0") & (F.col("step") == TARGET_STEP))
+    """Strict order reversals of seed means between adjacent completed sizes."""
+    rows = views.evaluations(spark, d).where((F.col("metric") == "lines") & (F.col("step") == TARGET_STEP))
     return diagnostics.recipe_crossovers(rows, RECIPES)
 
 
@@ -443,11 +447,13 @@ def q_precedence_pick(spark, d):
     return relational.preferred(rows, ["params", "seed", "step", "task"], [F.desc("has"), F.desc("loaded_at"), F.desc("eval_id")]).select("params", "seed", "step", "task", "eval_id")
 
 
-@query("SELECT COUNT(*) AS breaks FROM (SELECT o_totalprice, lag(o_totalprice) OVER (ORDER BY o_orderkey) AS before FROM orders) WHERE before > o_totalprice")
+@query("SELECT COUNT(*) AS breaks FROM (SELECT o_totalprice, lag(o_totalprice) OVER () AS before FROM orders) WHERE before > o_totalprice")
 def q_sortedness(spark, d):
-    """Places where rows in key order fall back in price."""
-    rows = table(spark, d, "orders").select(F.lit("orders").alias("part"), "o_orderkey", "o_totalprice")
-    return validate.order_breaks(rows, "part", "o_orderkey", ["o_totalprice"]).agg(F.count(F.lit(1)).alias("breaks"))
+    """Places where rows, as they lie in the files, fall back in price: stretches of a file are compared inside and end to start."""
+    rows, place, file = parquet_with_ordinal(spark, f"{d}/orders.parquet")
+    stretch = F.concat_ws("/", file, F.format_string("%012d", F.floor(F.col(place) / 100_000)))
+    found = validate.order_breaks(rows.select(stretch.alias("part"), F.col(place).alias("at"), "o_totalprice"), "part", "at", ["o_totalprice"])
+    return found.agg(F.count(F.lit(1)).alias("breaks"))
 
 
 @query("SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 20")
@@ -491,9 +497,14 @@ def q_reconstruct_metric(spark, d):
 
 @query(f"""WITH {SCHEDULE_SQL} SELECT COUNT(*) AS n_rows, COUNT(*) FILTER (WHERE s.params IS NULL) AS unknown_sizes, COUNT(*) FILTER (WHERE t.step < 0) AS negative_steps, COUNT(t.tokens) AS tokens_present, COUNT(t.compute) AS compute_present,
   COUNT(*) FILTER (WHERE t.tokens <> t.step * s.tokens_per_step) AS tokens_mismatches, COUNT(*) FILTER (WHERE abs(t.compute - t.step * CAST(s.tokens_per_step AS DOUBLE) * s.exact_count * 6) > greatest(1e-6, 1e-12 * abs(t.step * CAST(s.tokens_per_step AS DOUBLE) * s.exact_count * 6))) AS compute_mismatches,
-  CAST(0 AS BIGINT) AS detail_mismatches, CAST(0 AS BIGINT) AS rate_mismatches FROM tasks t LEFT JOIN sched s USING (params)""")
+  COUNT(*) FILTER (WHERE 24 <> s.warmup_steps OR (t.step + s.total_steps) % 2 = 1) AS detail_mismatches,
+  COUNT(*) FILTER (WHERE abs(0.001 - CASE WHEN step <= warmup_steps THEN lr_max * step / warmup_steps WHEN step - warmup_steps >= decay_steps THEN lr_final ELSE lr_final + 0.5 * (lr_max - lr_final) * (1 + cos(pi() * (step - warmup_steps) / decay_steps)) END) > 1e-6) AS rate_mismatches
+  FROM tasks t LEFT JOIN sched s USING (params)""")
 def q_schedule_contradictions(spark, d):
-    return schedule.schedule_contradictions(table(spark, d, "tasks").select("params", "step", "tokens", "compute"))
+    """Counters over stored columns, some of them wrong on purpose: warmup steps, total steps (of every second step) and rates."""
+    totals = F.create_map(*[F.lit(x) for r in schedule.schedule_rows() for x in (r["params"], r["total_steps"])])[F.col("params")]
+    t = table(spark, d, "tasks").select("params", "step", "tokens", "compute", F.lit(24).cast("bigint").alias("warmup_steps"), (totals + (F.col("step") + totals) % 2).alias("total_steps"), F.lit(0.001).alias("lr_at_step"))
+    return schedule.schedule_contradictions(t)
 
 
 @query("""SELECT 'unmatched' AS "check", COUNT(*) FILTER (WHERE o_custkey % 11 = 0) AS "count", CASE WHEN COUNT(*) FILTER (WHERE o_custkey % 11 = 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM orders
@@ -515,11 +526,34 @@ def q_preserved(spark, d):
 # -- text, JSON, runs ----------------------------------------------------------------------------
 
 
-@query("SELECT event_id, props ->> '$.k' AS k, TRY_CAST(props ->> '$.k' AS BIGINT) AS k_value, json_valid(props) AS valid FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN CAST(props ->> '$.k' AS DOUBLE) / CASE WHEN event_id % 2 = 0 THEN 1 ELSE 8 END END AS acc_raw, CASE WHEN event_id % 5 <> 0 AND event_id % 3 = 0 THEN CAST('inf' AS DOUBLE) END AS no_answer,
+  event_id % 5 <> 0 AS sound FROM events""")
 def q_json_metrics(spark, d):
-    t = table(spark, d, "events")
+    """Metrics of JSON objects in both kinds of quotes, with NaN, infinities and damaged texts."""
     k = F.get_json_object("props", "$.k")
-    return t.select("event_id", k.alias("k"), whole_number(k).alias("k_value"), F.try_parse_json("props").isNotNull().alias("valid"))
+    even = F.col("event_id") % 2 == 0
+    part = lambda c, text: F.when(c, text).otherwise(F.lit(""))
+    third = part(F.col("event_id") % 3 == 0, F.lit(", 'no_answer': 'Infinity'"))
+    text = F.concat(F.lit("{'acc_raw': "), F.when(even, k).otherwise((k.cast("double") / 8).cast("string")), F.lit(", 'margin': 'NaN'"), third, part(F.col("event_id") % 5 != 0, F.lit("}")))
+    m = json_metrics(F.when(even, F.replace(text, F.lit("'"), F.lit('"'))).otherwise(text))
+    rows = table(spark, d, "events").select("event_id", m.alias("m"))
+    return rows.where("m.margin IS NULL").select("event_id", "m.acc_raw", "m.no_answer", F.col("m").isNotNull().alias("sound"))
+
+
+@query("SELECT event_id, CAST(props ->> '$.k' AS BIGINT) AS whole, CAST(props ->> '$.k' AS DOUBLE) AS number, FALSE AS is_text, 'integer' AS id_kind, props ->> '$.k' AS id_value, '{\"a\":[1,null],\"k\":' || (props ->> '$.k') || '}' AS canonical FROM events")
+def q_json_leaves(spark, d):
+    """Typed leaves, ids and the canonical text of JSON objects."""
+    doc = F.concat(F.lit('{ "k" : '), F.get_json_object("props", "$.k"), F.lit(', "a": [1, null] }'))
+    t = table(spark, d, "events").select("event_id", json_leaf(F.col("props"), "$.k", "int64").alias("w"), json_leaf(F.col("props"), "$.k", "float64").alias("n"), json_leaf(F.col("props"), "$.k", "string").alias("s"), json_id(F.col("props"), "$.k").alias("i"), canonical_json(doc).alias("canonical"))
+    return t.select("event_id", F.col("w.value").alias("whole"), F.col("n.value").alias("number"), F.col("s.valid").alias("is_text"), F.col("i.kind").alias("id_kind"), F.col("i.value").alias("id_value"), "canonical")
+
+
+@query("""SELECT recipe, params, seed_value, step, task, loaded_at, CAST(replace(replace(params, 'M', '000000'), 'B', '000000000') AS DOUBLE) AS parameters,
+  CASE WHEN tokens >= 1000000000 THEN printf('%.1fB', tokens / 1e9) WHEN tokens >= 1000000 THEN printf('%.1fM', tokens / 1e6) WHEN tokens >= 1000 THEN printf('%.1fk', tokens / 1e3) ELSE printf('%.2f', tokens / 1e0) END AS shown FROM tasks WHERE tokens % 1000000 <> 50000""")
+def q_display_numbers(spark, d):
+    """Sizes as numbers and token counts in short form (no halves, on which the rounding of formatters differs)."""
+    t = table(spark, d, "tasks").where("tokens % 1000000 <> 50000")
+    return t.select("recipe", "params", "seed_value", "step", "task", "loaded_at", size_number(F.col("params")).alias("parameters"), short_number(F.col("tokens").cast("double")).alias("shown"))
 
 
 @query("SELECT user_id, COUNT(*) AS n, CAST(SUM(TRY_CAST(props ->> '$.k' AS BIGINT)) AS BIGINT) AS oe_event_k FROM events GROUP BY user_id")
@@ -607,20 +641,26 @@ def q_run_dynamics(spark, d):
     return runs.run_dynamics(h).select("run_id", "step_count", "max_step", "min_step", "min_train_loss", "max_train_loss", "max_tokens", "min_tokens")
 
 
-@query("SELECT kind, COUNT(*) AS n FROM (SELECT CASE WHEN NOT json_valid(payload) THEN NULL ELSE 'object' END AS kind FROM prediction_bundles) GROUP BY kind")
+@query("""SELECT kind, COUNT(*) AS n FROM (SELECT CASE WHEN json_valid(x) THEN CASE json_type(x) WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END END AS kind
+  FROM (SELECT payload AS x FROM prediction_bundles UNION ALL SELECT raw_line FROM scaling_lines UNION ALL SELECT chr(34) || lang || chr(34) FROM documents UNION ALL SELECT CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN 'true' WHEN 2 THEN '[' || event_id || ']' ELSE event_id::VARCHAR || '.5' END FROM events)) GROUP BY kind""")
 def q_strict_json(spark, d):
-    """Kinds of payloads under a strict JSON reader."""
-    return table(spark, d, "prediction_bundles").groupBy(json_kind(F.col("payload")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Kinds of texts under a strict JSON reader: payloads, raw lines, names and made-up values."""
+    e = F.col("event_id")
+    texts = [
+        table(spark, d, "prediction_bundles").select(F.col("payload").alias("x")), table(spark, d, "scaling_lines").select("raw_line"), table(spark, d, "documents").select(F.concat(F.lit('"'), "lang", F.lit('"'))),
+        table(spark, d, "events").select(F.when(e % 4 == 0, "null").when(e % 4 == 1, "true").when(e % 4 == 2, F.concat(F.lit("["), e.cast("string"), F.lit("]"))).otherwise(F.concat(e.cast("string"), F.lit(".5")))),
+    ]
+    return reduce(DataFrame.union, texts).groupBy(json_kind(F.col("x")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(scaling_sql.LITERALS_SQL)
 def q_literal_dict_udf(spark, d):
-    """Faults of metric dictionaries in sound raw records."""
+    """Metric dictionaries of sound raw records: whether they have a fault, and three of their values."""
     from quern.operators.parse_lines import parse_records
 
     valid = parse_records(table(spark, d, "scaling_lines"), table(spark, d, "seeds")).valid
     parsed = valid.select("line_id", parse_literal_metrics(F.col("metrics")).alias("m"))
-    return parsed.select("line_id", "m.fault", "m.correct_choice", "m.acc_raw", "m.acc_per_char")
+    return parsed.select("line_id", F.col("m.fault").isNotNull().alias("faulty"), "m.correct_choice", "m.acc_raw", "m.acc_per_char")
 
 
 def _scaling(spark, d):
@@ -669,7 +709,18 @@ def q_scaling_faults(spark, d):
     return broken.unionByName(scaling_conflicts(validate.sound_rows(rows, rules), groups))
 
 
-@query()
+def _published(spark, d):
+    """Predictions with what was published for them; the published label is the gold answer."""
+    from quern.operators.nested import choice_table, prediction_table
+
+    bundles = table(spark, d, "prediction_bundles")
+    place = ["bundle_id", "prediction_index"]
+    names = {"raw": "predicted_index_raw", "per_token": "predicted_index_per_token", "per_char": "predicted_index_per_char", "pmi": "predicted_index_uncond"}
+    published = prediction_table(bundles).select(*place, "label", F.col("label").alias("gold_index"), *[F.get_json_object("metrics", f"$.{n}").try_cast("int").alias(f"published_{r}") for r, n in names.items()])
+    return published_items(choice_table(bundles), place).join(published, place).withColumn("item", F.concat_ws("/", *place))
+
+
+@query(choice_sql.PREDICTIONS_SQL)
 def q_choice_predictions(spark, d):
     """Predicted choice of each prediction under every decision rule."""
     from quern.operators.nested import choice_table
@@ -678,21 +729,47 @@ def q_choice_predictions(spark, d):
     return published_items(choices, ["bundle_id", "prediction_index"]).drop("choices", "published_per_byte")
 
 
-@query()
+@query(choice_sql.AGREEMENT_SQL)
 def q_rule_agreement(spark, d):
     """Agreement of computed and published predictions per decision rule; the published label is the gold answer.
 
     The published per-byte prediction is the smallest logits_per_byte. Ours divides by bytes that
     follow from the same figure, so it tests the whole bytes behind it, not an own count of them.
     """
-    from quern.operators.nested import choice_table, prediction_table
+    return compare_joined(_published(spark, d), "item").drop("first_mismatch")
 
-    bundles = table(spark, d, "prediction_bundles")
-    place = ["bundle_id", "prediction_index"]
-    names = {"raw": "predicted_index_raw", "per_token": "predicted_index_per_token", "per_char": "predicted_index_per_char", "pmi": "predicted_index_uncond"}
-    published = prediction_table(bundles).select(*place, "label", F.col("label").alias("gold_index"), *[F.get_json_object("metrics", f"$.{n}").try_cast("int").alias(f"published_{r}") for r, n in names.items()])
-    joined = published_items(choice_table(bundles), place).join(published, place).withColumn("item", F.concat_ws("/", *place))
-    return compare_joined(joined, "item").drop("first_mismatch")
+
+@query(choice_sql.DIFFERENCES_SQL)
+def q_choice_differences(spark, d):
+    """Published choices against a copy that lacks some, with other likelihoods and token counts for others."""
+    from quern.operators.nested import choice_table
+
+    choices = choice_table(table(spark, d, "prediction_bundles"))
+    key = ["bundle_id", "prediction_index", "choice_index"]
+    theirs = choices.select(*key, F.col("sum_logits").alias("log_likelihood"), F.col("sum_logits_uncond").alias("unconditional"), F.col("num_tokens").alias("tokens"))
+    shift = (F.col("bundle_id") % 3) * 0.25
+    ours = theirs.where("bundle_id % 5 <> 0 OR choice_index <> 0").select(*key, (F.col("log_likelihood") + shift).alias("log_likelihood"), (F.col("unconditional") - shift).alias("unconditional"), (F.col("tokens") + (F.col("bundle_id") % 4 == 0).cast("int")).alias("tokens"))
+    found = choice_differences(ours, theirs, key)
+    return found.select(*[F.round(c, 9).alias(c) if t == "double" else c for c, t in found.dtypes])
+
+
+@query(choice_sql.MISMATCHES_SQL)
+def q_rule_mismatches(spark, d):
+    """The first five items per rule on which computed and published predictions differ (the limit is the feature)."""
+    return mismatches(_published(spark, d), "item", 5)
+
+
+@query("""SELECT p_partkey, p_name, p_size AS p_size_summary, p_retailprice AS p_retailprice_summary, p_retailprice AS learning_rate_hpm, p_brand, list_contains(string_split(p_type, ' '), 'BRASS') AS BRASS_tag, list_contains(string_split(p_type, ' '), 'STEEL') AS STEEL_tag, CAST(p_size AS VARCHAR) AS oe_t_k FROM part""")
+def q_rebuilt_runs(spark, d):
+    """Parts seen as runs: grouped columns with suffixes, tags and metrics of a JSON document."""
+    p = table(spark, d, "part").select("*", F.replace("p_type", F.lit(" "), F.lit(", ")).alias("tags"), F.col("p_retailprice").alias("learning_rate"), F.to_json(F.struct(F.col("p_size").alias("k"))).alias("doc"))
+    groups = {"id": ["p_partkey", "absent"], "status": ["p_name"], "x_axis": ["p_size"], "summary_metrics": ["p_retailprice"], "core_hpm": ["learning_rate", "p_brand"]}
+    return runs.rebuilt_runs(p, groups, key="p_partkey", tags="tags", tag_names=["STEEL", "BRASS"], documents={"doc": "t"}, metrics=["oe_t_k"])
+
+
+@query("SELECT recipe, params, seed_value, MAX(step) AS last_evaluated_step FROM tasks GROUP BY 1, 2, 3")
+def q_last_evaluated(spark, d):
+    return runs.last_evaluated(table(spark, d, "tasks"), ["recipe", "params", "seed_value"])
 
 
 @query("""SELECT a.recipe, a.params, a.seed, a.step, task, score, loss, loss IS NOT NULL AND NOT isnan(loss) AND isfinite(loss) AND score IS NOT NULL AND isfinite(score) AS available FROM
@@ -718,10 +795,10 @@ def q_stored_size_check(spark, d):
     return table(spark, d, "documents").where(~F.col("n_chars").eqNullSafe(F.char_length("text").cast("bigint"))).select("doc_id", F.col("n_chars").alias("wrong_size"))
 
 
-@query("SELECT line_id, TRY_CAST(trim(string_split(raw_line, ',')[5]) AS DOUBLE) AS fifth FROM scaling_lines WHERE NOT contains(raw_line, '\"') AND regexp_full_match(trim(string_split(raw_line, ',')[5]), '[0-9]+(\\.[0-9]+)?')")
+@query(scaling_sql.COMPUTE_SQL)
 def q_double_text_cast(spark, d):
-    t = table(spark, d, "scaling_lines").where(~F.col("raw_line").contains('"'))
-    fifth = strip_blanks(F.get(F.split("raw_line", ","), F.lit(4)))
-    return t.where(F.trim(F.get(F.split("raw_line", ","), F.lit(4))).rlike(r"^[0-9]+(\.[0-9]+)?$")).select("line_id", finite_double(fifth).alias("fifth"))
-
+    """The compute of every record of sound shape, as it can be read: signs, exponents, blanks and other text included."""
+    from quern.operators.parse_lines import record_fields
 
+    rows = table(spark, d, "scaling_lines").select("line_id", F.explode(F.array(record_fields(F.col("raw_line")))).alias("r")).where("r.sound AND size(r.fields) = 15")
+    return rows.select("line_id", finite_double(F.get("r.fields", F.lit(6))).alias("compute_value"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quern.operators.preprocess import DROPPED_METRICS, LOSS_COLUMNS, METRICS, PRIMARY_METRIC, SIZES
 from quern.operators.schedule import schedule_rows
-from quern.plans.problems import NUMBER, bare_field, field_pattern, whole_sql
+from quern.plans.problems import NUMBER, P1_VALID_SQL, bare_field, field_pattern, whole_sql
 
 _LOSSES = tuple(LOSS_COLUMNS)
 _FIELDS = ("grp", "model", "task", "chinchilla", "step", "tokens", "compute", "metrics", *_LOSSES, "seed")
@@ -67,3 +67,9 @@ CHECKPOINTS_SQL = f"""WITH {BASE} SELECT recipe, params, seed_value, step, sourc
 FAULTS_SQL = f"""WITH {BASE} SELECT source_file, line_no AS source_row, kind, {_VALUE} AS value FROM judged WHERE kind IS NOT NULL
 UNION ALL SELECT source_file, line_no, CASE WHEN alike THEN 'duplicate' ELSE 'unequal duplicate' END, concat_ws('/', recipe, params, seed_value, step, task) || ' x ' || n FROM files WHERE n > 1
 UNION ALL SELECT source_file, line_no, 'conflict', concat_ws('/', recipe, params, seed_value, step) || ': ' || conflicts FROM chosen WHERE conflicts <> ''"""
+
+COMPUTE_SQL = f"""SELECT line_id, {_finite("x")} AS compute_value FROM (SELECT line_id, {bare_field(6)} AS x FROM scaling_lines WHERE regexp_full_match(raw_line, '(?s){field_pattern(15)}(\r\n|\r|\n)?'))"""
+
+LITERALS_SQL = f"""WITH v AS (SELECT line_id, TRY_CAST(replace(replace(metrics, '''', '"'), 'None', 'null') AS JSON) AS j FROM ({P1_VALID_SQL})),
+f AS (SELECT *, j IS NULL OR len(list_filter(json_keys(j), lambda k: k NOT IN ({_KNOWN}))) > 0 AS faulty FROM v)
+SELECT line_id, faulty, {', '.join(f"CASE WHEN NOT faulty THEN TRY_CAST(j ->> '$.{m}' AS DOUBLE) END AS {m}" for m in ('correct_choice', 'acc_raw', 'acc_per_char'))} FROM f"""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,10 +49,17 @@ def stable_checkpoint(df: DataFrame) -> DataFrame:
         folder = _shared_folder(spark)
         if folder is None and context.master != "local" and not context.master.startswith("local["):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        context.setCheckpointDir(folder or _temporary("quern-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def _temporary(prefix: str) -> str:
+    """A folder of this machine that goes when the driver does."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def _shared_folder(spark: SparkSession) -> str | None:
     """The folder named in ``spark.checkpoint.dir``, if any."""
     return spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY) or None
@@ -84,7 +93,7 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, Path("quern") / source.relative_to(root))
     folder = _shared_folder(spark)
     if folder is None:
-        path = str(Path(tempfile.mkdtemp(prefix="quern-ship-")) / "quern.zip")
+        path = str(Path(_temporary("quern-ship-")) / "quern.zip")
         Path(path).write_bytes(data.getvalue())
     else:
         path = f"{folder.rstrip('/')}/{context.applicationId}/quern.zip"

@@ -246,6 +246,23 @@ def test_choice_rules(spark):
     assert scoring.accepted(compared, 0.1, {"pmi": 0.4, "raw": 0.6}, 0.2) == {"pmi_agreement": True, "raw_agreement": False, "mean_abs_diff": True}
 
 
+def test_choices_on_both_sides(spark):
+    schema = "item string, choice_index int, log_likelihood double, unconditional double, tokens bigint, context_tokens bigint"
+    ours = spark.createDataFrame([("a", 0, -1.0, -2.0, 3, 10), ("a", 1, -2.0, None, 3, 10), ("b", 0, -5.0, -1.0, 2, 7)], schema)
+    theirs = spark.createDataFrame([("a", 0, -1.5, -2.0, 3, 10), ("a", 1, -2.0, -1.0, 4, 10), ("b", 1, -5.0, -1.0, 2, 8)], schema)
+    row = scoring.choice_differences(ours, theirs, ["item", "choice_index"]).first()
+    assert tuple(row) == (2, 1, 1, 0.25, 0.5, 0.0, 0.0, 0.5)
+    assert tuple(scoring.context_agreement(ours, theirs, "item").first()) == (2, 0.5)
+    assert tuple(scoring.choice_differences(ours.limit(0), theirs.limit(0), ["item", "choice_index"]).first()) == (0, 0, 0, None, None, None, None, None)
+    predictions = spark.createDataFrame([(f"k{k}", *[1] * 5, *[0 if k else 1] * 4, None) for k in range(9)], "k string, " + ", ".join(f"{side}_{r} int" for side in ("predicted", "published") for r in scalar.RULES))
+    got = {(r.rule, r.k) for r in scoring.mismatches(predictions, "k", 3).collect()}
+    assert got == {(r, f"k{k}") for r in scalar.RULES[:4] for k in (1, 2, 3)} | {("pmi", f"k{k}") for k in (0, 1, 2)}
+    items = lambda rows: spark.createDataFrame(rows, "k string, gold_index int, label int, n_choices int").withColumn("choices", F.array_repeat(F.lit(1), F.col("n_choices")))
+    scoring.require_same_items(items([("a", 0, 0, 2)]), items([("a", 0, 0, 2)]), "k")
+    with pytest.raises(validate.ViolationError, match=r"b \(ours only\)"):
+        scoring.require_same_items(items([("a", 0, 0, 2), ("b", 0, 0, 2)]), items([("a", 0, 0, 2)]), "k")
+
+
 def test_run_names(spark):
     names = [
         "250821-101112_dpo_test_60M_x_DD-dolma1_7-150M_main_100Mtx2_--learning_rate=5e-06_--beta=0.10_--epochs=2.0_--mode=fast",
