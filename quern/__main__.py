@@ -6,7 +6,7 @@ import argparse
 import sys
 from collections.abc import Sequence
 
-from quern.plans import problems, reference
+from quern.plans import problems, reference, roundtrips  # noqa: F401
 from quern.plans.pipeline import clean
 from quern.session import local_session
 

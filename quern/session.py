@@ -7,6 +7,7 @@ import io
 import os
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -60,6 +61,12 @@ def _temporary(prefix: str) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables written on the way: in the shared checkpoint folder, or on a local master where none is set in a temporary one."""
+    folder = _shared_folder(spark) or _temporary("quern-scratch-")
+    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:8]}"
+
+
 def _shared_folder(spark: SparkSession) -> str | None:
     """The folder named in ``spark.checkpoint.dir``, if any."""
     return spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY) or None

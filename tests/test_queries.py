@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from quern.plans import problems, reference
+from quern.plans import problems, reference, roundtrips  # noqa: F401
 from tests.oracle import assert_same, connect
 
 FOLDER = Path("/root/testdata/sf0.001")
