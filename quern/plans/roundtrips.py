@@ -41,7 +41,7 @@ def _as_csv(df: DataFrame, path: str) -> str:
 @query(_CUSTOMER_SQL)
 def q_strict_csv(spark, d):
     """Typed CSV without inference, its header checked."""
-    path = _as_csv(_customers(spark, d).coalesce(1), scratch_folder(spark, "customer"))
+    path = _as_csv(_customers(spark, d), scratch_folder(spark, "customer"))
     return readers.strict_csv(spark, path, CUSTOMER)
 
 
