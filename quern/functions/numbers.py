@@ -67,16 +67,16 @@ def whole_number(text: Column) -> Column:
             .otherwise(F.concat(n["sign"], magnitude).try_cast("bigint"))
         )
 
-    return let(
-        strip_blanks(text),
-        lambda t: F.when(t.rlike("^[0-9]{1,18}$"), t.try_cast("bigint")).when(is_number(t), let(parts(t), lambda p: let(sized(p), value))),
-    )
+    # Plain digits, nearly all values, stay in generated code; the rest is read part by part.
+    plain = strip_blanks(text)
+    return F.when(plain.rlike("^[0-9]{1,18}$"), plain.try_cast("bigint")).when(is_number(plain), let(plain, lambda t: let(parts(t), lambda p: let(sized(p), value))))
 
 
 def finite_double(text: Column) -> Column:
     """The finite DOUBLE that ``text`` stands for, else NULL (``1e400``, ``inf``, ``x``)."""
-    value = let(strip_blanks(text), lambda t: F.when(is_number(t), t.try_cast("double")))
-    return let(value, lambda v: F.when(F.abs(v) < F.lit(float("inf")), v))
+    plain = strip_blanks(text)
+    value = F.when(is_number(plain), plain.try_cast("double"))
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def present(value: Column) -> Column:
