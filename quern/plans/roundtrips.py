@@ -314,3 +314,35 @@ def q_same_name(spark, d):
     points = views.evaluations(spark, d).select("params", "step").distinct().select("step", F.concat(F.lit("c4-"), "params").alias("name"))
     names = points.select(F.upper("name").alias("upper"), "name").distinct()
     return points.join(names.withColumnRenamed("name", "shown"), same_ignoring_case(F.col("name"), F.col("upper"))).groupBy(F.col("shown").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(n_nationkey AS BIGINT) AS whole, n_regionkey / 2.0 AS number, n_regionkey = 1 AS flag, n_name, '[' || n_nationkey || ',1]' AS list, CAST(n_regionkey AS BIGINT) AS whole_double FROM nation")
+def q_inferred_types(spark, d):
+    """Texts, doubles and lists in the narrowest types that hold all their values."""
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    texts = table(spark, d, "nation").select(
+        F.concat(k.cast("string"), F.lit(".0")).alias("whole"), (r / 2).cast("string").alias("number"), F.when(r == 1, "True").otherwise("false").alias("flag"), "n_name",
+        F.array(k, F.lit(1)).alias("list"), r.cast("double").alias("whole_double"),
+    )
+    return runs.inferred_types(texts)
+
+
+@query("SELECT DISTINCT recipe, params, upper(recipe) AS data FROM tasks")
+def q_model_columns(spark, d):
+    """Recipe and size class of models from their paths and parameter counts (off by a hundredth)."""
+    from quern.operators.schedule import EXACT_COUNTS
+
+    counts = F.create_map(*[F.lit(x) for pair in EXACT_COUNTS.items() for x in pair])
+    models = table(spark, d, "tasks").select("recipe", "params").distinct().select("recipe", F.concat(F.lit("hub/Ladder-"), "recipe", F.lit("-"), "params", F.lit("/snapshots/0a1b")).alias("model_name_or_path"), (counts[F.col("params")] * 1.01).alias("model_size"))
+    official = {r.recipe: r.recipe.upper() for r in table(spark, d, "recipes").select("recipe").collect()}  # 25 recipes
+    return runs.model_columns(models, prefix="Ladder-", names=official).select("recipe", "params", "data")
+
+
+@query("SELECT CAST(n_regionkey AS BIGINT) AS claim_id, CAST(n_nationkey AS BIGINT) AS row_id, substring(r_name, 1, 4) AS quote, n_name AS evidence FROM nation JOIN region ON n_regionkey = r_regionkey")
+def q_claim_report(spark, d):
+    """Claims with the words they quote from a text and the rows that bear them out."""
+    path = scratch_folder(spark, "report")
+    table(spark, d, "region").orderBy("r_regionkey").select("r_name").coalesce(1).write.text(path)
+    claims = table(spark, d, "region").select(F.col("r_regionkey").cast("bigint").alias("claim_id"), (F.col("r_regionkey") + 1).cast("int").alias("line"), F.lit(0).alias("start"), F.lit(4).alias("end"))
+    evidence = readers.rows_relation(spark, [], "claim_id bigint, row_id bigint, evidence string").unionByName(table(spark, d, "nation").select(F.col("n_regionkey").cast("bigint").alias("claim_id"), F.col("n_nationkey").cast("bigint").alias("row_id"), F.col("n_name").alias("evidence")))
+    return readers.text_slices(spark, path, claims).join(evidence, "claim_id").select("claim_id", "row_id", F.col("text").alias("quote"), "evidence")
