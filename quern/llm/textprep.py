@@ -23,6 +23,8 @@ _SOFT_BREAK = re.compile(r"­[ \t]*\r?\n[ \t]*(?:>[ \t]*)*")
 WORD = re.compile(r"[^\W_]+")
 #: Stands in an undressed text where a hyphen ended a line: the word goes on, or a compound's next word begins.
 MARK = "\x1e"
+#: Breaks of one word up to which all its readings are considered.
+MOST_BREAKS = 8
 _BROKEN = re.compile(rf"[^\W_]+(?:{MARK}[^\W_]+)+")
 
 
@@ -58,10 +60,13 @@ def _forms(pieces: list[str], known: Container[str], edits: bool) -> list[str]:
     """How a broken word may read: pieces joined to words of ``known``, what lies before and after them joined to one word each.
 
     The joined word is a form too where it is known or words may be edited; other readings hold
-    no known word, so no search for known words can tell them apart.
+    no known word, so no search for known words can tell them apart. What is broken more than
+    ``MOST_BREAKS`` times is no word any more: it is read joined and apart only.
     """
     found: dict[str, None] = {}
     whole = "".join(pieces)
+    if len(pieces) > MOST_BREAKS + 1:
+        return [whole, " ".join(pieces)]
     if edits or whole in known:
         found[whole] = None
 
@@ -107,6 +112,7 @@ def readings(text: str, known: Container[str], reach: int, edits: bool) -> list[
     choose = lambda r: "".join(x for p, f in zip(parts, [*forms, [""]], strict=True) for x in (p, f[min(r, len(f) - 1)]))
     out = {choose(r): None for r in range(max(map(len, forms)))}
     between = [len(WORD.findall(p)) for p in parts]
+    done: set[tuple] = set()
     for first in range(len(forms) - 1):
         last, words = first, 0
         while last + 1 < len(forms) and (words := words + between[last + 1]) < reach:
@@ -114,6 +120,10 @@ def readings(text: str, known: Container[str], reach: int, edits: bool) -> list[
         if last == first:
             continue
         head, tail = _last_words(parts[first], reach), _first_words(parts[last + 1], reach)
+        stretch = (head, *parts[first + 1 : last + 1], *map(tuple, forms[first : last + 1]), tail)
+        if stretch in done:  # a line that is repeated has the same mixtures
+            continue
+        done.add(stretch)
         for mixture in itertools.product(*forms[first : last + 1]):
             inner = "".join(x for p, f in zip([head, *parts[first + 1 : last + 1]], mixture, strict=True) for x in (p, f))
             out[inner + tail] = None

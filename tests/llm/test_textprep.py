@@ -43,6 +43,13 @@ def test_words_broken_at_line_ends():
     assert read("a\x1eb", "ab a b") == {"a b"}
 
 
+def test_many_breaks_end():
+    began = time.perf_counter()
+    assert read("a-\n" * 500 + "a", "a aa aaa") == {"a" * 501, " ".join("a" * 501)}
+    assert len(read("x in-\nside " * 3000, "x in inside")) < 10_000
+    assert time.perf_counter() - began < 20
+
+
 def test_each_break_is_read_by_itself():
     known = "in inside to today x y"
     got = read("x in-\nside y to-\nday x", known)
