@@ -20,7 +20,7 @@ from quern.functions.scalar import by_policy, finite_metric, off_schedule, tidy
 from quern.operators.relational import full_outer_runs, provenance
 from quern.operators.schedule import MODEL_SIZES, enrich, schedule_frame, schedule_rows
 from quern.operators.validate import Rule, ViolationError, outside_domain, raise_first, violations
-from quern.session import checked_broadcast, ship_package
+from quern.session import checked_broadcast, ship_package, stable_checkpoint
 
 SIZES = tuple(m[0] for m in MODEL_SIZES)
 
@@ -244,21 +244,23 @@ def _scaling_cells(raw: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _files_of_cells(cells: DataFrame) -> DataFrame:
-    """One row per cell and file: its rows, the last of them, and whether they agree."""
-    content = F.struct("metrics", "chinchilla", *LOSS_COLUMNS)
-    return cells.groupBy(*CELL, "source_priority", "source_file").agg(
-        F.count(F.lit(1)).alias("n"), F.max("source_row").alias("source_row"), F.max_by("metrics", "source_row").alias("metrics"), F.min(content).eqNullSafe(F.max(content)).alias("alike")
-    )
+    """One row per cell and file: its number of rows and the metrics of the last."""
+    return cells.groupBy(*CELL, "source_priority", "source_file").agg(F.count(F.lit(1)).alias("n"), F.max_by("metrics", "source_row").alias("metrics"))
+
+
+CHECKPOINT_FIELDS = ("chinchilla", *LOSS_COLUMNS)
 
 
-def _files_of_checkpoints(cells: DataFrame) -> DataFrame:
-    """The file behind each checkpoint: files with loss data first, then priority; ``conflicts`` names fields with several values."""
-    fields = ("chinchilla", *LOSS_COLUMNS)
-    apart = F.array_compact(F.array(*[F.when(F.min(m) != F.max(m), F.lit(m)) for m in fields]))
-    per_file = cells.groupBy(*CHECKPOINT, "source_priority", "source_file").agg(
-        F.max(F.coalesce(*LOSS_COLUMNS).isNotNull()).alias("has"), F.max("source_row").alias("source_row"), apart.alias("conflicts"), *[F.min(m).alias(m) for m in fields]
+def _files_of_checkpoints(rows: DataFrame, low: str = "", high: str = "") -> DataFrame:
+    """The file behind each checkpoint: files with loss data first, then priority; ``conflicts`` names fields with several values.
+
+    ``rows`` are cells, or groups of them with the least and greatest value of each field under the prefixes ``low`` and ``high``.
+    """
+    apart = F.array_compact(F.array(*[F.when(F.min(low + m) != F.max(high + m), F.lit(m)) for m in CHECKPOINT_FIELDS]))
+    per_file = rows.groupBy(*CHECKPOINT, "source_priority", "source_file").agg(
+        F.max(F.coalesce(*[low + m for m in LOSS_COLUMNS]).isNotNull()).alias("has"), F.max("source_row").alias("source_row"), apart.alias("conflicts"), *[F.min(low + m).alias(m) for m in CHECKPOINT_FIELDS]
     )
-    best = F.max_by(F.struct("source_file", "source_row", "conflicts", *fields), F.struct("has", "source_priority")).alias("b")
+    best = F.max_by(F.struct("source_file", "source_row", "conflicts", *CHECKPOINT_FIELDS), F.struct("has", "source_priority")).alias("b")
     return per_file.groupBy(*CHECKPOINT).agg(best).select(*CHECKPOINT, "b.*")
 
 
@@ -266,11 +268,15 @@ def scaling_conflicts(raw: DataFrame, groups: DataFrame) -> DataFrame:
     """(source_file, source_row, kind, value) of what the rules of single rows cannot see.
 
     ``duplicate`` and ``unequal duplicate``: a cell with several rows in one file (its last row, the cell and
-    the number of rows); ``conflict``: a checkpoint whose file gives a field several values.
+    the number of rows); ``conflict``: a checkpoint whose file gives a field several values. Cells are
+    reduced to a row per file once, in the checkpoint folder, for both (runs that query).
     """
-    cells = _scaling_cells(raw, groups)
-    twice = _files_of_cells(cells).where("n > 1").select("source_file", "source_row", F.when(F.col("alike"), "duplicate").otherwise("unequal duplicate").alias("kind"), F.concat(F.concat_ws("/", *CELL), F.lit(" x "), F.col("n").cast("string")).alias("value"))
-    apart = _files_of_checkpoints(cells).where(F.size("conflicts") > 0)
+    content = F.struct("metrics", *CHECKPOINT_FIELDS)
+    ends = [f(m).alias(p + m) for m in CHECKPOINT_FIELDS for p, f in (("low_", F.min), ("high_", F.max))]
+    grouped = _scaling_cells(raw, groups).groupBy(*CELL, "source_priority", "source_file")
+    files = stable_checkpoint(grouped.agg(F.count(F.lit(1)).alias("n"), F.max("source_row").alias("source_row"), F.min(content).eqNullSafe(F.max(content)).alias("alike"), *ends))
+    twice = files.where("n > 1").select("source_file", "source_row", F.when(F.col("alike"), "duplicate").otherwise("unequal duplicate").alias("kind"), F.concat(F.concat_ws("/", *CELL), F.lit(" x "), F.col("n").cast("string")).alias("value"))
+    apart = _files_of_checkpoints(files, "low_", "high_").where(F.size("conflicts") > 0)
     return twice.unionByName(apart.select("source_file", "source_row", F.lit("conflict").alias("kind"), F.concat(F.concat_ws("/", *CHECKPOINT), F.lit(": "), F.array_join("conflicts", ", ")).alias("value")))
 
 
